@@ -130,9 +130,10 @@ def line_articles(spark, sf_dir):
     return article_rows(fallback_articles(docs, "lines", LAW_PAGE)).drop("ord")
 
 
-# --- chat turns as elements: system = header, user = clause, assistant = text ---
-_TURNS = f"""
-    turns AS (SELECT conv_id, turn AS pos, CASE role WHEN 'system' THEN 'header' WHEN 'user' THEN 'clause' ELSE 'text' END AS role,
+# --- chat turns as elements: one role opens headers, one opens clauses, the rest is text ---
+def _turns_sql(header: str, clause: str) -> str:
+    return f"""
+    turns AS (SELECT conv_id, turn AS pos, CASE role WHEN '{header}' THEN 'header' WHEN '{clause}' THEN 'clause' ELSE 'text' END AS role,
                      {collapse('text')} AS text FROM conversations),
     seen AS (SELECT *, max(CASE WHEN role <> 'text' THEN pos END) OVER w AS opener,
                     min(CASE WHEN role = 'header' THEN pos END) OVER w AS chapter_at,
@@ -140,15 +141,15 @@ _TURNS = f"""
              FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY pos))"""
 
 
-def _turns(spark, sf_dir):
-    role = F.when(F.col("role") == "system", "header").when(F.col("role") == "user", "clause").otherwise("text")
+def _turns(spark, sf_dir, header, clause):
+    role = F.when(F.col("role") == header, "header").when(F.col("role") == clause, "clause").otherwise("text")
     return table(spark, sf_dir, "conversations").select(
         "conv_id", F.col("turn").alias("pos"), role.alias("role"),
-        F.when(F.col("role") == "system", "generic").alias("header_kind"), tx.collapse_ws("text").alias("text"))
+        F.when(F.col("role") == header, "generic").alias("header_kind"), tx.collapse_ws("text").alias("text"))
 
 
 @query("carry_forward", f"""
-    WITH {_TURNS},
+    WITH {_turns_sql('system', 'user')},
     grouped AS (SELECT conv_id, opener AS pos, min(chapter_at) AS chapter_at, min(header_at) AS header_at,
                        coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (role = 'text'), '') AS body
                 FROM seen WHERE opener IS NOT NULL GROUP BY conv_id, opener)
@@ -159,16 +160,16 @@ def _turns(spark, sf_dir):
     LEFT JOIN turns c ON c.conv_id = g.conv_id AND c.pos = g.chapter_at
     LEFT JOIN turns h ON h.conv_id = g.conv_id AND h.pos = g.header_at""")
 def carry_forward(spark, sf_dir):
-    return island_articles(_turns(spark, sf_dir), "conv_id")
+    return island_articles(_turns(spark, sf_dir, "system", "user"), "conv_id")
 
 
 @query("turn_preambles", f"""
-    WITH {_TURNS}
+    WITH {_turns_sql('user', 'system')}
     SELECT s.conv_id, string_agg(s.text, ' ' ORDER BY s.pos) AS preamble
     FROM seen s LEFT JOIN turns o ON o.conv_id = s.conv_id AND o.pos = s.opener
     WHERE s.role = 'text' AND (s.opener IS NULL OR o.role = 'header') GROUP BY s.conv_id""")
 def turn_preambles(spark, sf_dir):
-    return preambles(_turns(spark, sf_dir), "conv_id")
+    return preambles(_turns(spark, sf_dir, "user", "system"), "conv_id")
 
 
 # --- documents as articles, cut into chunks ---

@@ -35,7 +35,7 @@ def _either_contains(x: Column, y: Column) -> Column:
 
 def _anchor_size(text: Column) -> Column:
     """Largest power of two not above the length."""
-    return F.shiftleft(F.lit(1), F.floor(F.log2(F.length(text).cast("double"))).cast("int"))
+    return F.pow(F.lit(2.0), F.floor(F.log2(F.length(text).cast("double")))).cast("int")
 
 
 def containing_pairs(texts: DataFrame) -> DataFrame:

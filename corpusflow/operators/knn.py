@@ -103,22 +103,30 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, skip_same:
     return rank_hits(corpus.select("id", "vector").mapInPandas(scan, schema), k)
 
 
-def _blocks(df: DataFrame, counts: DataFrame, own: str, other: str, own_id: str) -> DataFrame:
+def _block_counts(df: DataFrame, block_rows: int) -> dict:
+    """Blocks per cell; one number per coarse cell, so the table is as small as the quantiser."""
+    rows = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n")).collect()
+    return {r["cell"]: r["n"] for r in rows}
+
+
+def _blocks(df: DataFrame, cells: list[tuple], own: str, other: str, own_id: str) -> DataFrame:
     """Give each row one block of its own side and a copy for every block of the other side."""
-    placed = df.join(counts, "cell")
-    return (placed.withColumn(own, F.pmod(F.xxhash64(own_id), F.col(f"n_{own}")))
-            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1))))
+    kind = df.schema["cell"].dataType.simpleString()
+    counts = df.sparkSession.createDataFrame(cells, f"cell {kind}, _own int, _other int")
+    return (df.join(counts, "cell").withColumn(own, F.pmod(F.xxhash64(own_id), F.col("_own")))
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_other") - 1).cast("long"))))
+            .drop("_own", "_other"))
 
 
 def _blocked(queries: DataFrame, corpus: DataFrame, k: int, skip_same: bool,
              block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """Block nested loop inside each cell: a cell of any size is split into blocks of
     bounded rows on both sides, so no group grows with the data."""
-    nc = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_cb"))
-    nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block_rows).alias("n_qb"))
-    counts = nc.join(nq, "cell")
-    q = _blocks(queries.select("cell", "qid", F.col("vector").alias("q_vector")), counts, "qb", "cb", "qid")
-    c = _blocks(corpus.select("cell", "id", "vector"), counts, "cb", "qb", "id")
+    nc, nq = _block_counts(corpus, block_rows), _block_counts(queries, query_block_rows)
+    shared = sorted(set(nc) & set(nq))
+    q = _blocks(queries.select("cell", "qid", F.col("vector").alias("q_vector")),
+                [(c, nq[c], nc[c]) for c in shared], "qb", "cb", "qid")
+    c = _blocks(corpus.select("cell", "id", "vector"), [(c, nc[c], nq[c]) for c in shared], "cb", "qb", "id")
     unit, best = _scorer(k, skip_same)
     schema = _schema(queries, corpus)
 
@@ -137,7 +145,7 @@ def train_cells(corpus: DataFrame, n_cells: int, seed: int = 42) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     feats = corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", initSteps=2).fit(feats)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    rows = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
     return corpus.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from corpusflow.operators.knn import assign_cells
@@ -61,10 +62,10 @@ def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int =
         writer.mode("errorifexists").parquet(path)
 
 
-def read_vectors(spark: SparkSession, path: str, partition: str = "source_id STRING") -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, by_cell: bool = False) -> DataFrame:
     """SRC-7: the stored table with its declared schema; a missing table is an error."""
-    from pyspark.sql import types as T
-    schema = T.StructType(VECTORS.fields + T.StructType.fromDDL(partition).fields)
+    part = T.StructField("cell", T.IntegerType()) if by_cell else T.StructField("source_id", T.StringType())
+    schema = T.StructType(VECTORS.fields + [part])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
