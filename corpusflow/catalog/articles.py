@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import WS, collapse, estimate, q, query, slug, table, tokens, trim_ws, words
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.articles import article_rows, clean_documents, fallback_articles
 from corpusflow.operators.carry import island_articles, preambles
 from corpusflow.operators.chunks import chunk_articles, chunk_stats
@@ -235,7 +236,7 @@ def embedded_sql(texts: str, out: str, dim: int = DIM) -> str:
 def hash_embedding(spark, sf_dir):
     chunks = chunk_articles(document_articles(spark, sf_dir))
     vectors = hash_embed(chunks, "chunk_key", "text", DIM)
-    return (vectors.select("id", F.posexplode("vector").alias("dim", "x"))
+    return (explode_rows(vectors, "vector", "dim", "x", "id")
             .where(F.col("x") != 0).withColumn("x", F.round("x", 6)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import any_of, intent_norm, q, query, table
+from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.model_json import decode_references, encode_references
 from corpusflow.operators.chatlog import (
     assign_sessions, latest_sources, list_sessions, role_counts, session_messages, session_rollup)
@@ -141,6 +142,6 @@ def token_fold(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("session_id"), "text")
     split = F.split("text", " ", -1)
     pieces = F.transform(split, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))
-    tokens = turns.select("session_id", F.posexplode(pieces).alias("seq", "token"), F.lit(None).cast("string").alias("stop_reason"))
+    tokens = explode_rows(turns, pieces, "seq", "token", "session_id").withColumn("stop_reason", F.lit(None).cast("string"))
     ends = turns.select("session_id", F.lit(1 << 30).alias("seq"), F.lit(None).cast("string").alias("token"), F.lit("eog").alias("stop_reason"))
     return fold_tokens(tokens.unionByName(ends))

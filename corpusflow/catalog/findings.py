@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import WS, match_norm, q, query, sentences, table
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.prompts import NOTHING_FOUND
 from corpusflow.operators.dedupe import (
     dedupe_claims, dedupe_findings, distinct_findings, near_duplicate_pairs, pair_key)
@@ -25,7 +26,7 @@ _INVENTED = "The document describes ticket prices for a concert venue."
 def _chunks(spark, sf_dir):
     lines = F.filter(F.split("text", "\n", -1), lambda p: p.rlike(r"(?U)\S"))
     docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
-    return docs.select("doc_id", F.size("l").alias("chunk_count"), F.posexplode("l").alias("chunk_idx", "chunk"))
+    return explode_rows(docs, "l", "chunk_idx", "chunk", "doc_id", F.size("l").alias("chunk_count"))
 
 
 def _outputs(chunks):
@@ -137,7 +138,7 @@ _ALL_ITEMS = """
 def _all_items(spark, sf_dir):
     from corpusflow.functions.model_json import parse_analysis
     raw = _outputs(_chunks(spark, sf_dir)).withColumn("p", parse_analysis(F.col("raw")))
-    rows = raw.select("doc_id", "chunk_idx", F.posexplode("p.contradictions").alias("i", "c"))
+    rows = explode_rows(raw, "p.contradictions", "i", "c", "doc_id", "chunk_idx")
     return rows.select("doc_id", (F.col("chunk_idx").cast("long") * 1_000_000 + F.col("i")).alias("ord"), "c.*")
 
 
@@ -243,8 +244,7 @@ _CLAIM = "(regexp_extract(s, '^[^ ]+') || ' ' || length(s) || ' ' || 'belgi')"
     FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.before = b.before AND a.n = 1 AND b.n > 1""")
 def conflicts(spark, sf_dir):
     lines = F.filter(F.split("text", "\n", -1), lambda p: p.rlike(r"(?U)\S"))
-    sents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.flatten(F.transform(lines, tx.sentences))).alias("ord", "s"))
+    sents = explode_rows(table(spark, sf_dir, "documents"), F.flatten(F.transform(lines, tx.sentences)), "ord", "s", "doc_id")
     claim = F.concat(F.regexp_extract("s", "^[^ ]+", 0), F.lit(" "), F.length("s").cast("string"), F.lit(" belgi"))
     # Only sentences whose first word consists of letters can be mentions (see the SQL).
     plain = F.regexp_extract(F.lower("s"), r"^[^ ]+", 0).rlike(r"^\p{L}+:?$")

@@ -8,6 +8,7 @@ from corpusflow.catalog.articles import CHUNKS_SQL, DIM, document_articles, embe
 from corpusflow.catalog.base import estimate, q, query, table, trim_ws
 from corpusflow.functions import prompts as pr
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.answers import build_prompts, citations, retrieval_report
 from corpusflow.operators.chunks import chunk_articles
 from corpusflow.operators.embed import hash_embed, mean_pool
@@ -47,7 +48,7 @@ def mean_pool_rows(spark, sf_dir):
     # Two of three vectors are unmasked, and label 7 has none.
     mask = (F.col("id") % 3 != 0) & (F.col("label") != 7)
     pooled = mean_pool(_corpus(spark, sf_dir), "label", "vector", mask)
-    return (pooled.select("id", F.posexplode("vector").alias("dim", "x"))
+    return (explode_rows(pooled, "vector", "dim", "x", "id")
             .withColumn("x", F.round("x", 6) + F.lit(0.0)))
 
 

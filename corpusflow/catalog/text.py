@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.catalog.base import (
     WS, collapse, estimate, intent_norm, match_norm, q, query, sentences, slug, table, trim_ws, units, words)
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.windows import add_packed_windows, char_windows
 from corpusflow.operators.answers import over_budget
 from corpusflow.sources.files import classify_uploads, docx_text
@@ -121,8 +122,8 @@ def tail_repeats(spark, sf_dir):
     WITH u AS (SELECT doc_id, {units(trim_ws('text'))} AS u FROM documents)
     SELECT doc_id, unnest(range(len(u))) AS unit, unnest(u) AS text FROM u""")
 def sentence_units(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.units(
-        F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))).alias("unit", "text"))
+    units = tx.units(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
+    return explode_rows(table(spark, sf_dir, "documents"), units, "unit", "text", "doc_id")
 
 
 def _sql_char_windows(step):
@@ -134,14 +135,12 @@ def _sql_char_windows(step):
 
 @query("char_windows", _sql_char_windows(3072 - 1024))
 def char_window_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(char_windows("text", 3072, 1024)).alias("part", "text"))
+    return explode_rows(table(spark, sf_dir, "documents"), char_windows("text", 3072, 1024), "part", "text", "doc_id")
 
 
 @query("char_windows_quarter", _sql_char_windows(3072 - 768))
 def char_windows_quarter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(char_windows("text", 3072, 1024, 4)).alias("part", "text"))
+    return explode_rows(table(spark, sf_dir, "documents"), char_windows("text", 3072, 1024, 4), "part", "text", "doc_id")
 
 
 def packed_sql(max_chars: int, overlap: int) -> str:
@@ -192,8 +191,7 @@ def packed_sql(max_chars: int, overlap: int) -> str:
     SELECT doc_id, chunk_idx, chunk_count, text FROM packed""")
 def packed_chunks(spark, sf_dir):
     df = add_packed_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "_p", 900, 600)
-    return df.select("doc_id", F.size("_p").cast("bigint").alias("chunk_count"),
-                     F.posexplode("_p").alias("chunk_idx", "text"))
+    return explode_rows(df, "_p", "chunk_idx", "text", "doc_id", F.size("_p").cast("bigint").alias("chunk_count"))
 
 
 _UPLOAD_EXT = "CASE lang WHEN 'en' THEN 'TXT' WHEN 'fr' THEN 'docx' WHEN 'de' THEN 'pdf' ELSE 'odt' END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusflow.functions.rows import bind
 from corpusflow.settings import TOKENS_PER_WORD
 
 # \s has to mean the Unicode White_Space property, which Java gives only under (?U).
@@ -30,16 +31,13 @@ def words(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """Number of whitespace-separated words, without building the word array."""
-    flat = collapse_ws(c)
-    spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
-    return F.when(flat == "", F.lit(0)).otherwise(spaces + 1)
+    """Number of whitespace-separated words: each word becomes one letter, the gaps go."""
+    return F.length(F.regexp_replace(F.regexp_replace(_col(c), r"(?U)\S+", "x"), "[^x]+", ""))
 
 
 def tokens_from_words(n: Column) -> Column:
-    """NUM-1 on a word count: half-even rounding, at least 1 unless there is no word."""
-    est = F.bround(n * F.lit(TOKENS_PER_WORD), 0).cast("int")
-    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), est))
+    """NUM-1 on a word count: half-even rounding (one word gives 1, none gives 0)."""
+    return F.bround(n * F.lit(TOKENS_PER_WORD), 0).cast("int")
 
 
 def estimate_tokens(c: Column | str) -> Column:
@@ -199,12 +197,15 @@ def _hits(tests: list[Column]) -> Column:
 
 def detect_language(c: Column | str) -> Column:
     """STR-14: 'ru', 'en' or 'uz'."""
-    lower = F.lower(_col(c))
+    return bind(F.lower(_col(c)), lambda lower: bind(
+        F.concat(F.lit(" "), collapse_ws(lower), F.lit(" ")), lambda padded: _language(lower, padded)))
+
+
+def _language(lower: Column, padded: Column) -> Column:
     cyrillic = F.length(F.regexp_replace(lower, "[^Ѐ-ӿ]+", ""))
     latin = F.length(F.regexp_replace(lower, "[^a-z]+", ""))
     ru = _hits([F.contains(lower, F.lit(w)) for w in RU_CUES])
     uz = _hits([F.contains(lower, F.lit(w)) for w in UZ_CUES])
-    padded = F.concat(F.lit(" "), collapse_ws(lower), F.lit(" "))
     en = _hits([F.contains(padded, F.lit(f" {w} ")) for w in EN_CUES])
     return (F.when((cyrillic > latin) | (ru >= 2), F.lit("ru"))
             .when((en >= 2) & (en > uz), F.lit("en"))

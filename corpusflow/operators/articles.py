@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.markup import CLAUSE, HEADER, TEXT, MarkupRules, elements_array, line_text
 
 _STATE = "struct<chapter:string,section:string>"
@@ -150,5 +151,4 @@ def clean_documents(pages: DataFrame, id_col: str, html_col: str, rules: MarkupR
 
 def article_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """DOC-2 as rows: (id, ord, article_number, article_title, chapter, section_title, text)."""
-    return (docs.select("id", *keep, F.posexplode("articles").alias("ord", "a"))
-            .select("id", *keep, "ord", "a.*"))
+    return explode_rows(docs, "articles", "ord", "a", "id", *keep).select("id", *keep, "ord", "a.*")

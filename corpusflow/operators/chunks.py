@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.windows import add_article_pieces, add_packed_windows
 from corpusflow.settings import CONTEXT_TOKENS, MAX_TOKENS, OVERLAP_TOKENS, analysis_budget
 
@@ -24,7 +25,7 @@ def chunk_articles(articles: DataFrame, max_tokens: int = MAX_TOKENS,
     pieces = (add_article_pieces(articles, "text", "_pieces", max_tokens, overlap_tokens)
               .withColumn("part_count", F.size("_pieces")))
     keep = [c for c in pieces.columns if c not in ("text", "_pieces")]
-    rows = pieces.select(*keep, F.posexplode("_pieces").alias("part_index", "text"))
+    rows = explode_rows(pieces, "_pieces", "part_index", "text", *keep)
     cid = tx.chunk_id(F.col("id"), clean("article_number"), F.col("article_title"),
                       F.col("part_index"), F.col("part_count"))
     return rows.select(
@@ -51,6 +52,5 @@ def analysis_chunks(docs: DataFrame, doc_col: str, text_col: str, n_ctx: int = C
     size = max_chars or default_max
     packed = add_packed_windows(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("_body")),
                                 "_body", "_arr", size, default_overlap if overlap is None else overlap)
-    return (packed.select("doc_id", F.size("_arr").alias("chunk_count"),
-                    F.posexplode("_arr").alias("chunk_idx", "chunk"))
-            .withColumn("single_chunk", F.col("chunk_count") == 1))
+    rows = explode_rows(packed, "_arr", "chunk_idx", "chunk", "doc_id", F.size("_arr").alias("chunk_count"))
+    return rows.withColumn("single_chunk", F.col("chunk_count") == 1)

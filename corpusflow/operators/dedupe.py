@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.settings import CLAIM_CAP, MIN_QUOTE_CHARS, checkpointed
 
 
@@ -62,9 +63,9 @@ def containing_pairs(texts: DataFrame) -> DataFrame:
         looked = texts.select("doc_id", F.col("ord").alias("long_ord"), F.col("text").alias("long_text"),
                               F.lit(0).cast("bigint").alias("anchor")).limit(0)
     else:
-        looked = texts.select(
-            "doc_id", F.col("ord").alias("long_ord"), F.col("text").alias("long_text"),
-            F.explode(F.array_distinct(F.concat(*[windows(s) for s in sizes]))).alias("anchor"))
+        looked = explode_rows(
+            texts, F.array_distinct(F.concat(*[windows(s) for s in sizes])), "_at", "anchor",
+            "doc_id", F.col("ord").alias("long_ord"), F.col("text").alias("long_text")).drop("_at")
     met = looked.join(filed, ["doc_id", "anchor"]).where(
         (F.col("long_ord") != F.col("short_ord")) & F.contains("long_text", "short_text"))
     return met.select("doc_id", F.least("long_ord", "short_ord").alias("first"),

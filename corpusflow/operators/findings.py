@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.model_json import parse_analysis
 from corpusflow.functions.prompts import NOTHING_FOUND
 from corpusflow.operators.dedupe import is_meaningful
@@ -78,7 +79,7 @@ ITEMS_PER_CHUNK = 1_000_000
 
 def finding_rows(parsed: DataFrame) -> DataFrame:
     """(doc_id, ord, chunk_idx, statement_a, statement_b, explanation); ord follows chunk and item order."""
-    rows = parsed.select("doc_id", "chunk_idx", F.posexplode("contradictions").alias("item", "c"))
+    rows = explode_rows(parsed, "contradictions", "item", "c", "doc_id", "chunk_idx")
     return rows.select("doc_id", _order("item").alias("ord"), "chunk_idx", "c.*")
 
 
@@ -88,7 +89,7 @@ def _order(item: str) -> Column:
 
 def claim_rows(parsed: DataFrame, findings: DataFrame) -> DataFrame:
     """SET-4: (doc_id, ord, claim): key claims in order, then the quotes of the findings."""
-    claims = (parsed.select("doc_id", "chunk_idx", F.posexplode("key_claims").alias("item", "claim"))
+    claims = (explode_rows(parsed, "key_claims", "item", "claim", "doc_id", "chunk_idx")
               .select("doc_id", _order("item").alias("ord"), "claim"))
     after = F.lit(1 << 60)
     quotes = (findings.select("doc_id", "ord", F.posexplode(F.array("statement_a", "statement_b"))
@@ -120,8 +121,7 @@ def conflict_candidates(claims: DataFrame) -> DataFrame:
     of the rows is combined before the shuffle and never paired with itself.
     """
     norm = tx.normalize_for_match("claim")
-    mention = F.explode(F.regexp_extract_all(norm, F.lit(_MENTION), F.lit(0))).alias("m")
-    rows = claims.select("doc_id", "ord", "claim", mention)
+    rows = explode_rows(claims, F.regexp_extract_all(norm, F.lit(_MENTION), F.lit(0)), "_at", "m", "doc_id", "ord", "claim")
     value = F.regexp_replace(F.regexp_replace(F.regexp_extract("m", _MENTION, 2), r"\s", ""), r"[.,:]+$", "")
     rows = rows.select("doc_id", "ord", "claim", F.regexp_extract("m", _MENTION, 1).alias("before"),
                        value.alias("value"), F.regexp_extract("m", _MENTION, 3).alias("after"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import explode_rows
 
 HEADER, CLAUSE, TEXT = "header", "clause", "text"
 
@@ -152,5 +153,5 @@ def elements_array(html: Column, rules: MarkupRules) -> Column:
 def html_elements(pages: DataFrame, id_col: str, html_col: str, rules: MarkupRules) -> DataFrame:
     """DOC-1 as rows: (id, pos, role, header_kind, text)."""
     arr = elements_array(F.col(html_col), rules)
-    return (pages.select(F.col(id_col).alias("id"), F.posexplode(arr).alias("pos", "e"))
+    return (explode_rows(pages, arr, "pos", "e", F.col(id_col).alias("id"))
             .select("id", "pos", "e.role", "e.header_kind", "e.text"))

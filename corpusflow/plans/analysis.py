@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import prompts as pr
 from corpusflow.functions.model_json import parse_analysis
+from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.chunks import analysis_chunks
 from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
@@ -67,7 +68,7 @@ def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked:
     prompts = ready.select(F.col("doc_id").alias("qid"), pr.chat_prompt(system, user).alias("prompt"))
     parsed = generate(prompts, generate_fn).select(
         F.col("qid").alias("doc_id"), parse_analysis(F.col("answer")).alias("p"))
-    rows = (parsed.select("doc_id", F.posexplode("p.contradictions").alias("item", "c"))
+    rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id")
             .select("doc_id", (F.lit(_LATE) + F.col("item")).alias("ord"), "c.*"))
     return filter_grounded(rows.select(*_COLUMNS), docs)
 
