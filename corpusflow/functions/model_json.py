@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.functions.rows import bind
 from corpusflow.schemas import REFERENCES
 from corpusflow.settings import MIN_CLAIM_CHARS
 
 
 def outer_object(raw: Column) -> Column:
     """JSON-1: from the first { to the last }, null when there is no such span."""
-    return F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+    return bind(F.regexp_extract(raw, r"(?s)\{.*\}", 0), lambda o: F.when(o != "", o))
 
 
 def _is_string(v: Column) -> Column:
@@ -21,33 +22,45 @@ def _is_string(v: Column) -> Column:
 
 def _string_field(item: Column, snake: str, camel: str) -> Column:
     """Value under the snake key, else the camel key; anything but a string counts as ''."""
-    a, b = F.variant_get(item, f"$.{snake}", "variant"), F.variant_get(item, f"$.{camel}", "variant")
-    chosen = F.coalesce(a, b)
-    return F.when(_is_string(chosen), F.variant_get(chosen, "$", "string")).otherwise(F.lit(""))
+    chosen = F.coalesce(F.variant_get(item, f"$.{snake}", "variant"), F.variant_get(item, f"$.{camel}", "variant"))
+    return bind(chosen, lambda v: F.when(_is_string(v), F.variant_get(v, "$", "string")).otherwise(F.lit("")))
 
 
-def parse_analysis(raw: Column) -> Column:
-    """JSON-2: struct(summary, contradictions[], key_claims[]), null when the text is not of
-    that shape.  ``raw`` should be a column, it is read more than once."""
-    v = F.try_parse_json(outer_object(raw))
-    summary = F.variant_get(v, "$.summary", "variant")
-    items = F.variant_get(v, "$.contradictions", "variant")
-    is_array = F.coalesce(F.startswith(F.schema_of_variant(items), F.lit("ARRAY")), F.lit(False))
-    claims = F.coalesce(F.variant_get(v, "$.key_claims", "variant"), F.variant_get(v, "$.keyClaims", "variant"))
-    has_claims = F.coalesce(F.startswith(F.schema_of_variant(claims), F.lit("ARRAY")), F.lit(False))
+def _is_array(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.lit(False))
+
 
+def _pairs(items: Column) -> Column:
     pairs = F.transform(F.variant_get(items, "$", "array<variant>"), lambda i: F.struct(
         _string_field(i, "statement_a", "statementA").alias("statement_a"),
         _string_field(i, "statement_b", "statementB").alias("statement_b"),
         _string_field(i, "explanation", "explanation").alias("explanation")))
-    pairs = F.filter(pairs, lambda p: ~tx.is_blank(p["statement_a"]) & ~tx.is_blank(p["statement_b"]))
+    return F.filter(pairs, lambda p: ~tx.is_blank(p["statement_a"]) & ~tx.is_blank(p["statement_b"]))
+
+
+def _claims(claims: Column) -> Column:
     texts = F.transform(F.variant_get(claims, "$", "array<variant>"), lambda c: F.when(
         _is_string(c), F.regexp_replace(F.variant_get(c, "$", "string"), r"(?U)^\s+|\s+$", "")))
-    texts = F.filter(texts, lambda t: t.isNotNull() & (F.length(t) >= MIN_CLAIM_CHARS))
-    none = F.array().cast("array<string>")
-    return F.when(_is_string(summary) & is_array, F.struct(
-        F.variant_get(summary, "$", "string").alias("summary"), pairs.alias("contradictions"),
-        F.when(has_claims, texts).otherwise(none).alias("key_claims")))
+    kept = F.filter(texts, lambda t: t.isNotNull() & (F.length(t) >= MIN_CLAIM_CHARS))
+    return F.when(_is_array(claims), kept).otherwise(F.array().cast("array<string>"))
+
+
+def parse_analysis(raw: Column) -> Column:
+    """JSON-2: struct(summary, contradictions[], key_claims[]), null when the text is not of
+    that shape.  The text is parsed once and each part of it is taken once."""
+    def parts(v: Column) -> Column:
+        return F.struct(
+            F.variant_get(v, "$.summary", "variant").alias("summary"),
+            F.variant_get(v, "$.contradictions", "variant").alias("items"),
+            F.coalesce(F.variant_get(v, "$.key_claims", "variant"), F.variant_get(v, "$.keyClaims", "variant"))
+            .alias("claims"))
+
+    def shaped(p: Column) -> Column:
+        return F.when(_is_string(p["summary"]) & _is_array(p["items"]), F.struct(
+            F.variant_get(p["summary"], "$", "string").alias("summary"),
+            _pairs(p["items"]).alias("contradictions"), _claims(p["claims"]).alias("key_claims")))
+
+    return bind(F.try_parse_json(outer_object(raw)), lambda v: bind(parts(v), shaped))
 
 
 def encode_references(refs: Column) -> Column:
@@ -57,6 +70,6 @@ def encode_references(refs: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """JSON-3: text to array of references; malformed text is an empty array."""
-    parsed = F.from_json(text, REFERENCES, {"mode": "PERMISSIVE"})
-    bad = parsed.isNull() | F.exists(parsed, lambda r: r.isNull())
-    return F.when(bad, F.array().cast(REFERENCES)).otherwise(parsed)
+    none = F.array().cast(REFERENCES)
+    return bind(F.from_json(text, REFERENCES), lambda refs: F.when(
+        refs.isNull() | F.exists(refs, lambda r: r.isNull()), none).otherwise(refs))

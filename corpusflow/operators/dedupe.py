@@ -34,42 +34,68 @@ def _either_contains(x: Column, y: Column) -> Column:
     return F.contains(x, y) | F.contains(y, x)
 
 
-def _anchor_size(text: Column) -> Column:
-    """Largest power of two not above the length."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(F.length(text).cast("double")))).cast("int")
+def _power(n: Column) -> Column:
+    """Largest power of two not above n."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))).cast("int")
+
+
+def _grams(sizes: list[int], length: Column, cut) -> Column:
+    """Hashes of all runs of the given sizes; ``cut(start, size)`` takes one run."""
+    def of(size: int) -> Column:
+        last = length - size
+        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(size), cut(i, size)))
+        return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def _sizes(df: DataFrame) -> list[int]:
+    """Distinct anchor sizes; powers of two of a text length, so at most 31."""
+    return sorted(r["size"] for r in df.select("size").distinct().collect())
+
+
+def _meet(texts: DataFrame, filed: DataFrame, grams: Column) -> DataFrame:
+    looked = explode_rows(texts, grams, "_at", "anchor", "doc_id",
+                          F.col("ord").alias("long_ord"), F.col("text").alias("long_text"))
+    keys = filed.select("doc_id", "anchor", F.col("ord").alias("short_ord"), F.col("text").alias("short_text"))
+    met = looked.join(keys, ["doc_id", "anchor"]).where(
+        (F.col("long_ord") != F.col("short_ord")) & F.contains("long_text", "short_text"))
+    return met.select("doc_id", F.least("long_ord", "short_ord").alias("first"),
+                      F.greatest("long_ord", "short_ord").alias("second"))
 
 
 def containing_pairs(texts: DataFrame) -> DataFrame:
     """Pairs of items of one document where a text of one contains a text of the other.
 
-    ``texts`` is (doc_id, ord, text).  A text is filed under its first 2^m characters, 2^m the
-    largest power within its length; a longer text looks itself up under all its windows of
-    the sizes in use.  So candidates share more than half of the shorter text, and equal
-    texts meet without any pair enumeration of a document.
+    ``texts`` is (doc_id, ord, text), texts normalised.  The inner words of a contained text
+    (all but first and last) are whole words of the containing one.  So a text is filed
+    under its first 2^m inner words, 2^m the largest power within their number, and looks
+    itself up under all its word runs of the sizes in use: candidates share at least half of
+    the shorter text's inner words.  Texts of one or two words have no inner word; they are
+    filed by characters in the same way, and met only in documents that have such texts.
     """
-    texts = texts.select("doc_id", "ord", "text", _anchor_size(F.col("text")).alias("size"))
-    # At most 31 distinct sizes exist: they are powers of two of a string length.
-    sizes = sorted(r["size"] for r in texts.select("size").distinct().collect())
-    filed = texts.select("doc_id", F.col("ord").alias("short_ord"), F.col("text").alias("short_text"),
-                         F.xxhash64("size", F.substring(F.col("text"), F.lit(1), F.col("size"))).alias("anchor"))
-
-    def windows(size: int) -> Column:
-        last = F.length("text") - size + 1
-        cut = F.transform(F.sequence(F.lit(1), last),
-                          lambda p: F.xxhash64(F.lit(size), F.substring(F.col("text"), p, F.lit(size))))
-        return F.when(last >= 1, cut).otherwise(F.array().cast("array<bigint>"))
-
-    if not sizes:
-        looked = texts.select("doc_id", F.col("ord").alias("long_ord"), F.col("text").alias("long_text"),
-                              F.lit(0).cast("bigint").alias("anchor")).limit(0)
-    else:
-        looked = explode_rows(
-            texts, F.array_distinct(F.concat(*[windows(s) for s in sizes])), "_at", "anchor",
-            "doc_id", F.col("ord").alias("long_ord"), F.col("text").alias("long_text")).drop("_at")
-    met = looked.join(filed, ["doc_id", "anchor"]).where(
-        (F.col("long_ord") != F.col("short_ord")) & F.contains("long_text", "short_text"))
-    return met.select("doc_id", F.least("long_ord", "short_ord").alias("first"),
-                      F.greatest("long_ord", "short_ord").alias("second")).distinct()
+    texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words"))
+    texts = texts.withColumn("inner", F.size("words") - 2)
+    long = texts.where(F.col("inner") >= 1).withColumn("size", _power(F.col("inner")))
+    short = texts.where(F.col("inner") < 1).withColumn("size", _power(F.length("text")))
+    pairs = []
+    sizes = _sizes(long)
+    if sizes:
+        anchor = F.xxhash64("size", F.slice("words", F.lit(2), F.col("size")))
+        words = F.col("words")
+        pairs.append(_meet(texts, long.withColumn("anchor", anchor), _grams(
+            sizes, F.size("words"), lambda i, n: F.slice(words, i + 1, F.lit(n)))))
+    sizes = _sizes(short)
+    if sizes:
+        anchor = F.xxhash64("size", F.substring(F.col("text"), F.lit(1), F.col("size")))
+        near = texts.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+        text = F.col("text")
+        pairs.append(_meet(near, short.withColumn("anchor", anchor), _grams(
+            sizes, F.length("text"), lambda i, n: F.substring(text, i + 1, F.lit(n)))))
+    if not pairs:
+        return texts.select("doc_id", F.col("ord").alias("first"), F.col("ord").alias("second")).limit(0)
+    both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+    return both.distinct()
 
 
 def keep_first(items: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,23 +29,36 @@ def embed(df: DataFrame, text_col: str, make_predict_fn: Callable, dim: int = EM
     return raw.withColumn(out, checked).drop("_raw")
 
 
+def _histogram(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vector(signed: pd.Series) -> pd.Series:
+        import numpy as np
+        floor = 1e-12
+
+        def one(codes):
+            if codes is None or len(codes) == 0:
+                return np.zeros(dim)
+            codes = np.asarray(codes)
+            v = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=dim)
+            return v / max(float(np.sqrt((v * v).sum())), floor)
+
+        return signed.map(one)
+
+    return vector
+
+
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
     """VEC-2: (id, vector) by signed feature hashing of lower-cased words, L2-normalised.
 
-    Word rows are summed per (id, bucket) before the shuffle, so at most ``dim`` small rows
-    per text are exchanged.
+    Words are hashed in the JVM; one integer per word goes through Arrow to be counted, in
+    the text's own row.  Exploding the words instead would exchange up to ``dim`` rows a text.
     """
-    token = F.explode_outer(tx.words(F.lower(F.col(text_col)))).alias("w")
-    hashed = df.select(F.col(id_col).alias("id"), token).select("id", F.md5("w").alias("h"))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 7), 16, 10).cast("int"), F.lit(dim))
-    sign = F.when(F.substring("h", 8, 1) < "8", 1).otherwise(-1)
-    sums = (hashed.select("id", F.coalesce(bucket, F.lit(0)).alias("b"),
-                          F.when(F.col("h").isNull(), 0).otherwise(sign).alias("s"))
-            .groupBy("id", "b").agg(F.sum("s").cast("double").alias("v")))
-    filled = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    dense = filled.withColumn("raw", F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))))
-    return dense.select("id", vx.l2_normalize("raw").alias("vector"))
+    def code(h):
+        bucket = F.pmod(F.conv(F.substring(h, 1, 7), 16, 10).cast("int"), F.lit(dim)) + 1
+        return F.when(F.substring(h, 8, 1) < "8", bucket).otherwise(-bucket)
+
+    codes = F.transform(F.transform(tx.words(F.lower(F.col(text_col))), F.md5), code)
+    return df.select(F.col(id_col).alias("id"), _histogram(dim)(codes).alias("vector"))
 
 
 def mean_pool(tokens: DataFrame, id_col: str, vector_col: str, mask: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.functions.rows import explode_rows
+from corpusflow.functions.rows import bind, explode_rows
 from corpusflow.functions.model_json import parse_analysis
 from corpusflow.functions.prompts import NOTHING_FOUND
 from corpusflow.operators.dedupe import is_meaningful
@@ -29,10 +29,11 @@ def quote_in(quote: Column, source: Column) -> Column:
 def summary_grounded(summary: Column, source: Column) -> Column:
     """REL-12 on normalised texts: a quarter of the words of four or more characters occur."""
     long_words = F.filter(F.split(summary, " ", -1), lambda w: F.length(w) >= 4)
-    hits = F.size(F.filter(long_words, lambda w: F.contains(source, w)))
-    return (F.when(summary == "", F.lit(False))
-            .when(F.size(long_words) < 4, F.lit(True))
-            .otherwise(hits * 4 >= F.size(long_words)))
+
+    def enough(found: Column) -> Column:
+        return (F.size(found) < 4) | (F.size(F.filter(found, lambda w: F.contains(source, w))) * 4 >= F.size(found))
+
+    return F.when(summary == "", F.lit(False)).otherwise(bind(long_words, enough))
 
 
 def _grounded_items(items: Column, source: Column) -> Column:
