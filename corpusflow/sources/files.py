@@ -9,12 +9,17 @@ from corpusflow.functions import text as tx
 from corpusflow.settings import MAX_UPLOAD_BYTES, UPLOAD_EXTENSIONS
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; malformed sequences become the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3: (id, content, bytes, fetched_at): one row per landed .html file, malformed UTF-8 replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
     return files.select(
         F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("id"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        utf8(F.col("content")).alias("content"),
         F.col("length").alias("bytes"), F.col("modificationTime").alias("fetched_at"))
 
 
@@ -67,7 +72,7 @@ def extract_text(uploads: DataFrame) -> DataFrame:
     """
     accepted = uploads.where(F.col("reason").isNull())
     plain = accepted.where(F.col("extension").isin("txt", "md")).select(
-        "path", F.decode(F.col("content"), "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
+        "path", utf8(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
     xml = _document_xml(accepted.where(F.col("extension") == "docx"))
     docx = xml.select("path", docx_text(F.col("xml")).alias("text"),
                       F.when(F.col("xml").isNull(), "missing word/document.xml").alias("error"))

@@ -25,10 +25,10 @@ def validate_dim(df: DataFrame, vector: str = "embedding_vector", dim: int = EMB
     return df.withColumn(vector, checked)
 
 
-def to_vector_rows(df: DataFrame, vector: str = "embedding_vector") -> DataFrame:
-    """SNK-2: the seven stored columns; missing text is the empty string."""
+def to_vector_rows(df: DataFrame, *keep: str, vector: str = "embedding_vector") -> DataFrame:
+    """SNK-2: the seven stored columns (and those to keep); missing text is the empty string."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TEXT_COLUMNS],
-                     F.col(vector).cast("array<float>").alias("embedding_vector"))
+                     F.col(vector).cast("array<float>").alias("embedding_vector"), *keep)
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_key") -> DataFrame:
@@ -50,11 +50,11 @@ def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int =
     """
     if df.isEmpty():
         raise ValueError("no rows to write")
-    rows = validate_dim(to_vector_rows(df).withColumn("source_id", df["source_id"]), dim=dim)
+    rows = validate_dim(to_vector_rows(df, "source_id"), dim=dim)
     part = "source_id"
     if cells is not None:
         placed = assign_cells(rows.withColumnRenamed("embedding_vector", "vector"), cells)
-        rows, part = placed.withColumnRenamed("vector", "embedding_vector"), "cell"
+        rows, part = placed.withColumnRenamed("vector", "embedding_vector").drop("source_id"), "cell"
     writer = rows.write.partitionBy(part).option("maxRecordsPerFile", 1_000_000)
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -1,0 +1,122 @@
+import random
+
+from pyspark.sql import functions as F
+
+from corpusflow.functions import text as tx
+from corpusflow.functions.model_json import decode_references, encode_references, parse_analysis
+from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
+from corpusflow.operators.findings import conflict_candidates, filter_grounded, parse_outputs, summary_grounded
+
+SCHEMA = "doc_id int, ord long, statement_a string, statement_b string, explanation string"
+
+
+def parsed(spark, *raws):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    return [r["p"] for r in df.select("i", parse_analysis(F.col("raw")).alias("p")).orderBy("i").collect()]
+
+
+def test_parse(spark):
+    snake = '{"summary":"ok","contradictions":[{"statement_a":"A gap gap","statement_b":"B gap gap","explanation":"x"}],"key_claims":["claim claim claim"," kurz "]}'
+    camel = '{"summary":"ok","contradictions":[{"statementA":"A gap gap","statementB":"B gap gap","explanation":"x"}],"keyClaims":["claim claim claim"]}'
+    fenced = '```json\n{"summary":"Ichki ziddiyat topilmadi.","contradictions":[],"key_claims":[]}\n```'
+    odd = '{"summary":"s","contradictions":[{"statement_a":5,"statementA":"x","statement_b":"y"},{"statement_a":" ","statement_b":"y"},"z"],"key_claims":{"a":1}}'
+    got = parsed(spark, snake, camel, fenced, odd, '{"foo":1}', "not json at all", '{"summary":5,"contradictions":[]}',
+                 '{"summary":"a","contradictions":{}}', "{'summary':'a','contradictions':[]}", None)
+    assert [len(p["contradictions"]) for p in got[:4]] == [1, 1, 0, 0]
+    assert got[0]["key_claims"] == ["claim claim claim"] and got[1]["key_claims"] == ["claim claim claim"]
+    assert got[0]["contradictions"] == got[1]["contradictions"] and got[3]["key_claims"] == []
+    assert got[4:] == [None] * 6
+
+
+def test_references_round_trip(spark):
+    df = spark.createDataFrame([('[{"id":"a","code":"c","article":"1","title":"t","excerpt":"e","score":0.5}]',), ("not json",), ("[]",), (None,)], "t string")
+    rows = df.select(decode_references(F.col("t")).alias("r")).withColumn("back", encode_references(F.col("r"))).collect()
+    assert rows[0]["r"][0]["score"] == 0.5 and '"id":"a"' in rows[0]["back"]
+    assert [r["r"] for r in rows[1:]] == [[], [], []]
+
+
+def test_salary_pairs_become_one(spark):
+    a, b = "Ish haqi 8 000 000 so‘m", "Ish haqi 4 000 000 so‘m"
+    rows = [(1, 0, a, b, "maosh ziddiyati"), (1, 1, b, a, "swapped"),
+            (1, 2, a + " belgilangan", b + " etib qo‘yilgan", "longer wording"), (2, 0, b, a, "other document"),
+            (1, 3, "Ish 09:00 da boshlanadi", "Ish 11:00 da boshlanadi", "vaqt"), (1, 4, a, a, "same"),
+            (1, 5, "x y z", "p q r", "These do NOT contradict")]
+    kept = dedupe_findings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["ord"]) for r in kept} == {(1, 0), (2, 0), (1, 3)}
+
+
+def _near(p, q):
+    def m(x, y):
+        return x in y or y in x
+    return (m(p[0], q[0]) and m(p[1], q[1])) or (m(p[0], q[1]) and m(p[1], q[0]))
+
+
+def test_dedupe_equals_sequential_fold(spark):
+    rng = random.Random(3)
+    words = ["ish", "haqi", "a", "bb", "vaqti", "ishi"]
+    rows, claims = [], []
+    for doc in range(6):
+        for o in range(60):
+            a = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+            b = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+            rows.append((doc, o, a, b, "e"))
+            claims.append((doc, o, a + " " + b))
+    want = set()
+    for doc in range(6):
+        kept = []
+        for _, o, a, b, _ in (r for r in rows if r[0] == doc):
+            if a != b and not any(_near(k, (a, b)) for k in kept):
+                kept.append((a, b))
+                want.add((doc, o))
+    got = {(r["doc_id"], r["ord"]) for r in dedupe_findings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    for cap in (5, 1000):
+        want = set()
+        for doc in range(6):
+            kept = []
+            for _, o, c in (r for r in claims if r[0] == doc):
+                if len(c) >= 12 and len(kept) < cap and not any(c in k or k in c for k in kept):
+                    kept.append(c)
+                    want.add((doc, o))
+        got = {(r["doc_id"], r["ord"]) for r in dedupe_claims(spark.createDataFrame(claims, "doc_id int, ord long, claim string"), cap).collect()}
+        assert got == want
+
+
+def test_grounding(spark):
+    source = "Ish vaqti 09:00. Maosh 7 000 000 so‘m. Boshqa band: ish 11:00 da."
+    rows = [(1, 0, "Ish vaqti 09:00", "ish 11:00 da", "vaqt"), (1, 1, "Concert starts at 8pm", "Tickets cost $50", "x"),
+            (1, 2, "Ish vaqti 09:00", "Ish vaqti 09:00", "identical")]
+    docs = spark.createDataFrame([(1, source)], "doc_id int, text string")
+    kept = filter_grounded(spark.createDataFrame(rows, SCHEMA), docs).collect()
+    assert [r["ord"] for r in kept] == [0]
+
+
+def test_summary_grounding(spark):
+    source = tx.normalize_for_match(F.lit("Shartnoma loyihasi: ish vaqti 09:00, oylik maosh 7 000 000 so‘m, sinov muddati ikki oy."))
+    def check(s):
+        return spark.range(1).select(summary_grounded(tx.normalize_for_match(F.lit(s)), source).alias("r")).head()["r"]
+    assert not check("The document provides detailed information about the location, schedule, and ticket prices for a concert.")
+    assert check("Ichki ziddiyat topilmadi.") and not check("  ") and check("Shartnoma sinov muddati va oylik maosh haqida")
+
+
+def test_parse_outputs_flags(spark):
+    chunk = "Ish kuni 09:00 da boshlanadi. Xodim ishga 11:00 da kelishi shart. Oylik maosh besh million."
+    good = ('{"summary":"Ish kuni va oylik maosh haqida shartnoma","contradictions":[{"statement_a":"Ish kuni 09:00 da boshlanadi",'
+            '"statement_b":"Xodim ishga 11:00 da kelishi shart","explanation":"vaqt"}],"key_claims":["Oylik maosh besh million","uydirma da\'vo bu yerda"]}')
+    fake = '{"summary":"concert tickets schedule prices venue","contradictions":[{"statement_a":"Concert starts at eight","statement_b":"Tickets cost fifty","explanation":"x"}]}'
+    mixed = good.replace("Ish kuni va oylik maosh haqida shartnoma", "concert tickets schedule prices venue")
+    chunks = spark.createDataFrame([(d, 0, chunk, 1) for d in range(4)], "doc_id int, chunk_idx int, chunk string, chunk_count int")
+    outs = spark.createDataFrame([(0, 0, good), (1, 0, fake), (2, 0, "nothing"), (3, 0, mixed)], "doc_id int, chunk_idx int, raw string")
+    rows = {r["doc_id"]: r for r in parse_outputs(outs, chunks).collect()}
+    assert len(rows[0]["contradictions"]) == 1 and rows[0]["key_claims"] == ["Oylik maosh besh million"]
+    assert not rows[0]["parse_failed"] and not rows[0]["ungrounded"]
+    assert rows[1]["parse_failed"] and rows[1]["ungrounded"] and rows[1]["contradictions"] == []
+    assert rows[2]["summary"] is None and rows[2]["parse_failed"] and not rows[2]["ungrounded"]
+    assert rows[3]["ungrounded"] and not rows[3]["parse_failed"] and "ziddiyatlar aniqlandi" in rows[3]["summary"]
+
+
+def test_conflicts(spark):
+    rows = [(1, 0, "Ish haqi: oyiga 8 000 000 so‘m."), (1, 1, "Xodimga oyiga 5 000 000 so‘m to‘lanadi."), (1, 2, "Sinov muddati: 3 oy."),
+            (1, 3, "Unga oyiga 8 000 000 so‘m beriladi"), (2, 0, "oyiga 1 so‘m")]
+    got = conflict_candidates(spark.createDataFrame(rows, "doc_id int, ord long, claim string")).collect()
+    assert [(r["doc_id"], r["ord_a"], r["ord_b"]) for r in got] == [(1, 0, 1)]
