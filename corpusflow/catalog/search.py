@@ -11,7 +11,7 @@ from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.answers import build_prompts, citations, retrieval_report
 from corpusflow.operators.chunks import chunk_articles
-from corpusflow.operators.embed import hash_embed, mean_pool
+from corpusflow.operators.embed import add_hash_vector, mean_pool
 from corpusflow.operators.knn import (
     knn_exact, knn_ivf, recall_at_k, retrieval_metrics, train_cells)
 from corpusflow.plans.answering import retrieve
@@ -95,8 +95,7 @@ def knn_ivf_recall(spark, sf_dir):
 # --- retrieval over document chunks; every benchmark item is a question ---
 def _chunk_corpus(spark, sf_dir):
     chunks = chunk_articles(document_articles(spark, sf_dir))
-    vectors = hash_embed(chunks, "chunk_key", "text", DIM).select(F.col("id").alias("chunk_key"), "vector")
-    return chunks.withColumnRenamed("id", "chunk_name").join(vectors, "chunk_key").withColumnRenamed("chunk_key", "id")
+    return add_hash_vector(chunks, "text", DIM).drop("id").withColumnRenamed("chunk_key", "id")
 
 
 def _items(spark, sf_dir):

@@ -26,12 +26,8 @@ def _string_field(item: Column, snake: str, camel: str) -> Column:
     return bind(chosen, lambda v: F.when(_is_string(v), F.variant_get(v, "$", "string")).otherwise(F.lit("")))
 
 
-def _is_array(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.lit(False))
-
-
 def _pairs(items: Column) -> Column:
-    pairs = F.transform(F.variant_get(items, "$", "array<variant>"), lambda i: F.struct(
+    pairs = F.transform(items, lambda i: F.struct(
         _string_field(i, "statement_a", "statementA").alias("statement_a"),
         _string_field(i, "statement_b", "statementB").alias("statement_b"),
         _string_field(i, "explanation", "explanation").alias("explanation")))
@@ -39,24 +35,25 @@ def _pairs(items: Column) -> Column:
 
 
 def _claims(claims: Column) -> Column:
-    texts = F.transform(F.variant_get(claims, "$", "array<variant>"), lambda c: F.when(
+    texts = F.transform(claims, lambda c: F.when(
         _is_string(c), F.regexp_replace(F.variant_get(c, "$", "string"), r"(?U)^\s+|\s+$", "")))
     kept = F.filter(texts, lambda t: t.isNotNull() & (F.length(t) >= MIN_CLAIM_CHARS))
-    return F.when(_is_array(claims), kept).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def parse_analysis(raw: Column) -> Column:
     """JSON-2: struct(summary, contradictions[], key_claims[]), null when the text is not of
-    that shape.  The text is parsed once and each part of it is taken once."""
+    that shape.  The text is parsed once and each part of it is taken once; a part that is
+    not an array gives null under try_variant_get."""
     def parts(v: Column) -> Column:
+        claims = F.coalesce(F.variant_get(v, "$.key_claims", "variant"), F.variant_get(v, "$.keyClaims", "variant"))
         return F.struct(
             F.variant_get(v, "$.summary", "variant").alias("summary"),
-            F.variant_get(v, "$.contradictions", "variant").alias("items"),
-            F.coalesce(F.variant_get(v, "$.key_claims", "variant"), F.variant_get(v, "$.keyClaims", "variant"))
-            .alias("claims"))
+            F.try_variant_get(v, "$.contradictions", "array<variant>").alias("items"),
+            F.try_variant_get(claims, "$", "array<variant>").alias("claims"))
 
     def shaped(p: Column) -> Column:
-        return F.when(_is_string(p["summary"]) & _is_array(p["items"]), F.struct(
+        return F.when(_is_string(p["summary"]) & p["items"].isNotNull(), F.struct(
             F.variant_get(p["summary"], "$", "string").alias("summary"),
             _pairs(p["items"]).alias("contradictions"), _claims(p["claims"]).alias("key_claims")))
 

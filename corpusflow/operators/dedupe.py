@@ -49,9 +49,11 @@ def _grams(sizes: list[int], length: Column, cut) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
-def _sizes(df: DataFrame) -> list[int]:
-    """Distinct anchor sizes; powers of two of a text length, so at most 31."""
-    return sorted(r["size"] for r in df.select("size").distinct().collect())
+def _sizes(texts: DataFrame) -> tuple[list[int], list[int]]:
+    """Anchor sizes in use, in words and in characters: powers of two of a length, so at most
+    31 of each."""
+    rows = texts.select("by_word", "size").distinct().collect()
+    return (sorted(r["size"] for r in rows if r["by_word"]), sorted(r["size"] for r in rows if not r["by_word"]))
 
 
 def _meet(texts: DataFrame, filed: DataFrame, grams: Column) -> DataFrame:
@@ -75,23 +77,22 @@ def containing_pairs(texts: DataFrame) -> DataFrame:
     filed by characters in the same way, and met only in documents that have such texts.
     """
     texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words"))
-    texts = texts.withColumn("inner", F.size("words") - 2)
-    long = texts.where(F.col("inner") >= 1).withColumn("size", _power(F.col("inner")))
-    short = texts.where(F.col("inner") < 1).withColumn("size", _power(F.length("text")))
+    texts = texts.withColumn("by_word", F.size("words") > 2)
+    texts = texts.withColumn("size", _power(F.when(F.col("by_word"), F.size("words") - 2).otherwise(F.length("text"))))
+    long, short = texts.where("by_word"), texts.where(~F.col("by_word"))
     pairs = []
-    sizes = _sizes(long)
-    if sizes:
+    word_sizes, char_sizes = _sizes(texts)
+    if word_sizes:
         anchor = F.xxhash64("size", F.slice("words", F.lit(2), F.col("size")))
         words = F.col("words")
         pairs.append(_meet(texts, long.withColumn("anchor", anchor), _grams(
-            sizes, F.size("words"), lambda i, n: F.slice(words, i + 1, F.lit(n)))))
-    sizes = _sizes(short)
-    if sizes:
+            word_sizes, F.size("words"), lambda i, n: F.slice(words, i + 1, F.lit(n)))))
+    if char_sizes:
         anchor = F.xxhash64("size", F.substring(F.col("text"), F.lit(1), F.col("size")))
         near = texts.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
         text = F.col("text")
         pairs.append(_meet(near, short.withColumn("anchor", anchor), _grams(
-            sizes, F.length("text"), lambda i, n: F.substring(text, i + 1, F.lit(n)))))
+            char_sizes, F.length("text"), lambda i, n: F.substring(text, i + 1, F.lit(n)))))
     if not pairs:
         return texts.select("doc_id", F.col("ord").alias("first"), F.col("ord").alias("second")).limit(0)
     both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])

@@ -47,8 +47,8 @@ def _histogram(dim: int):
     return vector
 
 
-def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """VEC-2: (id, vector) by signed feature hashing of lower-cased words, L2-normalised.
+def add_hash_vector(df: DataFrame, text_col: str, dim: int = EMBEDDING_DIM, out: str = "vector") -> DataFrame:
+    """VEC-2: signed feature hashing of lower-cased words, L2-normalised.
 
     Words are hashed in the JVM; one integer per word goes through Arrow to be counted, in
     the text's own row.  Exploding the words instead would exchange up to ``dim`` rows a text.
@@ -58,7 +58,12 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_D
         return F.when(F.substring(h, 8, 1) < "8", bucket).otherwise(-bucket)
 
     codes = F.transform(F.transform(tx.words(F.lower(F.col(text_col))), F.md5), code)
-    return df.select(F.col(id_col).alias("id"), _histogram(dim)(codes).alias("vector"))
+    return df.withColumn(out, _histogram(dim)(codes))
+
+
+def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """VEC-2 as (id, vector)."""
+    return add_hash_vector(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "_t", dim).drop("_t")
 
 
 def mean_pool(tokens: DataFrame, id_col: str, vector_col: str, mask: Column | None = None) -> DataFrame:

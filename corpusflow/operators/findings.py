@@ -50,10 +50,16 @@ def parse_outputs(outputs: DataFrame, chunks: DataFrame) -> DataFrame:
     """FIND-2, FIND-3, FIND-8, REL-13: one row per chunk with grounded results and flags.
 
     outputs(doc_id, chunk_idx, raw) meet chunks(doc_id, chunk_idx, chunk, chunk_count) once;
-    grounding happens in the joined row.  Columns: summary (null when unparsed),
-    contradictions, key_claims, parse_failed, ungrounded.
+    grounding happens in the joined row.
+    """
+    return parse_rows(chunks.join(outputs, ["doc_id", "chunk_idx"]))
+
+
+def parse_rows(df: DataFrame) -> DataFrame:
+    """As parse_outputs, on chunk rows that already hold ``raw``.
+
+    Columns: summary (null when unparsed), contradictions, key_claims, parse_failed, ungrounded.
     """
-    df = chunks.join(outputs, ["doc_id", "chunk_idx"])
     df = df.withColumn("_p", parse_analysis(F.col("raw"))).withColumn("_src", tx.normalize_for_match("chunk"))
     df = (df.withColumn("_found", F.size(F.coalesce("_p.contradictions", F.array().cast(
         "array<struct<statement_a:string,statement_b:string,explanation:string>>"))))

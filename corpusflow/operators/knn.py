@@ -27,21 +27,29 @@ def _scorer(k: int, skip_same: bool):
         m = np.vstack(v).astype(np.float64)
         return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
-    def best(q_ids, q_unit, c_ids, c_unit):
+    def slice_best(q_ids, q_unit, c_ids, c_unit):
         import numpy as np
         import pandas as pd
         d = np.round(1.0 - q_unit @ c_unit.T, 9)
         if skip_same:
-            d[np.asarray(q_ids)[:, None] == np.asarray(c_ids)[None, :]] = np.inf
+            d[q_ids[:, None] == c_ids[None, :]] = np.inf
         if d.shape[1] > k:
             keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1:k]
         else:
             keep = np.ones(d.shape, dtype=bool)
-        keep &= np.isfinite(d)
-        qi, ci = np.nonzero(keep)
-        out = pd.DataFrame({"qid": np.asarray(q_ids)[qi], "id": np.asarray(c_ids)[ci], "distance": d[qi, ci]})
+        qi, ci = np.nonzero(keep & np.isfinite(d))
+        out = pd.DataFrame({"qid": q_ids[qi], "id": c_ids[ci], "distance": d[qi, ci]})
         return out.sort_values(["qid", "distance", "id"]).groupby("qid", sort=False).head(k)
 
+    def best(q_ids, q_unit, c_ids, c_unit):
+        import numpy as np
+        import pandas as pd
+        # A few questions at a time, so that the distance matrix stays within 32 MB.
+        q_ids, c_ids = np.asarray(q_ids), np.asarray(c_ids)
+        rows = max(1, 4_000_000 // max(1, len(c_ids)))
+        return pd.concat([slice_best(q_ids[s:s + rows], q_unit[s:s + rows], c_ids, c_unit)
+                          for s in range(0, len(q_ids), rows)])
+
     return unit, best
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import prompts as pr
@@ -14,8 +14,8 @@ from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.chunks import analysis_chunks
 from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
-    claim_rows, conflict_candidates, filter_grounded, finding_rows, parse_outputs, report)
-from corpusflow.plans.answering import generate
+    claim_rows, conflict_candidates, filter_grounded, finding_rows, parse_outputs, parse_rows, report)
+from corpusflow.plans.answering import generated
 from corpusflow.settings import CONTEXT_TOKENS, checkpointed
 
 _COLUMNS = ("doc_id", "ord", "statement_a", "statement_b", "explanation")
@@ -29,20 +29,10 @@ class Analysis:
     reports: DataFrame
 
 
-def chunk_prompts(chunks: DataFrame, assistant: str = "corpusflow") -> DataFrame:
-    """STR-17, STR-19: (doc_id, chunk_idx, prompt)."""
+def chunk_prompt(assistant: str = "corpusflow") -> Column:
+    """STR-17, STR-19: the prompt of a chunk row."""
     idx, n = F.col("chunk_idx"), F.col("chunk_count")
-    return chunks.select("doc_id", "chunk_idx", pr.chat_prompt(
-        pr.check_system_prompt(idx, n, assistant), pr.check_user_prompt(F.col("chunk"), idx, n)).alias("prompt"))
-
-
-def model_outputs(chunks: DataFrame, generate_fn: Callable[[list[str]], list[str]],
-                  assistant: str = "corpusflow") -> DataFrame:
-    """(doc_id, chunk_idx, raw) from the generator port."""
-    prompts = chunk_prompts(chunks, assistant).withColumn("qid", F.struct("doc_id", "chunk_idx"))
-    said = generate(prompts.withColumn("qid", F.to_json("qid")), generate_fn)
-    keyed = prompts.select("doc_id", "chunk_idx", F.to_json("qid").alias("qid"))
-    return keyed.join(said, "qid").select("doc_id", "chunk_idx", F.col("answer").alias("raw"))
+    return pr.chat_prompt(pr.check_system_prompt(idx, n, assistant), pr.check_user_prompt(F.col("chunk"), idx, n))
 
 
 def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked: DataFrame,
@@ -65,9 +55,8 @@ def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked:
     ready = (listed.where(F.size("c") >= 2).join(known, "doc_id", "left")
              .withColumn("c", F.transform("c", lambda x: x["claim"])))
     system, user = pr.reconcile_prompts(F.col("c"), F.col("f"), assistant)
-    prompts = ready.select(F.col("doc_id").alias("qid"), pr.chat_prompt(system, user).alias("prompt"))
-    parsed = generate(prompts, generate_fn).select(
-        F.col("qid").alias("doc_id"), parse_analysis(F.col("answer")).alias("p"))
+    said = ready.select("doc_id", generated(pr.chat_prompt(system, user), generate_fn).alias("answer"))
+    parsed = said.select("doc_id", parse_analysis(F.col("answer")).alias("p"))
     rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id")
             .select("doc_id", (F.lit(_LATE) + F.col("item")).alias("ord"), "c.*"))
     return filter_grounded(rows.select(*_COLUMNS), docs)
@@ -84,8 +73,11 @@ def analyze(docs: DataFrame, outputs: DataFrame | None = None,
     if chunks is None:
         chunks = analysis_chunks(docs, "doc_id", "text", n_ctx)
     if outputs is None:
-        outputs = model_outputs(chunks, generate_fn, assistant)
-    parsed = checkpointed(parse_outputs(outputs, chunks))
+        # The answer is made in the chunk's own row: nothing to join.
+        said = chunks.withColumn("raw", generated(chunk_prompt(assistant), generate_fn))
+        parsed = checkpointed(parse_rows(said))
+    else:
+        parsed = checkpointed(parse_outputs(outputs, chunks))
     rows = finding_rows(parsed).select(*_COLUMNS)
     claims = dedupe_claims(claim_rows(parsed, rows))
     first = dedupe_findings(rows)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import prompts as pr
@@ -33,14 +34,14 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = TOP_K, make_predi
     return attach_chunks(hits, corpus, *CHUNK_COLUMNS)
 
 
-def generate(prompts: DataFrame, generate_fn: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Port of the text generator: fn(prompts) -> answers, called on Arrow batches."""
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(answer=generate_fn(pdf["prompt"].tolist()))[["qid", "answer"]]
+def generated(prompt: Column, generate_fn: Callable[[list[str]], list[str]]) -> Column:
+    """Port of the text generator: fn(prompts) -> answers on Arrow batches, in the prompt's own
+    row.  Declared non-deterministic, so the optimizer never runs it twice for a row."""
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        return pd.Series(generate_fn(prompts.tolist()), dtype=object)
 
-    schema = f"qid {prompts.schema['qid'].dataType.simpleString()}, answer string"
-    return prompts.select("qid", "prompt").mapInPandas(run, schema)
+    return run.asNondeterministic()(prompt)
 
 
 def answer(messages: DataFrame, corpus: DataFrame, generate_fn: Callable[[list[str]], list[str]],
@@ -57,10 +58,12 @@ def answer(messages: DataFrame, corpus: DataFrame, generate_fn: Callable[[list[s
     asked = routed.where(F.col("intent").isNull()).select("qid", "question")
     hits = retrieve(asked, corpus, k, make_predict_fn, dim, cells)
     prompts = build_prompts(asked, hits, preference, assistant.name, n_ctx)
-    fits = prompts.where(~F.col("over_budget")).withColumn("prompt", pr.chat_prompt(F.col("system"), F.col("user")))
-    said = generate(fits, generate_fn)
-    refs = citations(hits)
-    told = (prompts.select("qid", "over_budget").join(said, "qid", "left").join(refs, "qid", "left")
-            .select("qid", "answer", F.coalesce(F.col("references").cast(REFERENCES), none).alias("references"),
-                    F.when(F.col("over_budget"), "prompt_too_long").otherwise("eog").alias("stop_reason")))
-    return fixed.unionByName(told)
+    # Context and citations come from the same k hits, so both are gathered in one pass over them.
+    told = prompts.join(citations(hits), "qid", "left").withColumn(
+        "references", F.coalesce(F.col("references").cast(REFERENCES), none))
+    fits = (told.where(~F.col("over_budget"))
+            .withColumn("answer", generated(pr.chat_prompt(F.col("system"), F.col("user")), generate_fn))
+            .select("qid", "answer", "references", F.lit("eog").alias("stop_reason")))
+    refused = told.where("over_budget").select(
+        "qid", F.lit(None).cast("string").alias("answer"), "references", F.lit("prompt_too_long").alias("stop_reason"))
+    return fixed.unionByName(fits).unionByName(refused)

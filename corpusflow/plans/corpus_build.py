@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.articles import article_rows, clean_documents
 from corpusflow.operators.chunks import chunk_articles
-from corpusflow.operators.embed import embed, hash_embed
+from corpusflow.operators.embed import add_hash_vector, embed
 from corpusflow.operators.markup import LAW_PAGE, MarkupRules
 from corpusflow.operators.snapshots import attach_targets
 from corpusflow.settings import EMBEDDING_DIM, MAX_TOKENS, OVERLAP_TOKENS
@@ -40,6 +40,5 @@ def embed_chunks(chunks: DataFrame, make_predict_fn: Callable | None = None, dim
     """Chunks with ``embedding_vector`` from the caller's model, or from the hashing embedder."""
     if make_predict_fn is not None:
         return embed(chunks, "text", make_predict_fn, dim)
-    vectors = hash_embed(chunks, "chunk_key", "text", dim)
-    return chunks.join(vectors.select(F.col("id").alias("chunk_key"),
-                                      F.col("vector").cast("array<float>").alias("embedding_vector")), "chunk_key")
+    hashed = add_hash_vector(chunks, "text", dim, "embedding_vector")
+    return hashed.withColumn("embedding_vector", F.col("embedding_vector").cast("array<float>"))
