@@ -60,8 +60,8 @@ def _log(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), "role",
         F.col("text").alias("content"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-        .cast("timestamp_ntz").alias("created_at"),
+        (F.lit("2023-11-14 22:13:20").cast("timestamp_ntz") + F.make_dt_interval(
+            secs=(F.col("conv_id") * 3600 + F.col("turn") * 60).cast("decimal(18,6)"))).alias("created_at"),
         F.when(cited, encode_references(refs)).when(F.col("role") == "system", "not json").otherwise("[]")
         .alias("references_json"), "turn")
 
@@ -131,7 +131,7 @@ def session_activity_rows(spark, sf_dir):
     s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS events FROM s GROUP BY user_id, n""")
 def session_windows(spark, sf_dir):
-    return session_activity(table(spark, sf_dir, "events"), "user_id", "ts", gap="30 minutes")
+    return session_activity(table(spark, sf_dir, "events"), "user_id", "ts", gap_seconds=1800)
 
 
 # Each turn is streamed word by word and closed by an end event.
