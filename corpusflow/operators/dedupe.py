@@ -8,6 +8,8 @@ rounds.  No document's items are gathered in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +41,26 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))).cast("int")
 
 
-def _grams(sizes: list[int], length: Column, cut) -> Column:
-    """Hashes of all runs of the given sizes; ``cut(start, size)`` takes one run."""
-    def of(size: int) -> Column:
-        last = length - size
-        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(size), cut(i, size)))
-        return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
+def _runs(sizes: list[int], first: int, last: Callable[[int], Column], key: Callable) -> Column:
+    """Keys of all runs of the given sizes, starting at ``first`` up to ``last(size)``."""
+    def of(n: int) -> Column:
+        keys = F.transform(F.sequence(F.lit(first), last(n)), lambda i: key(i, F.lit(n)))
+        return F.when(last(n) >= first, keys).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
+def _word_key(i: Column, n: Column) -> Column:
+    """n words from position i, with the last character before and the first one after them."""
+    words = F.col("words")
+    return F.xxhash64(n, F.right(F.get(words, i - 1), F.lit(1)), F.slice(words, i + 1, n),
+                      F.left(F.get(words, i + n), F.lit(1)))
+
+
+def _char_key(i: Column, n: Column) -> Column:
+    return F.xxhash64(n, F.substring(F.col("text"), i + 1, n))
+
+
 def _sizes(texts: DataFrame) -> tuple[list[int], list[int]]:
     """Anchor sizes in use, in words and in characters: powers of two of a length, so at most
     31 of each."""
@@ -56,49 +68,58 @@ def _sizes(texts: DataFrame) -> tuple[list[int], list[int]]:
     return (sorted(r["size"] for r in rows if r["by_word"]), sorted(r["size"] for r in rows if not r["by_word"]))
 
 
-def _meet(texts: DataFrame, filed: DataFrame, grams: Column) -> DataFrame:
-    looked = explode_rows(texts, grams, "_at", "anchor", "doc_id",
-                          F.col("ord").alias("long_ord"), F.col("text").alias("long_text"))
-    keys = filed.select("doc_id", "anchor", F.col("ord").alias("short_ord"), F.col("text").alias("short_text"))
-    met = looked.join(keys, ["doc_id", "anchor"]).where(
-        (F.col("long_ord") != F.col("short_ord")) & F.contains("long_text", "short_text"))
-    return met.select("doc_id", F.least("long_ord", "short_ord").alias("first"),
-                      F.greatest("long_ord", "short_ord").alias("second"))
+def _meet(texts: DataFrame, keys: Column, filed: DataFrame, anchor: Column) -> DataFrame:
+    """Items that share an anchor; only ids and hashes are exchanged."""
+    looked = explode_rows(texts, keys, "_at", "anchor", "doc_id", F.col("ord").alias("x"))
+    stored = filed.select("doc_id", anchor.alias("anchor"), F.col("ord").alias("y"))
+    met = looked.join(stored, ["doc_id", "anchor"]).where(F.col("x") != F.col("y"))
+    return met.select("doc_id", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
 
 
-def containing_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs of items of one document where a text of one contains a text of the other.
+def candidate_pairs(texts: DataFrame) -> DataFrame:
+    """(doc_id, first, second): every pair of items with one text inside another, and few more.
 
     ``texts`` is (doc_id, ord, text), texts normalised.  The inner words of a contained text
     (all but first and last) are whole words of the containing one.  So a text is filed
-    under its first 2^m inner words, 2^m the largest power within their number, and looks
-    itself up under all its word runs of the sizes in use: candidates share at least half of
-    the shorter text's inner words.  Texts of one or two words have no inner word; they are
-    filed by characters in the same way, and met only in documents that have such texts.
+    under its first 2^m inner words, 2^m the largest power within their number, with the
+    characters next to them, and looked up under all such runs of the sizes in use:
+    candidates share at least half of the shorter text's inner words.  Texts of one or two
+    words have no inner word; they are filed by characters in the same way, and met only in
+    documents that have such texts.
     """
     texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words"))
     texts = texts.withColumn("by_word", F.size("words") > 2)
     texts = texts.withColumn("size", _power(F.when(F.col("by_word"), F.size("words") - 2).otherwise(F.length("text"))))
     long, short = texts.where("by_word"), texts.where(~F.col("by_word"))
-    pairs = []
     word_sizes, char_sizes = _sizes(texts)
+    pairs = []
     if word_sizes:
-        anchor = F.xxhash64("size", F.slice("words", F.lit(2), F.col("size")))
-        words = F.col("words")
-        pairs.append(_meet(texts, long.withColumn("anchor", anchor), _grams(
-            word_sizes, F.size("words"), lambda i, n: F.slice(words, i + 1, F.lit(n)))))
+        keys = _runs(word_sizes, 1, lambda n: F.size("words") - n - 1, _word_key)
+        pairs.append(_meet(texts, keys, long, _word_key(F.lit(1), F.col("size"))))
     if char_sizes:
-        anchor = F.xxhash64("size", F.substring(F.col("text"), F.lit(1), F.col("size")))
         near = texts.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
-        text = F.col("text")
-        pairs.append(_meet(near, short.withColumn("anchor", anchor), _grams(
-            char_sizes, F.length("text"), lambda i, n: F.substring(text, i + 1, F.lit(n)))))
+        keys = _runs(char_sizes, 0, lambda n: F.length("text") - n, _char_key)
+        pairs.append(_meet(near, keys, short, _char_key(F.lit(0), F.col("size"))))
     if not pairs:
         return texts.select("doc_id", F.col("ord").alias("first"), F.col("ord").alias("second")).limit(0)
     both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
     return both.distinct()
 
 
+def _both(pairs: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """Candidate pairs with the columns of either item, suffixed 1 and 2."""
+    for end, tag in (("first", "1"), ("second", "2")):
+        side = items.select("doc_id", F.col("ord").alias(end), *[F.col(c).alias(c + tag) for c in columns])
+        pairs = pairs.join(side, ["doc_id", end])
+    return pairs
+
+
+def containing_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of items of one document where the text of one contains the text of the other."""
+    both = _both(candidate_pairs(texts), texts, "text")
+    return both.where(_either_contains(F.col("text1"), F.col("text2"))).select("doc_id", "first", "second")
+
+
 def keep_first(items: DataFrame, edges: DataFrame) -> DataFrame:
     """Items (doc_id, ord, …) that survive the rule; edges are (doc_id, first, second), first < second.
 
@@ -140,12 +161,9 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
 
 def near_duplicate_pairs(sided: DataFrame) -> DataFrame:
     """JOIN-8: (doc_id, first, second): findings whose sides contain each other, straight or crossed."""
-    side = F.explode(F.array("_a", "_b")).alias("text")
-    met = containing_pairs(sided.select("doc_id", "ord", side))
-    one = sided.select("doc_id", F.col("ord").alias("first"), F.col("_a").alias("a1"), F.col("_b").alias("b1"))
-    two = sided.select("doc_id", F.col("ord").alias("second"), F.col("_a").alias("a2"), F.col("_b").alias("b2"))
-    both = met.join(one, ["doc_id", "first"]).join(two, ["doc_id", "second"])
-    a1, b1, a2, b2 = (F.col(c) for c in ("a1", "b1", "a2", "b2"))
+    sides = sided.select("doc_id", "ord", F.explode(F.array("_a", "_b")).alias("text"))
+    both = _both(candidate_pairs(sides), sided, "_a", "_b")
+    a1, b1, a2, b2 = (F.col(c) for c in ("_a1", "_b1", "_a2", "_b2"))
     near = ((_either_contains(a1, a2) & _either_contains(b1, b2))
             | (_either_contains(a1, b2) & _either_contains(b1, a2)))
     return both.where(near).select("doc_id", "first", "second")
