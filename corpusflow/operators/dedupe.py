@@ -41,31 +41,42 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))).cast("int")
 
 
-def _runs(sizes: list[int], first: int, last: Callable[[int], Column], key: Callable) -> Column:
-    """Keys of all runs of the given sizes, starting at ``first`` up to ``last(size)``."""
-    def of(n: int) -> Column:
-        keys = F.transform(F.sequence(F.lit(first), last(n)), lambda i: key(i, F.lit(n)))
-        return F.when(last(n) >= first, keys).otherwise(F.array().cast("array<bigint>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+# How a text is filed: by its inner words, by the longer one of its two words (the second
+# from its start, the first from its end), or by the characters of its only word.
+INNER, SECOND, FIRST, SINGLE = "inner", "second", "first", "single"
 
 
-def _word_key(i: Column, n: Column) -> Column:
-    """n words from position i, with the last character before and the first one after them."""
-    words = F.col("words")
-    return F.xxhash64(n, F.right(F.get(words, i - 1), F.lit(1)), F.slice(words, i + 1, n),
-                      F.left(F.get(words, i + n), F.lit(1)))
+def _word(i: Column | int) -> Column:
+    return F.get(F.col("words"), F.lit(i) if isinstance(i, int) else i)
 
 
-def _char_key(i: Column, n: Column) -> Column:
+def _key(kind: str, i: Column, n: Column) -> Column:
+    """Hash of n words or characters at position i, with the characters next to them."""
+    before, after, one = F.right(_word(i - 1), F.lit(1)), F.left(_word(i + 1), F.lit(1)), F.lit(1)
+    if kind == INNER:
+        return F.xxhash64(n, before, F.slice("words", i + 1, n), F.left(_word(i + n), one))
+    if kind == SECOND:
+        return F.when(F.length(_word(i)) >= n, F.xxhash64(n, before, F.left(_word(i), n)))
+    if kind == FIRST:
+        return F.when(F.length(_word(i)) >= n, F.xxhash64(n, F.right(_word(i), n), after))
     return F.xxhash64(n, F.substring(F.col("text"), i + 1, n))
 
 
-def _sizes(texts: DataFrame) -> tuple[list[int], list[int]]:
-    """Anchor sizes in use, in words and in characters: powers of two of a length, so at most
-    31 of each."""
-    rows = texts.select("by_word", "size").distinct().collect()
-    return (sorted(r["size"] for r in rows if r["by_word"]), sorted(r["size"] for r in rows if not r["by_word"]))
+def _keys(kind: str, sizes: list[int]) -> Column:
+    """All keys of a text under which a text inside it may be filed."""
+    words, chars = F.size("words"), F.length("text")
+    first = {INNER: 1, SECOND: 1, FIRST: 0, SINGLE: 0}[kind]
+
+    def of(n: int) -> Column:
+        last = {INNER: words - n - 1, SECOND: words - 1, FIRST: words - 2, SINGLE: chars - n}[kind]
+        keys = F.transform(F.sequence(F.lit(first), last), lambda i: _key(kind, i, F.lit(n)))
+        return F.when(last >= first, keys).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.array_compact(F.concat(*[of(n) for n in sizes])))
+
+
+def _own_key(kind: str) -> Column:
+    return _key(kind, F.lit({INNER: 1, SECOND: 1, FIRST: 0, SINGLE: 0}[kind]), F.col("size"))
 
 
 def _meet(texts: DataFrame, keys: Column, filed: DataFrame, anchor: Column) -> DataFrame:
@@ -84,26 +95,30 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     under its first 2^m inner words, 2^m the largest power within their number, with the
     characters next to them, and looked up under all such runs of the sizes in use:
     candidates share at least half of the shorter text's inner words.  Texts of one or two
-    words have no inner word; they are filed by characters in the same way, and met only in
-    documents that have such texts.
+    words are filed by half or more of a word, and met only in documents that have them.
     """
+    count = F.size("words")
+    longer = F.length(_word(1)) >= F.length(_word(0))
     texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words"))
-    texts = texts.withColumn("by_word", F.size("words") > 2)
-    texts = texts.withColumn("size", _power(F.when(F.col("by_word"), F.size("words") - 2).otherwise(F.length("text"))))
-    long, short = texts.where("by_word"), texts.where(~F.col("by_word"))
-    word_sizes, char_sizes = _sizes(texts)
-    pairs = []
-    if word_sizes:
-        keys = _runs(word_sizes, 1, lambda n: F.size("words") - n - 1, _word_key)
-        pairs.append(_meet(texts, keys, long, _word_key(F.lit(1), F.col("size"))))
-    if char_sizes:
-        near = texts.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
-        keys = _runs(char_sizes, 0, lambda n: F.length("text") - n, _char_key)
-        pairs.append(_meet(near, keys, short, _char_key(F.lit(0), F.col("size"))))
-    if not pairs:
+    texts = texts.withColumn("kind", F.when(count > 2, INNER).when(count == 1, SINGLE)
+                             .when(longer, SECOND).otherwise(FIRST))
+    length = (F.when(count > 2, count - 2).when(count == 1, F.length("text"))
+              .otherwise(F.greatest(F.length(_word(0)), F.length(_word(1)))))
+    texts = texts.withColumn("size", _power(length))
+    # Sizes are powers of two of a length: at most 31 per kind.
+    used = [(r["kind"], r["size"]) for r in texts.select("kind", "size").distinct().collect()]
+    pairs = None
+    for kind in (INNER, SECOND, FIRST, SINGLE):
+        sizes = sorted(size for k, size in used if k == kind)
+        if not sizes:
+            continue
+        filed = texts.where(F.col("kind") == kind)
+        near = texts if kind == INNER else texts.join(filed.select("doc_id").distinct(), "doc_id", "left_semi")
+        met = _meet(near, _keys(kind, sizes), filed, _own_key(kind))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
         return texts.select("doc_id", F.col("ord").alias("first"), F.col("ord").alias("second")).limit(0)
-    both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
-    return both.distinct()
+    return pairs.distinct()
 
 
 def _both(pairs: DataFrame, items: DataFrame, *columns: str) -> DataFrame:

@@ -46,9 +46,14 @@ def current_manifest(spark: SparkSession, tables: IngestTables) -> DataFrame:
 
 
 def current_chunks(spark: SparkSession, tables: IngestTables) -> DataFrame:
-    """Chunks of the newest version of each document; the batch column tells versions apart."""
+    """Chunks of the newest version of each document.
+
+    The newest batch of an id comes from the stored snapshots (ids and partition values only),
+    so a version without any article leaves no older chunks behind.
+    """
     chunks = spark.read.parquet(tables.chunks)
-    newest = chunks.groupBy(F.col("source_id")).agg(F.max("batch").alias("batch"))
+    stored = spark.read.schema(_with_batch(SNAPSHOTS)).parquet(tables.raw)
+    newest = stored.groupBy(F.col("id").alias("source_id")).agg(F.max("batch").alias("batch"))
     return chunks.join(newest, ["source_id", "batch"], "left_semi").drop("batch")
 
 

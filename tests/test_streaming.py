@@ -67,3 +67,8 @@ def test_incremental_ingest(spark, tmp_path):
     log = {(r["id"], r["status"], r["batch"]) for r in spark.read.parquet(tables.change_log).collect()}
     assert log == {("a", "initial", 0), ("b", "initial", 0), ("b", "changed", 1), ("c", "initial", 1)}
     assert current_manifest(spark, tables).count() == 3
+    # A version without any text leaves nothing of the older ones.
+    spark.createDataFrame([("c", "<body></body>")], "id string, content string").withColumn(
+        "fetched_at", F.lit("2026-01-03").cast("timestamp")).coalesce(1).write.mode("append").parquet(landing)
+    ingest_stream(spark, landing, targets, tables, str(tmp_path / "cp")).awaitTermination(120)
+    assert {r["source_id"] for r in current_chunks(spark, tables).collect()} == {"a", "b"}
