@@ -11,20 +11,25 @@ from corpusflow.functions.model_json import decode_references
 NEW_CHAT = "New chat"
 
 
+TITLE_CHARS = 80
+
+
 def session_title(first_text: Column) -> Column:
     """First 80 characters of the opening message, or a fixed title when it is blank."""
-    cut = tx.excerpt(first_text, 80)
+    cut = tx.excerpt(first_text, TITLE_CHARS)
     return F.when(tx.is_blank(cut), F.lit(NEW_CHAT)).otherwise(cut)
 
 
 def session_rollup(messages: DataFrame) -> DataFrame:
     """AGG-8: (session_id, title, created_at, updated_at, messages) from the message log.
 
-    Plain hash aggregates: a session with very many messages is combined before the shuffle.
+    A session with very many messages is combined before the shuffle; texts are cut to the
+    title's length before they reach the aggregate.
     """
-    is_user = F.col("role") == "user"
-    first = F.min_by("content", F.when(is_user, F.struct("created_at", "content")))
-    return messages.groupBy("session_id").agg(
+    heads = messages.select("session_id", "created_at",
+                            F.when(F.col("role") == "user", tx.excerpt("content", TITLE_CHARS)).alias("head"))
+    first = F.min_by("head", F.when(F.col("head").isNotNull(), F.struct("created_at", "head")))
+    return heads.groupBy("session_id").agg(
         session_title(first).alias("title"), F.min("created_at").alias("created_at"),
         F.max("created_at").alias("updated_at"), F.count(F.lit(1)).alias("messages"))
 

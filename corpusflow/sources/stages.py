@@ -20,8 +20,8 @@ def spread(df: DataFrame) -> DataFrame:
     Text work costs far more than reading, and a small file is one row group, so one task.
     Inputs of SPREAD_BELOW_BYTES or more keep their own splits and are not exchanged.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= SPREAD_BELOW_BYTES:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= SPREAD_BELOW_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
