@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.catalog.base import WS, collapse, estimate, q, query, slug, table, tokens, trim_ws, words
+from corpusflow.catalog.base import collapse, estimate, q, query, slug, table, tokens, trim_ws, words
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.articles import article_rows, clean_documents, fallback_articles

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import (
-    WS, collapse, estimate, intent_norm, match_norm, q, query, sentences, slug, table, trim_ws, units, words)
+    collapse, estimate, intent_norm, match_norm, q, query, slug, table, trim_ws, units, words)
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.windows import add_packed_windows, char_windows
@@ -99,10 +99,6 @@ def detect_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.detect_language(opened()).alias("language"))
 
 
-def _sql_repeat(u):
-    return f"right(t, {3 * u}) = repeat(right(t, {u}), 3)"
-
-
 # A third of the documents (by length) get their last 70 characters written three times.
 _LOOPED = "(CASE WHEN length(text) % 3 = 0 THEN text || repeat(right(text, 70), 3) ELSE text END)"
 

@@ -8,8 +8,6 @@ rounds.  No document's items are gathered in one place.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

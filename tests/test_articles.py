@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators.articles import article_rows, clean_documents, with_articles
+from corpusflow.operators.articles import clean_documents, with_articles
 from corpusflow.operators.carry import carry_last, island_articles, preambles
 from corpusflow.operators.chunks import analysis_chunks, chunk_articles
 from corpusflow.operators.markup import LAW_PAGE
