@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from corpusflow.llm.common import record, slices, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 600_000   # encodings a worker keeps; beyond it the cache starts anew
+CACHED_WORDS = 400_000   # encodings a worker keeps; beyond it the cache starts anew
 PIECE_CHARS = 1 << 20    # longer texts are read in runs of about this size, cut before white space
 
 # The vocabulary's end-of-word mark and its split pattern.
@@ -130,7 +130,7 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """``b in whole and _meets(a, b)``, remembered by the pair."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         known = self.pairs[a << 32 | b] = b in self.whole and self._meets(a, b)
         return known

@@ -49,7 +49,7 @@ class PrefixCounts:
     def learn(self, pieces: Iterable[str]) -> None:
         """Counts of new words. Sorted words keep the table's part for what they share with the one before."""
         vocab, states, inner, before = self.vocab, [-1], [0], b""
-        if len(self.counts) > 2 * CACHED_WORDS:
+        if len(self.counts) > CACHED_WORDS:
             self.counts = dict.fromkeys(vocab.special, 1)
         new = {p.encode(): p for p in pieces if p not in self.counts}
         for word in sorted(new):

@@ -39,7 +39,7 @@ VOCABULARY = "piece_bpe_32k.model"
 DISCOUNT = 0.75
 OWN = 2000.0     # K: how many words of a text weigh as much as the corpus
 PRIOR = 1000.0   # weight of the vocabulary's own scores, in expected pieces
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 MARK = "▁".encode()
 
@@ -123,20 +123,24 @@ class Pieces:
         With ``expected``, the pieces' expected counts over these words are added to it (forward-backward).
         """
         out = np.empty(len(words))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, members in by_length.items():
-            step = max(1, BATCH_BYTES // (n + len(MARK)) // 16)
-            for at in range(0, len(members), step):
-                some = members[at:at + step]
-                flat = b"".join(MARK + words[i] for i in some)
-                letters = np.frombuffer(flat, np.uint8).reshape(len(some), -1).astype(np.uint64)
-                out[some] = self._sum(letters, logp, expected)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + len(MARK)
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            # Words of about one length together, as rows of bytes padded to the longest.
+            end = int(np.searchsorted(size[order], max(size[order[at]] * 5 // 4, 12), "right"))
+            end = min(end, at + max(1, BATCH_BYTES // int(size[order[end - 1]])))
+            some = order[at:end]
+            longest = int(size[some[-1]])
+            rows = b"".join((MARK + words[i]).ljust(longest, b"\0") for i in some.tolist())
+            letters = np.frombuffer(rows, np.uint8).reshape(len(some), longest).astype(np.uint64)
+            out[some] = self._sum(letters, size[some], logp, expected)
+            at = end
         return out
 
-    def _sum(self, letters: np.ndarray, logp: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
-        n = letters.shape[1]
+    def _sum(self, letters: np.ndarray, size: np.ndarray, logp: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
+        """Forward recursion over all words of a batch; what lies beyond a word's own size is not read."""
+        n, each = letters.shape[1], np.arange(len(letters))
         forward = np.full((n + 1, len(letters)), -np.inf)
         forward[0] = 0.0
         arcs = self.arcs(letters)
@@ -144,15 +148,15 @@ class Pieces:
             arcs = list(arcs)
         for start, end, at, piece in arcs:
             forward[end, at] = np.logaddexp(forward[end, at], forward[start, at] + logp[piece])
+        total = forward[size, each]
         if expected is not None:
             backward = np.full_like(forward, -np.inf)
-            backward[n] = 0.0
+            backward[size, each] = 0.0
             for start, end, at, piece in reversed(arcs):
                 tail = backward[end, at] + logp[piece]
-                share = np.exp(forward[start, at] + tail - forward[n, at])
-                expected += np.bincount(piece, share, len(expected))
+                expected += np.bincount(piece, np.exp(forward[start, at] + tail - total[at]), len(expected))
                 backward[start, at] = np.logaddexp(backward[start, at], tail)
-        return forward[n]
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +202,7 @@ def _tally(keys: list[np.ndarray], facts: list[bytes]) -> tuple[list[list[bytes]
 def word_questions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs of documents, their questions about words); both stored, by run and by bucket."""
     blobs = pack(docs, DOCS)
-    return blobs, stored(ask(blobs, _words_of).repartition(partitions(docs), "bucket"))
+    return blobs, stored(ask(blobs, _words_of, each=4).repartition(partitions(docs), "bucket"))
 
 
 def fit(docs: DataFrame, asked: DataFrame, name: str = VOCABULARY) -> dict:

@@ -18,18 +18,13 @@ from pyspark.sql import DataFrame
 
 from corpusflow.llm.common import RUN_BYTES, slices, stored
 
-BUCKETS_A_PARTITION = 8
+BUCKETS_A_PARTITION = 8  # several, so that partitions get even shares
 
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets(df: DataFrame) -> int:
-    """Several for each shuffle partition, so that partitions get even shares."""
-    return BUCKETS_A_PARTITION * partitions(df)
-
-
 def pack(docs: DataFrame, schema: pa.Schema) -> DataFrame:
     """(run, blob): the schema's columns of about RUN_BYTES of text in one compressed value.
 
@@ -67,10 +62,10 @@ ANSWERED = pa.schema([("run", pa.int64()), ("keys", pa.binary()), ("facts", pa.b
 
 
 def ask(blobs: DataFrame, questions: Callable[[dict[str, list], pa.Table | None], tuple],
-        answers: DataFrame | None = None) -> DataFrame:
+        answers: DataFrame | None = None, each: int = BUCKETS_A_PARTITION) -> DataFrame:
     """Rows of ASK. ``questions(documents, answers)`` gives sorted distinct hashes, and their facts: an array,
     or a function from places to bytes."""
-    n = buckets(blobs)
+    n = each * partitions(blobs)
 
     def rows(run: int, blob: bytes, known: pa.Table | None) -> list[tuple]:
         keys, facts = questions(unpack(blob), known)
