@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import lowered, mix, stored, tokenizer_path
-from corpusflow.llm.runs import answer, ask, column, finish, pack, partitions
+from corpusflow.llm.runs import answer, ask, facts_of, finish, pack
 
 VOCABULARY = "piece_bpe_32k.model"
 DISCOUNT = 0.75
@@ -168,6 +168,13 @@ def is_training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 != 0
 
 
+def _in_order(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order by hash, hashes in that order): how a run's words are asked about."""
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def _words_of(docs: dict[str, list], _) -> tuple:
     """A run's distinct words in order of hash, with their counts in its training documents."""
     seen: Counter = Counter()
@@ -178,23 +185,22 @@ def _words_of(docs: dict[str, list], _) -> tuple:
         else:
             other.update(lowered(text))
     found = [*seen, *(other - seen.keys())]
-    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    order = np.argsort(keys)
+    order, keys = _in_order(found)
     counts = np.fromiter((seen[w] for w in found), np.int64, len(found))[order]
     names = [found[i] for i in order.tolist()]
 
     def facts(at: np.ndarray) -> bytes:
-        return counts[at].tobytes() + b" ".join(names[at[0]:at[-1] + 1])
-    return keys[order], facts
+        return b" ".join([counts[at].tobytes().hex().encode(), *names[at[0]:at[-1] + 1]])
+    return keys, facts
 
 
-def _tally(keys: list[np.ndarray], facts: list[bytes]) -> tuple[list[list[bytes]], Counter]:
+def _tally(facts: list[bytes]) -> tuple[list[list[bytes]], Counter]:
     """The words of each question, and their training counts over all of them."""
     asked, total = [], Counter()
-    for key, fact in zip(keys, facts):
-        names = fact[8 * len(key):].split(b" ")
+    for fact in facts:
+        counts, *names = fact.split(b" ")
         asked.append(names)
-        for name, c in zip(names, np.frombuffer(fact[:8 * len(key)], np.int64).tolist()):
+        for name, c in zip(names, np.frombuffer(bytes.fromhex(counts.decode()), np.int64).tolist()):
             total[name] += c
     return asked, total
 
@@ -202,7 +208,7 @@ def _tally(keys: list[np.ndarray], facts: list[bytes]) -> tuple[list[list[bytes]
 def word_questions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs of documents, their questions about words); both stored, by run and by bucket."""
     blobs = pack(docs, DOCS)
-    return blobs, stored(ask(blobs, _words_of, each=4).repartition(partitions(docs), "bucket"))
+    return blobs, stored(ask(blobs, _words_of, each=16, send_keys=False))
 
 
 def fit(docs: DataFrame, asked: DataFrame, name: str = VOCABULARY) -> dict:
@@ -211,7 +217,7 @@ def fit(docs: DataFrame, asked: DataFrame, name: str = VOCABULARY) -> dict:
 
     def expect(group: pa.Table) -> pa.Table:
         table = pieces(name)
-        _, total = _tally([np.frombuffer(k.as_py(), np.uint64) for k in group["keys"]], [f.as_py() for f in group["facts"]])
+        _, total = _tally(facts_of(group))
         known = [w for w, c in total.items() if c]
         expected = np.zeros(len(table.prior))
         table.marginals(known, np.log(table.prior), expected)
@@ -267,14 +273,14 @@ def scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     model = fit(docs, asked, name)
 
     def reply(runs, keys, facts):
-        each, total = _tally(keys, facts)
+        each, total = _tally(facts)
         names = list(total)
         counts = np.fromiter(total.values(), np.int64, len(names))
         values = word_log10(counts, pieces(name).marginals(names, model["logp"]), model)
         place = {w: i for i, w in enumerate(names)}
-        for run, key, own in zip(runs, keys, each):
+        for run, own in zip(runs, each):
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            yield run, key.tobytes(), np.stack([counts[at].astype(np.float64), values[at]], 1).tobytes()
+            yield run, b"", np.concatenate([counts[at], values[at].view(np.int64)]).tobytes()
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
@@ -285,22 +291,25 @@ def scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     end_model = float(np.log10(max(model["ends"] - DISCOUNT, 0.1) / max(model["tokens"], 1)))
 
     def result(d, known):
-        keys = column(known, "keys", np.uint64)
-        values = column(known, "facts", np.float64).reshape(-1, 2)
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        base = base_log10(values[:, 0], model)
+        texts = [lowered(t) for t in d["text"]]
+        found = [*set().union(*texts)]
+        order, _ = _in_order(found)
+        # Answers in order of bucket are in order of hash; each holds its counts, then its values.
+        told = [np.frombuffer(f, np.int64).reshape(2, -1) for f in facts_of(known.sort_by("bucket"))]
+        counts = np.concatenate([x[0] for x in told] or [np.empty(0, np.int64)])
+        values = np.concatenate([x[1] for x in told] or [np.empty(0, np.int64)]).view(np.float64)
+        base = base_log10(counts, model)
+        place = {found[i]: n for n, i in enumerate(order.tolist())}
         out = {f.name: [] for f in schema}
-        for doc_id, text in zip(d["doc_id"], d["text"]):
-            found = lowered(text)
-            at = np.searchsorted(keys, np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+        for doc_id, words in zip(d["doc_id"], texts):
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             out["doc_id"].append(doc_id)
             out["held_out"].append(not is_training(doc_id))
-            out["n_tokens"].append(len(found) + 1)
-            out["n_known"].append(int((values[at, 0] > 0).sum()) + (model["ends"] > 0))
+            out["n_tokens"].append(len(words) + 1)
+            out["n_known"].append(int((counts[at] > 0).sum()) + (model["ends"] > 0))
             out["train_tokens"].append(model["tokens"])
             out["base_score"].append(float(base[at].sum()) + end_base)
-            out["score"].append(text_log10(at, values[at, 1], end_model))
+            out["score"].append(text_log10(at, values[at], end_model))
         return out
     return finish(blobs, answer(asked, reply), result, schema,
                   "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

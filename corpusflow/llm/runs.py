@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from zstandard import compress, decompress
 
 from corpusflow.llm.common import RUN_BYTES, slices, stored
 
@@ -39,7 +40,7 @@ def pack(docs: DataFrame, schema: pa.Schema) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()])],
                                              names=["run", "blob"])
     packed = docs.select(*schema.names).mapInArrow(blobs, "run long, blob binary")
-    return stored(packed.repartition(partitions(docs), "run"))
+    return stored(packed)
 
 
 def unpack(blob: bytes) -> dict[str, list]:
@@ -57,20 +58,20 @@ def dealt(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 ASK = "run long, bucket int, keys binary, facts binary"
 ASKED = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("facts", pa.binary())])
-ANSWER = "run long, keys binary, facts binary"
-ANSWERED = pa.schema([("run", pa.int64()), ("keys", pa.binary()), ("facts", pa.binary())])
+ANSWER = "run long, bucket int, keys binary, facts binary"
+ANSWERED = ASKED
 
 
 def ask(blobs: DataFrame, questions: Callable[[dict[str, list], pa.Table | None], tuple],
-        answers: DataFrame | None = None, each: int = BUCKETS_A_PARTITION) -> DataFrame:
+        answers: DataFrame | None = None, each: int = BUCKETS_A_PARTITION, send_keys: bool = True) -> DataFrame:
     """Rows of ASK. ``questions(documents, answers)`` gives sorted distinct hashes, and their facts: an array,
-    or a function from places to bytes."""
+    or a function from places to bytes. Without ``send_keys`` the facts tell all, and the hashes only deal them."""
     n = each * partitions(blobs)
 
     def rows(run: int, blob: bytes, known: pa.Table | None) -> list[tuple]:
         keys, facts = questions(unpack(blob), known)
         told = facts if callable(facts) else lambda at: b"" if facts is None else facts[at].tobytes()
-        return [(run, b, keys[at].tobytes(), told(at)) for b, at in dealt(keys, n)]
+        return [(run, b, keys[at].tobytes() if send_keys else b"", compress(told(at), 1)) for b, at in dealt(keys, n)]
 
     def table(found: list[tuple]) -> pa.Table:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ASKED)] if found
@@ -88,12 +89,13 @@ def ask(blobs: DataFrame, questions: Callable[[dict[str, list], pa.Table | None]
 
 
 def answer(asked: DataFrame, reply: Callable[[list[int], list[np.ndarray], list[bytes]], Iterator[tuple]]) -> DataFrame:
-    """Rows of ANSWER. ``reply(runs, keys, facts)`` sees all questions of one bucket, one entry for each run."""
+    """Rows of ANSWER. ``reply(runs, keys, facts)`` sees all questions of one bucket, one entry for each run,
+    and yields (run, keys, facts)."""
     def one(group: pa.Table) -> pa.Table:
-        runs = group["run"].to_pylist()
+        bucket = group["bucket"][0].as_py()
         keys = [np.frombuffer(k.as_py(), np.uint64) for k in group["keys"]]
-        facts = [f.as_py() for f in group["facts"]]
-        found = list(reply(runs, keys, facts))
+        found = [(run, bucket, key, compress(fact, 1))
+                 for run, key, fact in reply(group["run"].to_pylist(), keys, facts_of(group))]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ANSWERED)] if found
                                     else [pa.array([], f.type) for f in ANSWERED], schema=ANSWERED)
     return asked.groupBy("bucket").applyInArrow(one, ANSWER)
@@ -108,6 +110,15 @@ def finish(blobs: DataFrame, answers: DataFrame, result: Callable[[dict[str, lis
     return blobs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(both, ddl)
 
 
-def column(table: pa.Table, name: str, kind) -> np.ndarray:
-    """The packed values of all answers to one run, in one array."""
-    return np.concatenate([np.frombuffer(v.as_py(), kind) for v in table[name]] or [np.empty(0, kind)])
+def facts_of(table: pa.Table) -> list[bytes]:
+    return [decompress(f.as_py()) for f in table["facts"]]
+
+
+def keys_of(known: pa.Table) -> np.ndarray:
+    """The keys of all answers to one run, in one array."""
+    return np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in known["keys"]] or [np.empty(0, np.uint64)])
+
+
+def values_of(known: pa.Table, kind) -> np.ndarray:
+    """The facts of all answers to one run, in the order of ``keys_of``."""
+    return np.concatenate([np.frombuffer(f, kind) for f in facts_of(known)] or [np.empty(0, kind)])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import mix, words
-from corpusflow.llm.runs import answer, ask, column, finish, pack
+from corpusflow.llm.runs import answer, ask, finish, keys_of, pack, values_of
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max
@@ -103,7 +103,7 @@ def _candidates(w: Windows, level: int, first: bool, known: pa.Table) -> np.ndar
     """Which full windows may be repeated after a level: other runs share its key, or another document here does."""
     keys = w.keys(level, first)
     distinct, low, high = _spread(keys, w.doc)
-    alive = np.unique(np.concatenate([column(known, "keys", np.uint64), distinct[low < high]]))
+    alive = np.unique(np.concatenate([keys_of(known), distinct[low < high]]))
     if not len(alive):
         return np.zeros(len(keys), bool)
     return alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys
@@ -135,7 +135,7 @@ def removed(docs: dict[str, list], known: pa.Table, window: int) -> tuple[Window
     w = Windows(docs, window)
     keys = w.keys(window, False)
     distinct, low, _ = _spread(keys, w.doc)
-    theirs, owners = column(known, "keys", np.uint64), column(known, "facts", np.int64)
+    theirs, owners = keys_of(known), values_of(known, np.int64)
     if len(distinct):
         at = np.searchsorted(distinct, theirs)
         low[at] = np.minimum(low[at], owners)
