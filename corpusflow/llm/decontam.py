@@ -19,7 +19,7 @@ repeated hits; of several places the one with the least distance counts, then th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +46,17 @@ def hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
+@lru_cache(maxsize=1 << 16)
+def _seed(step: int, repetition: int) -> np.uint64:
+    return mix(np.array([repetition << 32 | step], np.uint64))[0] | np.uint64(1)
+
+
 def moves(symbols: np.ndarray, step: int, repetition: int) -> np.ndarray:
     """The walk's random bit for each symbol at a step."""
-    seed = mix(np.array([repetition << 32 | step], np.uint64))[0] | np.uint64(1)
-    return (mix(symbols ^ seed) >> np.uint64(63)).astype(np.int64)
+    return ((symbols ^ _seed(step, repetition)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64)
 
 
+@lru_cache(maxsize=1 << 16)
 def sampled(length: int, repetition: int, samples: int) -> list[int]:
     """Steps that a repetition looks at, one from each part of the first 3/2 of the length (a walk takes about 2)."""
     rng = np.random.Generator(np.random.PCG64([repetition, length]))
@@ -59,22 +64,30 @@ def sampled(length: int, repetition: int, samples: int) -> list[int]:
     return [int(rng.integers(int(a), max(int(b), int(a) + 1))) for a, b in zip(edges, edges[1:])]
 
 
-def walk(symbols: np.ndarray, starts: np.ndarray, length: int, repetition: int, samples: int) -> np.ndarray:
+def walk(symbols: np.ndarray, starts: np.ndarray, length: int, repetition: int, samples: int,
+         signs: np.ndarray | None = None) -> np.ndarray:
     """Sampled symbols of the CGK embeddings of ``symbols[start:start + length]``, one row for each start.
 
-    Symbols before or after the text are 0, as are those after a window's end.
+    Symbols before or after the text are 0, as are those after a window's end. With ``signs`` (a row for each start)
+    the result is the starts' numbers whose samples all agree with them; a window is left at its first that does not.
     """
     steps = sampled(length, repetition, samples)
-    at = np.zeros(len(starts), np.int64)
+    at, left = np.zeros(len(starts), np.int64), np.arange(len(starts))
     out = np.zeros((len(starts), len(steps)), np.uint64)
     for step in range(steps[-1] + 1):
         place = starts + at
         inside = (at < length) & (place >= 0) & (place < len(symbols))
-        symbol = np.where(inside, symbols[np.clip(place, 0, len(symbols) - 1)], np.uint64(0))
+        symbol = np.where(inside, symbols[np.minimum(np.maximum(place, 0), len(symbols) - 1)], np.uint64(0))
         for column in (i for i, s in enumerate(steps) if s == step):
-            out[:, column] = symbol
-        at += moves(symbol, step, repetition)
-    return out
+            if signs is None:
+                out[:, column] = symbol
+            else:
+                agree = np.flatnonzero(symbol == signs[left, column])
+                starts, at, left, symbol = starts[agree], at[agree], left[agree], symbol[agree]
+        if not len(left):
+            break
+        at = at + moves(symbol, step, repetition)
+    return out if signs is None else left
 
 
 def fit_distance(pattern: bytes, text: bytes) -> int:
@@ -118,11 +131,19 @@ class Items:
         word = np.concatenate(symbols) if symbols else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(self.rows)), self.length)
         offset = np.concatenate([np.arange(n) for n in self.length]) if len(self.rows) else word.astype(np.int64)
-        order = np.argsort(word, kind="stable")
-        self.word, self.item, self.offset = word[order], item[order], offset[order]
+        # Only an item's own anchors: a document's anchor inside an unedited stretch is one of these.
         self.among = int(min([AMONG, *self.length])) if len(self.rows) else AMONG
-        self.signs = {(i, r): walk(s, np.zeros(1, np.int64), len(s), r, samples)[0]
-                      for i, s in enumerate(symbols) for r in range(repetitions)}
+        begin = np.cumsum(self.length) - self.length
+        sizes = [np.minimum([*map(len, t)], 0xFFFF) for _, t in self.rows]
+        own = [anchors(s, z, self.among) + b for s, z, b in zip(symbols, sizes, begin)]
+        own = np.concatenate(own) if own else np.empty(0, np.int64)
+        own = own[np.argsort(word[own], kind="stable")]
+        self.word, self.item, self.offset = word[own], item[own], offset[own]
+        self.signs = np.zeros((repetitions, len(self.rows), samples), np.uint64)
+        for length in np.unique(self.length).tolist():
+            some = np.flatnonzero(self.length == length)
+            for r in range(repetitions):
+                self.signs[r, some] = walk(word, begin[some], length, r, samples)
 
     def candidates(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, window start) pairs that LSH lets through; ``symbols`` are documents end to end."""
@@ -131,18 +152,15 @@ class Items:
         many = np.searchsorted(self.word, symbols[at], "right") - left
         entry = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
         item, start = self.item[entry], np.repeat(at, many) - self.offset[entry]
-        pairs = np.unique(np.stack([item, start], 1), axis=0)
-        if not len(pairs):
-            return
-        item, start = pairs[:, 0], pairs[:, 1]
+        pair = np.unique(item << 44 | start + (1 << 43))  # starts may lie before the text
+        item, start = pair >> 44, (pair & (1 << 44) - 1) - (1 << 43)
         for length in np.unique(self.length[item]).tolist():
             own = np.flatnonzero(self.length[item] == length)
-            passed = np.zeros(len(own), bool)
             for r in range(self.repetitions):
-                signs = np.array([self.signs[i, r] for i in item[own].tolist()])
-                passed |= (walk(symbols, start[own], length, r, self.samples) == signs).all(1)
-            for k in own[passed].tolist():
-                yield int(item[k]), int(start[k])
+                met = walk(symbols, start[own], length, r, self.samples, self.signs[r, item[own]])
+                for k in own[met].tolist():
+                    yield int(item[k]), int(start[k])
+                own = np.delete(own, met)
 
 
 def anchors(symbols: np.ndarray, sizes: np.ndarray, among: int) -> np.ndarray:
@@ -205,8 +223,9 @@ def passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
              samples: int = SAMPLES) -> DataFrame:
     """One row for each document and benchmark item whose text it holds within the similarity."""
     def one(block):
+        ready = Items(block, repetitions, samples, similarity)  # as large as the block
+
         def find(batches):
-            ready = Items(block, repetitions, samples, similarity)
             for part in slices(batches):
                 out = [(part["doc_id"][row], ready.rows[item][0], distance,
                         1 - distance / len(ready.text[item]), at) for row, item, distance, at in _search(part, ready)]
@@ -220,8 +239,9 @@ def without_passages(docs: DataFrame, items: DataFrame, similarity: float = SIMI
                      repetitions: int = REPETITIONS, samples: int = SAMPLES) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns, in one pass and without a shuffle."""
     def one(rest, block):
+        ready = Items(block, repetitions, samples, similarity)
+
         def drop(batches):
-            ready = Items(block, repetitions, samples, similarity)
             for batch in batches:
                 at = 0
                 texts = batch.select(["text"])
