@@ -134,9 +134,8 @@ def accuracies(counts: dict[int, int], rounds: int = 100) -> tuple[float, np.nda
     Starts from labellers that are right four times of five; votes of one document are independent given its class.
     """
     codes = sorted(counts)
-    votes = np.array([unpattern(c) for c in codes]).reshape(len(codes), len(LABELLERS))
+    votes = np.array([unpattern(c) for c in codes], int).reshape(len(codes), len(LABELLERS))
     weight = np.array([counts[c] for c in codes], float)
-    good = np.full(len(codes), 0.5)
     score = (votes == GOOD).sum(1) - (votes == BAD).sum(1)
     good = np.where(score > 0, 0.8, np.where(score < 0, 0.2, 0.5))
     share, table = 0.5, np.zeros((2, len(LABELLERS), 3))
