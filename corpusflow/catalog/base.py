@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.sources.stages import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +21,13 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table as its files are split; ``corpusflow.input.partitions``, if the session sets it, deals the rows anew.
+
+    The setting is for tables of one row group (tests, bench); it is never decided by size.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    dealt = spark.conf.get("corpusflow.input.partitions", None)
+    return rows.repartition(int(dealt)) if dealt else rows
 
 
 # --- SQL fragments (DuckDB's regular expressions have ASCII \s only) ---

@@ -198,7 +198,7 @@ def distinct_finding_rows(spark, sf_dir):
                UNION ALL SELECT doc_id, 1152921504606846976 + ord * 2 + 1, statement_b FROM finding_rows),
     n AS (SELECT doc_id, ord, claim, {match_norm('claim')} AS n FROM claims),
     f AS (SELECT doc_id, list_reduce(list([struct_pack(ord := ord, claim := claim, n := n)] ORDER BY ord), lambda acc, x:
-            CASE WHEN len(acc) >= 48 OR len(list_filter(acc, lambda k: contains(k.n, x[1].n) OR contains(x[1].n, k.n))) > 0
+            CASE WHEN len(list_filter(acc, lambda k: contains(k.n, x[1].n) OR contains(x[1].n, k.n))) > 0
                  THEN acc ELSE acc || x END) AS kept FROM n WHERE length(n) >= 12 GROUP BY doc_id)
     SELECT doc_id, unnest(kept).ord AS ord, unnest(kept).claim AS claim FROM f""")
 def distinct_claims(spark, sf_dir):

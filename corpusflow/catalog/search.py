@@ -131,12 +131,9 @@ def _detected(x):
 
 
 def _system_prompt_sql():
-    # The prompt text around language rule and context, taken from the template itself.
-    rules = pr._numbered(pr.ANSWER_RULES)
-    head = ("You are corpusflow, an offline legal assistant for Uzbekistan legislation (Labor Code / Mehnat kodeksi and "
-            f"Civil Code / Fuqarolik kodeksi only).\n\nSTRICT RULES:\n{rules}\n4. Match the user's language (detected: ")
-    tail = f"). Respond in that language.\n5. {pr.FORMAT_RULE}\n\nRETRIEVED LEGISLATION:\n"
-    return f"{q(head)} || lang || {q(tail)} || context"
+    # The prompt text around language rule and context is the template's own.
+    head, middle = pr.answer_frame("corpusflow")
+    return (f"{q(head + 'Write in the language of the question (')} || lang || {q(').' + middle)} || context")
 
 
 _ASKED_LANG = f"{_detected('b.text')}"

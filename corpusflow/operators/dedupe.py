@@ -8,12 +8,12 @@ rounds.  No document's items are gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
-from corpusflow.settings import CLAIM_CAP, MIN_QUOTE_CHARS, checkpointed
+from corpusflow.settings import MIN_QUOTE_CHARS, checkpointed
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -188,13 +188,11 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     return keep_first(exact, near_duplicate_pairs(exact)).drop("_a", "_b")
 
 
-def dedupe_claims(claims: DataFrame, cap: int = CLAIM_CAP) -> DataFrame:
+def dedupe_claims(claims: DataFrame) -> DataFrame:
     """FIND-6, SORT-4: (doc_id, ord, claim): claims of 12 or more normalised characters, none
-    containing an earlier kept one or contained in it, the first ``cap`` per document."""
+    containing an earlier kept one or contained in it."""
     ready = (claims.withColumn("_n", tx.normalize_for_match("claim"))
              .where(F.length("_n") >= MIN_QUOTE_CHARS))
     exact = checkpointed(_first_of(ready, "doc_id", "_n"))
     kept = keep_first(exact, containing_pairs(exact.select("doc_id", "ord", F.col("_n").alias("text"))))
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    return (kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
-            .drop("_n", "rank"))
+    return kept.drop("_n")

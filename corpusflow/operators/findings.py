@@ -115,8 +115,11 @@ def filter_grounded(findings: DataFrame, sources: DataFrame) -> DataFrame:
                         ).drop("_src", "_a", "_b")
 
 
-# A number with its immediate neighbours: the word before, the value, the word after.
-_MENTION = r"(?U)(?:^|\s)(\p{L}[\p{L}'’‘-]*):?\s+(\d[\d.,:]*(?:\s\d[\d.,:]*)*)\s+(\p{L}[\p{L}'’‘-]*)"
+# A number with its immediate neighbours: the word before, the value, the word after (empty if none follows).
+# The value is one possessive run, so a table of any length is read without recursion; the word after is only
+# looked at, so it may be the word before the next number.
+_MENTION = (r"(?U)(?<!\S)(\p{L}[\p{L}'’‘-]*+):?\s++(\d[\d.,:\s]*+)"
+            r"(?:(?<=\s)(?=(\p{L}[\p{L}'’‘-]*+))|(?!\p{L}))")
 
 
 def conflict_candidates(claims: DataFrame) -> DataFrame:
@@ -128,10 +131,12 @@ def conflict_candidates(claims: DataFrame) -> DataFrame:
     of the rows is combined before the shuffle and never paired with itself.
     """
     norm = tx.normalize_for_match("claim")
-    rows = explode_rows(claims, F.regexp_extract_all(norm, F.lit(_MENTION), F.lit(0)), "_at", "m", "doc_id", "ord", "claim")
-    value = F.regexp_replace(F.regexp_replace(F.regexp_extract("m", _MENTION, 2), r"\s", ""), r"[.,:]+$", "")
-    rows = rows.select("doc_id", "ord", "claim", F.regexp_extract("m", _MENTION, 1).alias("before"),
-                       value.alias("value"), F.regexp_extract("m", _MENTION, 3).alias("after"))
+    parts = F.arrays_zip(*[F.regexp_extract_all(norm, F.lit(_MENTION), F.lit(i)).alias(name)
+                           for i, name in ((1, "before"), (2, "number"), (3, "after"))])
+    rows = explode_rows(claims, parts, "_at", "m", "doc_id", "ord", "claim")
+    value = F.regexp_replace(F.regexp_replace(F.col("m.number"), r"\s", ""), r"[.,:]+$", "")
+    rows = rows.select("doc_id", "ord", "claim", F.col("m.before").alias("before"), value.alias("value"),
+                       F.col("m.after").alias("after"))
     topic = ["doc_id", "before", "after"]
     by_value = rows.groupBy(*topic, "value").agg(F.min(F.struct("ord", "claim")).alias("said"))
     first = by_value.groupBy(*topic).agg(F.min(F.struct("said", "value")).alias("f"))

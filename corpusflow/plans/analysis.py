@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import prompts as pr
@@ -16,7 +16,7 @@ from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
     claim_rows, conflict_candidates, filter_grounded, finding_rows, parse_outputs, parse_rows, report)
 from corpusflow.plans.answering import generated
-from corpusflow.settings import CONTEXT_TOKENS, checkpointed
+from corpusflow.settings import CLAIMS_A_PROMPT, CONTEXT_TOKENS, checkpointed
 
 _COLUMNS = ("doc_id", "ord", "statement_a", "statement_b", "explanation")
 _LATE = 1 << 61   # reconciliation findings come after all chunk findings
@@ -40,25 +40,35 @@ def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked:
               assistant: str = "corpusflow") -> DataFrame:
     """FIND-7: extra findings between chunks of chunked documents with two or more claims.
 
-    With a generator the capped claims of a document form one prompt; without one,
-    conflict_candidates looks at the claims directly.
+    With a generator a document's claims are cut into blocks of half a prompt, and any two blocks
+    of a document meet in one prompt; without one, conflict_candidates looks at the claims directly.
+    Rows of a document are numbered after all chunk findings.
     """
     multi = claims.join(chunked, "doc_id", "left_semi")
     if generate_fn is None:
         found = conflict_candidates(multi)
-        ordered = found.withColumn("ord", F.lit(_LATE) + F.col("ord_b") % F.lit(1 << 60))
+        late = Window.partitionBy("doc_id").orderBy("ord_b", "ord_a", "explanation")
+        ordered = found.withColumn("ord", F.lit(_LATE) + F.row_number().over(late))
         return filter_grounded(ordered.select(*_COLUMNS), docs)
-    # At most CLAIM_CAP claims per document are left, so this list is bounded.
-    listed = multi.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "claim"))).alias("c"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    blocks = (multi.withColumn("block", F.floor(place / (CLAIMS_A_PROMPT // 2)))
+              .groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "claim"))).alias("c")))
+    other = blocks.select("doc_id", F.col("block").alias("block_b"), F.col("c").alias("c_b"))
+    alone = blocks.groupBy("doc_id").agg(F.max("block").alias("last"))
+    met = (blocks.join(alone, "doc_id").join(other, "doc_id")
+           .where((F.col("block") < F.col("block_b")) | ((F.col("last") == 0) & (F.col("block_b") == 0))))
+    both = F.when(F.col("block") < F.col("block_b"), F.concat("c", "c_b")).otherwise(F.col("c"))
+    listed = met.select("doc_id", "block", "block_b", both.alias("c"))
     known = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
         "ord", "statement_a", "statement_b", "explanation"))).alias("f"))
     ready = (listed.where(F.size("c") >= 2).join(known, "doc_id", "left")
              .withColumn("c", F.transform("c", lambda x: x["claim"])))
     system, user = pr.reconcile_prompts(F.col("c"), F.col("f"), assistant)
-    said = ready.select("doc_id", generated(pr.chat_prompt(system, user), generate_fn).alias("answer"))
-    parsed = said.select("doc_id", parse_analysis(F.col("answer")).alias("p"))
-    rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id")
-            .select("doc_id", (F.lit(_LATE) + F.col("item")).alias("ord"), "c.*"))
+    said = ready.select("doc_id", "block", "block_b", generated(pr.chat_prompt(system, user), generate_fn).alias("answer"))
+    parsed = said.select("doc_id", "block", "block_b", parse_analysis(F.col("answer")).alias("p"))
+    late = Window.partitionBy("doc_id").orderBy("block", "block_b", "item")
+    rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id", "block", "block_b")
+            .select("doc_id", (F.lit(_LATE) + F.row_number().over(late)).alias("ord"), "c.*"))
     return filter_grounded(rows.select(*_COLUMNS), docs)
 
 

@@ -13,6 +13,7 @@ def local_session(cpus: str = "8", shuffle_partitions: str = "8") -> SparkSessio
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
+             .config("corpusflow.input.partitions", cpus)
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

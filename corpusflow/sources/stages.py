@@ -11,21 +11,6 @@ def read_stage(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores.
-
-    Text work costs far more than reading, and a small file is one row group, so one task.
-    Inputs of SPREAD_BELOW_BYTES or more keep their own splits and are not exchanged.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def write_stage(df: DataFrame, path: str, mode: str = "overwrite", counted: dict | None = None) -> dict:
     """SNK-4: write and return counts observed during the write itself (no second pass).
 

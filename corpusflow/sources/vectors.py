@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from corpusflow.operators.knn import assign_cells
 from corpusflow.schemas import VECTORS
-from corpusflow.settings import EMBEDDING_DIM
+from corpusflow.settings import EMBEDDING_DIM, checkpointed
 
+SOURCE_BUCKETS = 64
 TEXT_COLUMNS = ("id", "text", "law_name", "article_number", "chapter", "section_title")
 
 
@@ -32,30 +33,43 @@ def to_vector_rows(df: DataFrame, *keep: str, vector: str = "embedding_vector")
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_key") -> DataFrame:
-    """JOIN-3: one vector per chunk; a chunk without one, or with two, fails the job."""
+    """JOIN-3: one vector per chunk; a chunk without one or with two, and a vector without a chunk, fail the job."""
     once = vectors.groupBy(key).agg(F.any_value("embedding_vector").alias("_v"), F.count(F.lit(1)).alias("_n"))
-    joined = chunks.join(once, key, "left")
-    bad = F.concat(F.lit("chunk without exactly one vector: "), F.col(key))
-    ok = F.col("_n") == 1
-    return (joined.withColumn("embedding_vector", F.when(F.coalesce(ok, F.lit(False)), F.col("_v"))
-                              .otherwise(F.raise_error(bad))).drop("_v", "_n"))
+    joined = chunks.withColumn("_chunk", F.lit(True)).join(once, key, "full")
+    bad = F.concat(F.when(F.col("_chunk").isNull(), F.lit("vector without a chunk: "))
+                   .otherwise(F.lit("chunk without exactly one vector: ")), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    ok = F.coalesce(F.col("_chunk") & (F.col("_n") == 1), F.lit(False))
+    return (joined.withColumn("embedding_vector", F.when(ok, F.col("_v")).otherwise(F.raise_error(bad)))
+            .drop("_v", "_n", "_chunk"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_BUCKETS)).cast("int")
 
 
 def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int = EMBEDDING_DIM,
                   cells: DataFrame | None = None) -> None:
-    """SNK-1: store validated rows, partitioned by ``source_id`` (or by cell for IVF search).
+    """SNK-1: store validated rows in SOURCE_BUCKETS folders by a hash of ``source_id``; with ``cells`` each row
+    also has its cell, and files are ordered by it.
 
-    Without ``overwrite`` an existing table is an error.  With it, only the partitions that
-    occur in ``df`` are replaced, so a run over some sources leaves the others in place.
+    Without ``overwrite`` an existing table is an error.  With it, all rows of the sources in ``df`` are replaced:
+    the folders these sources fall into are rewritten from their other rows and the new ones.
     """
     if df.isEmpty():
         raise ValueError("no rows to write")
     rows = validate_dim(to_vector_rows(df, "source_id"), dim=dim)
-    part = "source_id"
     if cells is not None:
         placed = assign_cells(rows.withColumnRenamed("embedding_vector", "vector"), cells)
-        rows, part = placed.withColumnRenamed("vector", "embedding_vector").drop("source_id"), "cell"
-    writer = rows.write.partitionBy(part).option("maxRecordsPerFile", 1_000_000)
+        rows = placed.withColumnRenamed("vector", "embedding_vector").withColumn("cell", F.col("cell").cast("int"))
+    rows = rows.withColumn("bucket", _bucket())
+    if overwrite:
+        sources = df.select("source_id").distinct()
+        stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+        touched = stored.join(sources.select(_bucket().alias("bucket")).distinct(), "bucket", "left_semi")
+        others = touched.join(sources, "source_id", "left_anti").select(*rows.columns)
+        rows = rows.unionByName(checkpointed(others))
+    order = ["bucket", "cell"] if cells is not None else ["bucket"]
+    writer = rows.sortWithinPartitions(*order).write.partitionBy("bucket").option("maxRecordsPerFile", 1_000_000)
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -64,9 +78,10 @@ def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int =
 
 def read_vectors(spark: SparkSession, path: str, by_cell: bool = False) -> DataFrame:
     """SRC-7: the stored table with its declared schema; a missing table is an error."""
-    part = T.StructField("cell", T.IntegerType()) if by_cell else T.StructField("source_id", T.StringType())
-    schema = T.StructType(VECTORS.fields + [part])
+    extra = [T.StructField("source_id", T.StringType())] + [T.StructField("cell", T.IntegerType())] * by_cell
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(T.StructType(VECTORS.fields + extra)).parquet(path).drop("bucket")
     except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no vector table at {path}") from exc

@@ -30,12 +30,12 @@ def _model(prompts):
     """Quotes the first two sentences of the text between the markers as a contradiction."""
     out = []
     for p in prompts:
-        if "CLAIMS (from all chunks)" in p:
-            claims = [line.split(". ", 1)[1] for line in p.split("CLAIMS (from all chunks):\n")[1].split("\n\n")[0].split("\n")]
+        if "SENTENCES:\n" in p:
+            claims = [line.split(". ", 1)[1] for line in p.split("SENTENCES:\n")[1].split("\n\n")[0].split("\n")]
             pair = {"statement_a": claims[0], "statement_b": claims[-1], "explanation": "uzoq"}
             out.append(json.dumps({"summary": "ok", "contradictions": [pair]}))
             continue
-        body = p.split("BOSHLANISHI ---\n")[1].split("\n---")[0]
+        body = p.split("MATN BOSHI ===\n")[1].split("\n===")[0]
         s = [x.strip() for x in body.split(". ")]
         pair = {"statement_a": s[0], "statement_b": s[1], "explanation": "zid"}
         out.append("```json\n" + json.dumps({"summary": s[0], "contradictions": [pair], "key_claims": [s[0], s[-1]]}) + "\n```")
@@ -51,7 +51,7 @@ def test_analyze_with_generator(spark):
     assert reports[2]["was_chunked"] and "Eslatma" in reports[2]["summary"]
     explained = {r["explanation"] for r in result.findings.where("doc_id = 2").collect()}
     assert explained == {"zid", "uzoq"}
-    assert result.claims.groupBy("doc_id").count().agg(F.max("count")).head()[0] <= 48
+    assert result.claims.groupBy("doc_id").count().agg(F.max("count")).head()[0] >= 2
 
 
 def test_analyze_without_reconciling_model(spark):
@@ -66,4 +66,5 @@ def test_analyze_without_reconciling_model(spark):
     reports = {r["doc_id"]: r for r in result.reports.collect()}
     assert reports[2]["analysis_failed"] and reports[2]["finding_count"] == 0
     found = result.findings.where("doc_id = 1").collect()
-    assert not reports[1]["analysis_failed"] and isinstance(found, list)
+    assert not reports[1]["analysis_failed"]
+    assert [("8 000 000" in r["statement_a"], "4 000 000" in r["statement_b"]) for r in found] == [(True, True)]

@@ -74,14 +74,19 @@ def test_vector_table_by_cell(spark, tmp_path):
     cells = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, centroid array<double>")
     write_vectors(_vectors(spark, ("a", 9, "s1"), ("b", 0, "s2")), path, dim=2, cells=cells)
     assert {(r["id"], r["cell"]) for r in read_vectors(spark, path, by_cell=True).collect()} == {("a", 0), ("b", 1)}
+    write_vectors(_vectors(spark, ("c", 1, "s1")), path, overwrite=True, dim=2, cells=cells)
+    assert {(r["id"], r["source_id"]) for r in read_vectors(spark, path, by_cell=True).collect()} == {("b", "s2"), ("c", "s1")}
 
 
 def test_attach_vectors_is_strict(spark):
     chunks = spark.createDataFrame([("k1",), ("k2",)], "chunk_key string")
     vecs = spark.createDataFrame([("k1", [1.0]), ("k2", [2.0]), ("k2", [3.0])], "chunk_key string, embedding_vector array<double>")
-    assert attach_vectors(chunks.where("chunk_key = 'k1'"), vecs).count() == 1
+    assert attach_vectors(chunks.where("chunk_key = 'k1'"), vecs.where("chunk_key = 'k1'")).count() == 1
     with pytest.raises(Exception, match="chunk without exactly one vector"):
         attach_vectors(chunks, vecs).collect()
+    with pytest.raises(Exception, match="vector without a chunk"):
+        attach_vectors(chunks.where("chunk_key = 'k1'"), vecs.where("chunk_key = 'k1'").union(
+            spark.createDataFrame([("k9", [1.0])], vecs.schema))).collect()
 
 
 def test_stage_write_counts(spark, tmp_path):

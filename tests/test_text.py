@@ -127,9 +127,9 @@ def test_check_prompts(spark):
         "n", check_system_prompt(F.col("i"), F.col("n"), "bot").alias("s"),
         check_user_prompt(F.col("c"), F.col("i"), F.col("n")).alias("u"))
     rows = {r["n"]: r for r in df.collect()}
-    assert "chunk 1 of" not in rows[1]["s"] and "TO‘LIQ hujjat" in rows[1]["u"] and "BO‘LIM" not in rows[1]["u"]
-    assert "HUJJAT BOSHLANISHI" in rows[1]["u"]
-    assert "chunk 1 of 3" in rows[3]["s"] and "BO‘LIMI (1/3)" in rows[3]["u"] and "TO‘LIQ hujjat" not in rows[3]["u"]
+    assert "part 1 of" not in rows[1]["s"] and "to‘liq" in rows[1]["u"] and "qismi" not in rows[1]["u"]
+    assert rows[1]["u"].endswith("=== MATN BOSHI ===\nMatn\n=== MATN OXIRI ===")
+    assert "part 1 of 3" in rows[3]["s"] and "1-qismi, jami 3" in rows[3]["u"] and "to‘liq" not in rows[3]["u"]
 
 
 def test_blocks_and_template(spark):
@@ -138,5 +138,5 @@ def test_blocks_and_template(spark):
     row = df.select(claims_block(F.col("c")).alias("c"), findings_block(F.col("f")).alias("f"),
                     findings_block(F.slice("f", 1, 0)).alias("none"),
                     chat_prompt(F.lit("S"), F.lit("U")).alias("p")).head()
-    assert row["c"] == "1. a\n2. b" and row["f"] == "1. A: x || B: y || why: z" and row["none"] == "(none yet)"
+    assert row["c"] == "1. a\n2. b" and row["f"] == "1. A: x || B: y || why: z" and row["none"] == "(no pairs so far)"
     assert row["p"].startswith("<|im_start|>system\nS<|im_end|>") and row["p"].endswith("<|im_start|>assistant\n")
