@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_BYTES = 4 << 20  # text turned into Python objects at a time
+RUN_BYTES = 4 << 20    # text of a packed run
+SLICE_BYTES = 2 << 20  # text turned into Python objects at a time elsewhere
 
 
-def slices(batches: Iterator[pa.RecordBatch], by: str = "text", most: int = RUN_BYTES) -> Iterator[dict[str, list]]:
+def slices(batches: Iterator[pa.RecordBatch], by: str = "text", most: int = SLICE_BYTES) -> Iterator[dict[str, list]]:
     """Runs of rows as Python lists, each of about ``most`` bytes of text and one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(by)), 0).to_numpy(zero_copy_only=False)
