@@ -10,10 +10,17 @@ import time
 from corpusflow.catalog import QUERIES
 from corpusflow.session import local_session
 
+HEADLINE = (
+    "token_estimate", "detect_language", "sentence_units", "packed_chunks", "chunk_rows", "page_articles",
+    "line_articles", "carry_forward", "snapshot_diff", "manifest_latest", "hash_embedding", "knn_exact", "knn_ivf",
+    "prompts", "citations", "intent_routes", "parsed_outputs", "distinct_findings", "document_reports",
+    "conflict_candidates", "sessions", "session_activity")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = sys.argv[1:] or sorted(QUERIES)
+    names = sorted(QUERIES) if sys.argv[1:] == ["--all"] else sys.argv[1:] or HEADLINE
     spark = local_session(cpus, cpus)
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
