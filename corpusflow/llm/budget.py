@@ -11,12 +11,12 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +24,28 @@ from corpusflow.llm.bpe import CACHED_WORDS, VOCABULARY, Vocabulary, vocabulary
 from corpusflow.llm.common import record, slices
 
 LIMIT = 2048
-RUN = regex.compile(r"\P{White_Space}+")
+CACHED_CHARS = 16 << 20   # characters of runs whose counts a worker keeps
+
+# The characters with the Unicode property White_Space.
+RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class PrefixCounts:
     """Token counts of words and of all their prefixes, for one worker process."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.counts: dict[str, int] = dict.fromkeys(vocab.special, 1)
+    def __init__(self, vocab: Vocabulary, most_words: int = CACHED_WORDS, most_chars: int = CACHED_CHARS):
+        self.vocab, self.most_words, self.most_chars = vocab, most_words, most_chars
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.counts: dict[str, int] = dict.fromkeys(self.vocab.special, 1)
+        self.run_counts: dict[str, int] = {}
+        self.chars = 0
+
+    def trim(self) -> None:
+        """Start the caches anew where they are full. Between texts only: what a text has learned, it looks up."""
+        if len(self.counts) > self.most_words or self.chars > self.most_chars:
+            self.fresh()
 
     def word_table(self, word: bytes) -> list[int]:
         """closed[0..len(word)]: tokens of every prefix of a word, as if the word ended there."""
@@ -49,8 +62,6 @@ class PrefixCounts:
     def learn(self, pieces: Iterable[str]) -> None:
         """Counts of new words. Sorted words keep the table's part for what they share with the one before."""
         vocab, states, inner, before = self.vocab, [-1], [0], b""
-        if len(self.counts) > CACHED_WORDS:
-            self.counts = dict.fromkeys(vocab.special, 1)
         new = {p.encode(): p for p in pieces if p not in self.counts}
         for word in sorted(new):
             same = min(len(word), len(inner)) - 1
@@ -65,20 +76,28 @@ class PrefixCounts:
             self.counts[new[word]] = inner[start] + 1
             before = word
 
-    def count(self, text: str) -> int:
-        total = 0
-        for run in self.vocab.pieces(text):
-            self.learn(run)
-            total += sum(map(self.counts.__getitem__, run))
-        return total
-
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, counts): the code points up to the end of each run of non-blanks, and the tokens up to there."""
-        ends, counts = [0], [0]
-        for m in RUN.finditer(text):
-            ends.append(m.end())
-            counts.append(self.count(m[0]))
-        return np.array(ends, np.int64), np.cumsum(np.array(counts, np.int64))
+    def learn_runs(self, found: Iterable[str]) -> None:
+        """Counts of new runs of non-blank characters: the sums over their words."""
+        new = {run: [p for part in self.vocab.pieces(run) for p in part] for run in found if run not in self.run_counts}
+        self.learn({p for pieces in new.values() for p in pieces})
+        for run, pieces in new.items():
+            self.run_counts[run] = sum(map(self.counts.__getitem__, pieces))
+            self.chars += len(run)
+
+    def tables(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """By text: tokens up to the end of each run of non-blanks, after a leading zero."""
+        self.trim()
+        split = [RUN.findall(t or "") for t in texts]
+        self.learn_runs({run for found in split for run in found})
+        return [np.cumsum([0, *map(self.run_counts.__getitem__, found)], dtype=np.int64) for found in split]
+
+    @staticmethod
+    def ends(text: str | None) -> np.ndarray:
+        """The code points up to the end of each run, after a leading zero."""
+        return np.array([0, *(m.end() for m in RUN.finditer(text or ""))], np.int64)
+
+    def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.ends(text), self.tables([text])[0]
 
     def at(self, text: str, position: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
         """Tokens of ``text[:position]``: the table's entry, and the beginning of the run that is cut."""
@@ -111,14 +130,10 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = VOCABULARY) ->
         known = counter(name)
         for part in slices(batches):
             out = {f.name: [] for f in schema}
-            split = [[p for run in known.vocab.pieces(t or "") for p in run] for t in part["text"]]
-            known.learn({p for pieces in split for p in pieces})
-            for doc_id, text, pieces in zip(part["doc_id"], part["text"], split):
-                total = sum(map(known.counts.__getitem__, pieces))
-                fit = len(text or "")
+            for doc_id, text, counts in zip(part["doc_id"], part["text"], known.tables(part["text"])):
+                total, fit = int(counts[-1]), len(text or "")
                 if total > limit:
-                    ends, counts = known.table(text)
-                    fit = int(ends[np.searchsorted(counts, limit, "right") - 1])
+                    fit = int(known.ends(text)[np.searchsorted(counts, limit, "right") - 1])
                 out["doc_id"].append(doc_id)
                 out["n_bytes"].append(len((text or "").encode()))
                 out["n_tokens"].append(total)
@@ -136,8 +151,8 @@ def prefix_tables(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     def tables(batches):
         known = counter(name)
         for part in slices(batches):
-            rows = [known.table(t or "") for t in part["text"]]
-            yield record(schema, doc_id=part["doc_id"], ends=[e for e, _ in rows], counts=[c for _, c in rows])
+            yield record(schema, doc_id=part["doc_id"], ends=list(map(known.ends, part["text"])),
+                         counts=known.tables(part["text"]))
     return docs.select("doc_id", "text").mapInArrow(tables, "doc_id long, ends array<long>, counts array<long>")
 
 

@@ -111,6 +111,18 @@ def test_token_counts_and_prefixes(table, odd):
         assert len(lib.encode(t[:cuts[i].cut], add_special_tokens=False).ids) == cuts[i].n_tokens <= 40
 
 
+def test_token_counts_with_full_caches(table):
+    """Caches that are always full: what a part of the rows needs stays until the part is done."""
+    lib, found = library(), [t for _, t in texts(table)]
+    for words, chars in ((0, 1 << 30), (1 << 30, 0), (0, 0)):
+        known = budget.PrefixCounts(bpe.vocabulary(bpe.VOCABULARY), words, chars)
+        for at in range(0, len(found), 40):
+            part = found[at:at + 40]
+            assert [int(c[-1]) for c in known.tables(part)] == [len(lib.encode(t, add_special_tokens=False).ids) for t in part]
+            ends, counts = known.table(part[0])
+            assert len(ends) == len(counts)
+
+
 def brute_fingerprint(text):
     w = text.encode().lower().split()
     if not w:
