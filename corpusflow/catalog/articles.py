@@ -21,8 +21,12 @@ _AD = r"""<div[^>]*class="ad"[^>]*>.*?</div\s*>"""
 _OPEN = r"<(h1|p|li)( [^>]*)?>"
 
 
+# References that the pages may hold.
+_NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+
+
 def _decode(x):
-    for a, b in tx.HTML_NAMED:
+    for a, b in _NAMED:
         x = f"replace({x}, {q(a)}, {q(b)})"
     return f"replace({x}, '&amp;', '&')"
 
@@ -103,27 +107,24 @@ def _numbered_text():
                      WHEN regexp_matches(l, '^[0-9]+-§') THEN 'section'
                      WHEN regexp_matches(l, '^[0-9]+-modda\\.') THEN 'clause' ELSE 'text' END AS kind
               FROM flat WHERE l <> ''),
-    events AS (SELECT *, max(CASE WHEN kind <> 'text' THEN i END) OVER w AS opener,
+    events AS (SELECT *, max(CASE WHEN kind = 'clause' THEN i END) OVER w AS opener,
                       max(CASE WHEN kind = 'chapter' THEN i END) OVER w AS chapter_at,
                       max(CASE WHEN kind IN ('chapter', 'section') THEN i END) OVER w AS section_at
                FROM kinds WINDOW w AS (PARTITION BY id ORDER BY i)),
-    bodies AS (SELECT id, opener, min(chapter_at) AS chapter_at, min(section_at) AS section_at,
-                      coalesce(string_agg(l, ' ' ORDER BY i) FILTER (kind = 'text'), '') AS body
+    bodies AS (SELECT id, opener, coalesce(string_agg(l, ' ' ORDER BY i) FILTER (kind = 'text'), '') AS body
                FROM events GROUP BY id, opener),
-    titled AS (SELECT b.*, k.kind, k.l AS head, coalesce(c.l, '') AS chapter,
+    titled AS (SELECT b.*, k.l AS head, coalesce(c.l, '') AS chapter,
                       CASE WHEN s.kind = 'section' THEN s.l ELSE '' END AS section_title
-               FROM bodies b LEFT JOIN kinds k ON k.id = b.id AND k.i = b.opener
-               LEFT JOIN kinds c ON c.id = b.id AND c.i = b.chapter_at
-               LEFT JOIN kinds s ON s.id = b.id AND s.i = b.section_at),
+               FROM bodies b LEFT JOIN events k ON k.id = b.id AND k.i = b.opener
+               LEFT JOIN kinds c ON c.id = k.id AND c.i = k.chapter_at
+               LEFT JOIN kinds s ON s.id = k.id AND s.i = k.section_at),
     clauses AS (SELECT id, opener, regexp_extract(head, '^([0-9]+)-', 1) AS article_number,
                        trim(regexp_extract(head, '^{_HEAD}', 1)) AS article_title, chapter, section_title, body
-                FROM titled WHERE kind = 'clause'),
-    -- an untitled article holds the text outside all others
-    loose AS (SELECT id, string_agg(body, ' ' ORDER BY coalesce(opener, 0)) AS body
-              FROM titled WHERE (kind IS NULL OR kind <> 'clause') AND body <> '' GROUP BY id)
+                FROM titled WHERE opener IS NOT NULL),
+    -- an untitled article holds the text before the first article line
+    loose AS (SELECT id, body FROM titled WHERE opener IS NULL AND body <> '')
     SELECT id, article_number, article_title, chapter, section_title,
-           CASE WHEN article_title = '' THEN body WHEN body = '' THEN article_title
-                WHEN starts_with(body, article_title) THEN body ELSE article_title || '. ' || body END AS text
+           concat_ws('. ', nullif(article_title, ''), nullif(body, '')) AS text
     FROM clauses WHERE article_title <> '' OR body <> ''
     UNION ALL SELECT id, '', '', '', '', body FROM loose""")
 def line_articles(spark, sf_dir):
@@ -131,6 +132,47 @@ def line_articles(spark, sf_dir):
     return article_rows(fallback_articles(docs, "lines", LAW_PAGE)).drop("ord")
 
 
+# --- law pages: the numbered lines in nested markup, inside a container with a menu before and a footer after it ---
+def _law_page():
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def element(line, j):
+        n = (j + 1).cast("string")
+        return (F.when((j + 1) % 7 == 3, F.concat(F.lit('<div class="TEXT_HEADER_DEFAULT lx_elem"><b>'), n, F.lit("-bob.</b> "), line))
+                .when((j + 1) % 2 == 0, F.concat(F.lit('<div class="CLAUSE_DEFAULT lx_elem"><a>'), n, F.lit("-modda. "), line, F.lit("</a>")))
+                .otherwise(F.concat(F.lit('<div class="ACT_TEXT lx_elem"><div><span class="lx_no_select">qator</span>'), line,
+                                    F.lit("</div>"))))
+
+    body = F.array_join(F.transform(F.split(escaped, "\n", -1), lambda x, j: F.concat(element(x, j), F.lit("</div>"))), "\n")
+    return F.concat(F.lit('<html><body><div>menyu</div><div id="divCont">'), body,
+                    F.lit('</div><div class="ACT_TEXT">quyi qism &copy;</div></body></html>'))
+
+
+@query("law_articles", f"""
+    WITH lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line,
+                          generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    kinds AS (SELECT id, i, CASE WHEN i % 7 = 3 THEN 'chapter' WHEN i % 2 = 0 THEN 'clause' ELSE 'text' END AS kind,
+                     {collapse("CASE WHEN i % 7 = 3 THEN i || '-bob. ' || line ELSE line END")} AS l FROM lines),
+    events AS (SELECT *, max(CASE WHEN kind <> 'text' THEN i END) OVER w AS opener,
+                      max(CASE WHEN kind = 'chapter' THEN i END) OVER w AS chapter_at
+               FROM kinds WINDOW w AS (PARTITION BY id ORDER BY i)),
+    bodies AS (SELECT id, opener, coalesce(string_agg(l, ' ' ORDER BY i) FILTER (kind = 'text' AND l <> ''), '') AS body
+               FROM events GROUP BY id, opener),
+    clauses AS (SELECT k.id, k.i::VARCHAR AS article_number, k.l AS title, coalesce(c.l, '') AS chapter, b.body
+                FROM events k JOIN bodies b ON b.id = k.id AND b.opener = k.i LEFT JOIN kinds c ON c.id = k.id AND c.i = k.chapter_at
+                WHERE k.kind = 'clause' AND (k.l <> '' OR b.body <> '')),
+    -- a page without articles is read as plain text
+    plain AS (SELECT id, string_agg(l, ' ' ORDER BY i) FILTER (kind = 'text' AND l <> '') AS body
+              FROM kinds WHERE id NOT IN (SELECT id FROM clauses) GROUP BY id)
+    SELECT id, article_number, title AS article_title, chapter, '' AS section_title,
+           CASE WHEN title = '' THEN body WHEN body = '' THEN title || '.'
+                WHEN starts_with(body, title) THEN body ELSE title || '. ' || body END AS text FROM clauses
+    UNION ALL SELECT id, '', '', '', '', body FROM plain WHERE body <> ''""")
+def law_articles(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", _law_page().alias("html"))
+    return article_rows(clean_documents(pages, "doc_id", "html", LAW_PAGE)).drop("ord")
+
+
 # --- chat turns as elements: one role opens headers, one opens clauses, the rest is text ---
 def _turns_sql(header: str, clause: str) -> str:
     return f"""

@@ -212,8 +212,11 @@ def distinct_claims(spark, sf_dir):
                  sum(coalesce(len(kept_claims), 0))::BIGINT AS claim_count, sum(coalesce(len(kept), 0))::BIGINT AS chunk_findings,
                  bool_or(parse_failed) AS parse_failed, bool_or(ungrounded) AS ungrounded FROM parsed GROUP BY doc_id),
     f AS (SELECT doc_id, count(*) AS n FROM distinct_findings GROUP BY doc_id),
-    j AS (SELECT c.*, coalesce(f.n, 0) AS n, length(d.text) AS document_length_chars FROM documents d JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)),
-    r AS (SELECT *, (chunk_count <= 1 AND chunk_findings = 0 AND (parse_failed OR ungrounded)) OR (n = 0 AND parse_failed AND summaries = 0) AS failed FROM j)
+    j AS (SELECT d.doc_id, coalesce(c.chunk_count, 0) AS chunk_count, coalesce(summaries, 0) AS summaries, only_summary,
+                 coalesce(c.claim_count, 0) AS claim_count, coalesce(chunk_findings, 0) AS chunk_findings, parse_failed, ungrounded,
+                 coalesce(f.n, 0) AS n, coalesce(length(d.text), 0) AS document_length_chars
+          FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id),
+    r AS (SELECT *, chunk_count = 0 OR (chunk_count <= 1 AND chunk_findings = 0 AND (parse_failed OR ungrounded)) OR (n = 0 AND parse_failed AND summaries = 0) AS failed FROM j)
     SELECT doc_id, CASE WHEN failed THEN {q(ANALYSIS_FAILED)} ELSE
              CASE WHEN summaries = 0 AND n = 0 THEN {q(NOTHING_FOUND)} WHEN summaries = 0 THEN {q(FINDINGS_PRESENT)}
                   WHEN summaries = 1 THEN only_summary ELSE chunk_count || {q(MERGED)} END

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,12 +65,10 @@ def decode_entities(c: Column | str) -> Column:
     return out
 
 
-# Named character references that occur in law pages, beside the five above.
-HTML_NAMED = (
-    ("&nbsp;", " "), ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&ndash;", "–"), ("&mdash;", "—"), ("&sect;", "§"),
-    ("&hellip;", "…"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-)
+def _named_references() -> Column:
+    """All named character references of HTML as one constant map; a no-break space is read as a space."""
+    names = {name: char.replace("\u00a0", " ") for name, char in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def _code_point(n: Column) -> Column:
@@ -75,26 +76,27 @@ def _code_point(n: Column) -> Column:
 
 
 def decode_html(c: Column | str) -> Column:
-    """Character references of HTML text; ``&amp;`` goes last so nothing is decoded twice."""
+    """Character references of HTML text, each decoded once; what is no reference stays as it is."""
     src = _col(c)
-    parts = F.split(src, "&#", -1)
-
-    def numeric(p: Column) -> Column:
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(dec != "", dec.cast("long")).when(
-            hexa != "", F.conv(hexa, 16, 10).cast("long"))
-        rest = F.regexp_replace(p, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
+    named = _named_references()
+
+    def read(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 0).alias("ref"),
+                        F.coalesce(F.regexp_extract(p, r"^#0*([0-9]{1,7});", 1).try_cast("long"),
+                                   F.conv(F.nullif(F.regexp_extract(p, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10)
+                                   .try_cast("long")).alias("code"))
+
+    def written(r: Column) -> Column:
+        code = r["code"]
         ok = code.isNotNull() & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(ok, F.concat(_code_point(code), rest)).otherwise(F.concat(F.lit("&#"), p))
+        char = F.when(ok, _code_point(code)).otherwise(F.when(r["ref"] != "", F.try_element_at(named, r["ref"])))
+        rest = F.substr(r["p"], F.length(r["ref"]) + 1)
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), r["p"]))
 
-    numbered = F.concat(
-        F.get(parts, F.lit(0)),
-        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), numeric), ""))
-    out = F.when(F.contains(src, F.lit("&#")), numbered).otherwise(src)
-    for entity, char in HTML_NAMED:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(src, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(src)
+    parts = F.split(src, "&", -1)
+    decoded = F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), read), written)
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
+    return F.when(F.contains(src, F.lit("&")), out).otherwise(src)
 
 
 def drop_phrases(c: Column | str, phrases: tuple[str, ...]) -> Column:
@@ -151,14 +153,14 @@ def paragraphs(c: Column | str) -> Column:
 
 
 # A sentence ends at . ! ? … with optional closing quotes, before a space and a plausible
-# opening character.  Works on collapsed text, where every gap is one space; the cheap
-# test (space, next character) comes before the look-behind.
-SENTENCE_GAP = r"(?U) (?=[\p{IsUppercase}\p{N}(\[«\"])(?<=[.!?…][\"'”»]{0,64} )"
+# opening character.  Collapsed text has no line feed, so one marks each gap.
+SENTENCE_GAP = r"(?U)([.!?…][\"'”»]*+) (?=[\p{IsUppercase}\p{N}(\[«\"])"
 
 
 def sentences(c: Column | str) -> Column:
     """STR-10 on one paragraph; whitespace is collapsed."""
-    return F.filter(F.split(collapse_ws(c), SENTENCE_GAP, -1), lambda s: s != "")
+    marked = F.regexp_replace(collapse_ws(c), SENTENCE_GAP, "$1\n")
+    return F.filter(F.split(marked, "\n", -1), lambda s: s != "")
 
 
 def units(c: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,10 @@ def heading_title(text: Column, rules: MarkupRules) -> Column:
     return F.when(text.rlike(rules.heading), title).otherwise(text)
 
 
-def article_text(title: Column, body: Column, title_only_dot: bool = True) -> Column:
+def article_text(title: Column, body: Column) -> Column:
     """STR-9: ``title. body`` unless the body already starts with the title."""
-    alone = F.concat(title, F.lit(".")) if title_only_dot else title
     return (F.when(title == "", body)
-            .when(body == "", alone)
+            .when(body == "", F.concat(title, F.lit(".")))
             .when(F.startswith(body, title), body)
             .otherwise(F.concat(title, F.lit(". "), body)))
 
@@ -69,9 +70,19 @@ def _openers(elements: Column) -> Column:
     return F.aggregate(ops, init, step, lambda acc: acc["seen"])
 
 
-def with_articles(df: DataFrame, rules: MarkupRules) -> DataFrame:
-    """From ``elements`` to ``articles`` and ``preamble`` columns (WIN-1, WIN-2, AGG-4)."""
-    df = df.withColumn("_openers", _openers(F.col("elements")))
+def plain_article_text(title: Column, body: Column) -> Column:
+    """STR-9 in the text fallback: a title always leads, and stays bare without a body."""
+    return F.when(title == "", body).when(body == "", title).otherwise(F.concat(title, F.lit(". "), body))
+
+
+def with_articles(df: DataFrame, rules: MarkupRules, headers_cut: bool = True,
+                  text_of: Callable[[Column, Column], Column] = article_text) -> DataFrame:
+    """From ``elements`` to ``articles`` and ``preamble`` columns (WIN-1, WIN-2, AGG-4).
+
+    ``headers_cut`` says whether a header ends the article before it; if not, text after it stays in that article.
+    """
+    openers = _openers(F.col("elements"))
+    df = df.withColumn("_openers", openers if headers_cut else F.filter(openers, lambda o: o["role"] == CLAUSE))
     df = df.withColumn("_total", F.size("elements"))
     starts = F.transform("_openers", lambda o: o["at"])
     stops = F.when(F.size("_openers") > 0,
@@ -93,7 +104,7 @@ def with_articles(df: DataFrame, rules: MarkupRules) -> DataFrame:
     articles = F.transform(titled, lambda a: F.struct(
         heading_number(a["o"]["text"], rules).alias("article_number"),
         a["title"].alias("article_title"), a["o"]["chapter"].alias("chapter"),
-        a["o"]["section"].alias("section_title"), article_text(a["title"], a["body"]).alias("text")))
+        a["o"]["section"].alias("section_title"), text_of(a["title"], a["body"]).alias("text")))
     filled = F.coalesce(F.filter(articles, lambda a: a["text"] != "").cast(_ARTICLE), F.array().cast(_ARTICLE))
     return (df.withColumn("articles", filled).withColumn("preamble", preamble)
             .drop("_openers", "_total", "_islands"))
@@ -111,17 +122,17 @@ def line_elements(text: Column, rules: MarkupRules) -> Column:
 
 
 def fallback_articles(df: DataFrame, text_col: str, rules: MarkupRules) -> DataFrame:
-    """DOC-3: split plain text at article lines; text before the first one is an untitled article."""
-    df = with_articles(df.withColumn("elements", line_elements(F.col(text_col), rules)), rules)
-    # In this path a title without a body stays bare, and headless text is an article itself.
-    bare = F.transform("articles", lambda a: a.withField(
-        "text", F.when(a["text"] == F.concat(a["article_title"], F.lit(".")), a["article_title"])
-        .otherwise(a["text"])))
+    """DOC-3: split plain text at article lines; text before the first one is an untitled article.
+
+    Header lines apply to the articles after them and are left out of the text around them, which keeps its place.
+    """
+    elements = line_elements(F.col(text_col), rules)
+    df = with_articles(df.withColumn("elements", elements), rules, headers_cut=False, text_of=plain_article_text)
     headless = F.struct(
         F.lit("").alias("article_number"), F.lit("").alias("article_title"), F.lit("").alias("chapter"),
         F.lit("").alias("section_title"), F.col("preamble").alias("text"))
     head = F.when(F.col("preamble") != "", F.array(headless)).otherwise(F.array().cast(_ARTICLE))
-    return (df.withColumn("articles", F.concat(head.cast(_ARTICLE), bare))
+    return (df.withColumn("articles", F.concat(head.cast(_ARTICLE), F.col("articles")))
             .withColumn("preamble", F.lit("")).drop("elements"))
 
 

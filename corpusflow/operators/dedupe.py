@@ -60,17 +60,17 @@ def _key(kind: str, i: Column, n: Column) -> Column:
     return F.xxhash64(n, F.substring(F.col("text"), i + 1, n))
 
 
-def _keys(kind: str, sizes: list[int]) -> Column:
-    """All keys of a text under which a text inside it may be filed."""
+def _keys(kind: str) -> Column:
+    """All keys of a text under which a text inside it may be filed, for the ``sizes`` of its document."""
     words, chars = F.size("words"), F.length("text")
     first = {INNER: 1, SECOND: 1, FIRST: 0, SINGLE: 0}[kind]
 
-    def of(n: int) -> Column:
+    def of(n: Column) -> Column:
         last = {INNER: words - n - 1, SECOND: words - 1, FIRST: words - 2, SINGLE: chars - n}[kind]
-        keys = F.transform(F.sequence(F.lit(first), last), lambda i: _key(kind, i, F.lit(n)))
+        keys = F.transform(F.sequence(F.lit(first), last), lambda i: _key(kind, i, n))
         return F.when(last >= first, keys).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_distinct(F.array_compact(F.concat(*[of(n) for n in sizes])))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform("sizes", of))))
 
 
 def _own_key(kind: str) -> Column:
@@ -90,10 +90,10 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
 
     ``texts`` is (doc_id, ord, text), texts normalised.  The inner words of a contained text
     (all but first and last) are whole words of the containing one.  So a text is filed
-    under its first 2^m inner words, 2^m the largest power within their number, with the
-    characters next to them, and looked up under all such runs of the sizes in use:
-    candidates share at least half of the shorter text's inner words.  Texts of one or two
-    words are filed by half or more of a word, and met only in documents that have them.
+    under all its inner words, with the characters next to them, and looked up under all
+    runs of the lengths that its document uses: candidates share the shorter text's inner
+    words.  Texts of one or two words are filed by half or more of a word, and met only in
+    documents that have them.
     """
     count = F.size("words")
     longer = F.length(_word(1)) >= F.length(_word(0))
@@ -102,20 +102,14 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
                              .when(longer, SECOND).otherwise(FIRST))
     length = (F.when(count > 2, count - 2).when(count == 1, F.length("text"))
               .otherwise(F.greatest(F.length(_word(0)), F.length(_word(1)))))
-    texts = texts.withColumn("size", _power(length))
-    # Sizes are powers of two of a length: at most 31 per kind.
-    used = [(r["kind"], r["size"]) for r in texts.select("kind", "size").distinct().collect()]
+    texts = texts.withColumn("size", F.when(count > 2, length).otherwise(_power(length)))
     pairs = None
     for kind in (INNER, SECOND, FIRST, SINGLE):
-        sizes = sorted(size for k, size in used if k == kind)
-        if not sizes:
-            continue
         filed = texts.where(F.col("kind") == kind)
-        near = texts if kind == INNER else texts.join(filed.select("doc_id").distinct(), "doc_id", "left_semi")
-        met = _meet(near, _keys(kind, sizes), filed, _own_key(kind))
+        # One short array per document: the distinct lengths of its texts of this kind.
+        near = texts.join(filed.groupBy("doc_id").agg(F.collect_set("size").alias("sizes")), "doc_id")
+        met = _meet(near, _keys(kind), filed, _own_key(kind))
         pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        return texts.select("doc_id", F.col("ord").alias("first"), F.col("ord").alias("second")).limit(0)
     return pairs.distinct()
 
 

@@ -153,6 +153,7 @@ def report(docs: DataFrame, parsed: DataFrame, findings: DataFrame) -> DataFrame
 
     docs(doc_id, text), parsed chunks and the final findings; columns doc_id, summary,
     finding_count, claim_count, chunk_count, document_length_chars, was_chunked, analysis_failed.
+    A document without chunks (no text) is rejected: its row says failed and counts nothing.
     """
     said = F.col("summary").isNotNull()
     chunks = parsed.groupBy("doc_id").agg(
@@ -163,10 +164,12 @@ def report(docs: DataFrame, parsed: DataFrame, findings: DataFrame) -> DataFrame
         F.bool_or("parse_failed").alias("parse_failed"), F.bool_or("ungrounded").alias("ungrounded"))
     found = findings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("finding_count"))
     df = (docs.select("doc_id", F.length("text").cast("long").alias("document_length_chars"))
-          .join(chunks, "doc_id").join(found, "doc_id", "left")
-          .withColumn("finding_count", F.coalesce("finding_count", F.lit(0).cast("long"))))
+          .join(chunks, "doc_id", "left").join(found, "doc_id", "left"))
+    rejected = F.col("chunk_count").isNull()
+    df = (df.withColumn("rejected", rejected).na.fill(
+        0, ["finding_count", "claim_count", "chunk_count", "document_length_chars", "summaries", "chunk_findings"]))
     chunked = F.col("chunk_count") > 1
-    failed = ((~chunked & (F.col("chunk_findings") == 0) & (F.col("parse_failed") | F.col("ungrounded")))
+    failed = (F.col("rejected") | (~chunked & (F.col("chunk_findings") == 0) & (F.col("parse_failed") | F.col("ungrounded")))
               | ((F.col("finding_count") == 0) & F.col("parse_failed") & (F.col("summaries") == 0)))
     base = (F.when((F.col("summaries") == 0) & (F.col("finding_count") == 0), F.lit(NOTHING_FOUND))
             .when(F.col("summaries") == 0, F.lit(FINDINGS_PRESENT))

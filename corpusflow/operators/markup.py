@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.functions.rows import explode_rows
+from corpusflow.functions.rows import bind, explode_rows
 
 HEADER, CLAUSE, TEXT = "header", "clause", "text"
 
@@ -41,6 +41,7 @@ class MarkupRules:
     noise_tags: tuple[str, ...] = ("script", "style", "noscript")
     noise_classes: tuple[str, ...] = ()
     noise_phrases: tuple[str, ...] = ()
+    # Heading patterns of the law texts.
     heading: str = r"(?iu)^\s*(\d+)\s*-\s*modda\.?\s*(.*)$"
     chapter: str = r"(?iu)^\s*(\d+)\s*-\s*bob\.?\s*"
     section: str = r"(?iu)^\s*(\d+)\s*-\s*§\.?\s*"
@@ -90,10 +91,34 @@ def drop_noise(html: Column, rules: MarkupRules) -> Column:
     return out
 
 
+def _first_element(rest: Column) -> Column:
+    """The element that ``rest`` begins with; all of ``rest`` if it is never closed.
+
+    The text is cut before each tag of the same name, and the depth is counted over the pieces.
+    """
+    tag = F.lower(F.regexp_extract(rest, r"^<(\w+)", 1))
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")), -1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        closed = (at["end"] == 0) & (depth == 0)
+        return F.struct(depth.alias("depth"), (at["seen"] + 1).alias("seen"),
+                        F.when(closed, at["seen"]).otherwise(at["end"]).alias("end"))
+
+    def cut(parts: Column) -> Column:
+        end = F.aggregate(F.filter(parts, lambda p: p != ""), start, step, lambda at: at["end"])
+        return bind(end, lambda n: F.when(n > 0, F.array_join(F.slice(F.filter(parts, lambda p: p != ""), F.lit(1), n), ""))
+                    .otherwise(F.array_join(parts, "")))
+
+    return F.when(rest.isNotNull(), bind(pieces, cut))
+
+
 def container(html: Column, rules: MarkupRules) -> Column:
-    """From the first listed container (or body) to the end of the page."""
+    """The first listed container (or the body, or the page), up to its own closing tag."""
     found = [F.nullif(F.regexp_extract(
         html, rf"(?is)<\w+\b[^>]*\bid\s*=\s*[\"']{name}[\"'].*", 0), F.lit("")) for name in rules.containers]
+    found = [bind(rest, _first_element) for rest in found]
     body = F.nullif(F.regexp_extract(html, r"(?is)<body\b.*", 0), F.lit(""))
     return F.coalesce(*found, body, html)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from corpusflow.operators.markup import LAW_PAGE, MarkupRules
 from corpusflow.operators.snapshots import (
@@ -16,6 +17,9 @@ from corpusflow.plans.corpus_build import build_corpus
 from corpusflow.schemas import MANIFEST, SNAPSHOTS
 
 
+ID_BUCKETS = 256   # folders of stored pages within a batch, by a hash of the id
+
+
 @dataclass(frozen=True)
 class IngestTables:
     """Folders of the tables that the ingest keeps, below one root."""
@@ -29,10 +33,11 @@ class IngestTables:
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    from pyspark.sql.utils import AnalysisException
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -40,6 +45,10 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
+
+
 def current_manifest(spark: SparkSession, tables: IngestTables) -> DataFrame:
     """Latest state per id of the append-only manifest history."""
     return latest(_read_or_empty(spark, tables.manifest, MANIFEST), "id", "fetched_at", "content_hash")
@@ -58,33 +67,50 @@ def current_chunks(spark: SparkSession, tables: IngestTables) -> DataFrame:
 
 
 def apply_batch(batch: DataFrame, batch_id: int, targets: DataFrame, tables: IngestTables,
-                rules: MarkupRules = LAW_PAGE) -> None:
+                rules: MarkupRules = LAW_PAGE, as_of: Column | None = None) -> None:
     """One micro-batch: diff against the manifest, then write chunks, log, archive and state.
 
+    ``as_of`` stamps log and archive; without it the newest ``fetched_at`` of the batch does, so
+    that a repeated batch has the same stamps.
+
     Every table is partitioned by batch id and a batch overwrites its own partition, so a
     batch that runs again after a failure leaves the same tables; the manifest goes last.
     """
     spark = batch.sparkSession
-    stamped = fingerprint(latest(batch, "id", "fetched_at", "content"), "id", "content", "content", "fetched_at")
+    # The source is read once; the writes below share what it gave.
+    stamped = fingerprint(latest(batch, "id", "fetched_at", "content"), "id", "content", "content", "fetched_at").persist()
+    try:
+        _apply(spark, stamped, batch_id, targets, tables, rules, as_of)
+    finally:
+        stamped.unpersist()
+
+
+def _apply(spark: SparkSession, stamped: DataFrame, batch_id: int, targets: DataFrame, tables: IngestTables,
+           rules: MarkupRules, as_of: Column | None) -> None:
+    if as_of is None:
+        newest = stamped.agg(F.unix_micros(F.max("fetched_at")).alias("at")).first()["at"]
+        as_of = F.timestamp_micros(F.lit(newest).cast("long"))
     earlier = _read_or_empty(spark, tables.manifest, _with_batch(MANIFEST)).where(F.col("batch") < batch_id)
     manifest = latest(earlier.drop("batch"), "id", "fetched_at", "content_hash")
     # A stream delivers only what arrived: ids it does not mention are not removed.
     diff = diff_snapshots(stamped, manifest).where(F.col("status") != "removed")
     todo = stamped.join(to_write(diff).select("id"), "id", "left_semi")
-    as_of = F.current_timestamp()
 
-    def put(df: DataFrame, path: str) -> None:
+    def put(df: DataFrame, path: str, *folders: str) -> None:
         (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch", *folders).parquet(path))
 
     put(build_corpus(todo.select("id", "content"), targets, rules).chunks, tables.chunks)
     put(change_log(diff, as_of), tables.change_log)
-    # Only versions of changed ids are read further; then the newest of them is kept.
-    stored = _read_or_empty(spark, tables.raw, _with_batch(SNAPSHOTS)).where(F.col("batch") < batch_id)
-    replaced = archive_rows(stored.drop("batch"), diff, as_of)
+    # Only the folders that changed ids fall into are read, then only versions of these ids.
+    changed = diff.where(F.col("status") == "changed").select(_bucket().alias("bucket")).distinct().collect()
+    kept = T.StructType(_with_batch(SNAPSHOTS).fields + [T.StructField("bucket", T.IntegerType())])
+    stored = _read_or_empty(spark, tables.raw, kept).where(
+        (F.col("batch") < batch_id) & F.col("bucket").isin([r["bucket"] for r in changed]))
+    replaced = archive_rows(stored.drop("batch", "bucket"), diff, as_of)
     put(latest(replaced, "id", "fetched_at", "content_hash"), tables.archive)
     raw = todo.join(targets.select("id", "url"), "id").select("id", "url", "content", "content_hash", "bytes", "fetched_at")
-    put(raw, tables.raw)
+    put(raw.withColumn("bucket", _bucket()), tables.raw, "bucket")
     state = todo.join(targets.select("id", "law_name", "title", "url"), "id").select(*MANIFEST.names)
     put(state, tables.manifest)
 

@@ -40,6 +40,23 @@ def test_fallback(spark):
         ("6", "Dam", "2-bob. Ikki", "", "Dam")]
 
 
+def test_container_ends_at_its_own_tag(spark):
+    html = ('<body><div id="divCont"><div class="CLAUSE_DEFAULT">1-modda. Bir</div><div class="ACT_TEXT"><div>&eacute;&copy;&euro;'
+            '</div> matn</div></div><div class="ACT_TEXT">footer</div></body>')
+    df = clean_documents(spark.createDataFrame([("a", html), ("b", html.replace("</div>", "")), ("c", None)], "id string, html string"),
+                         "id", "html", LAW_PAGE)
+    rows = {r["id"]: r["articles"] for r in df.collect()}
+    assert [a["text"] for a in rows["a"]] == ["Bir. é©€ matn"]
+    assert [a["text"] for a in rows["b"]] == ["Bir. é©€ matn footer"] and not rows["c"]
+
+
+def test_fallback_keeps_the_order_of_text(spark):
+    html = "<body><p>1-modda. Mehnat</p><p>Mehnat shartnomasi tuziladi.</p><p>2-bob. Ikki</p><p>Davomi.</p><p>2-modda. Dam</p></body>"
+    df = clean_documents(spark.createDataFrame([("a", html)], "id string, html string"), "id", "html", LAW_PAGE)
+    assert [(a["chapter"], a["text"]) for a in df.head()["articles"]] == [
+        ("", "Mehnat. Mehnat shartnomasi tuziladi. Davomi."), ("2-bob. Ikki", "Dam")]
+
+
 def _random_elements(rng):
     kinds = [("header", "chapter"), ("header", "section"), ("header", "part"), ("header", "generic"),
              ("clause", None), ("text", None), ("text", None)]

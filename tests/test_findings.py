@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.model_json import decode_references, encode_references, parse_analysis
-from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
-from corpusflow.operators.findings import conflict_candidates, filter_grounded, parse_outputs, summary_grounded
+from corpusflow.operators.dedupe import candidate_pairs, dedupe_claims, dedupe_findings
+from corpusflow.operators.findings import (
+    conflict_candidates, filter_grounded, parse_outputs, report, summary_grounded)
 
 SCHEMA = "doc_id int, ord long, statement_a string, statement_b string, explanation string"
 
@@ -126,3 +127,19 @@ def test_conflicts_of_shared_words_and_number_tables(spark):
             (3, 0, "jadval " + "12 " * 50_000 + "oxiri"), (3, 1, "jadval 5 oxiri"), (4, 0, "og‘irlik 5kg"), (4, 1, "og‘irlik 6kg")]
     got = conflict_candidates(spark.createDataFrame(rows, "doc_id int, ord long, claim string")).collect()
     assert sorted((r["doc_id"], r["ord_a"], r["ord_b"]) for r in got) == [(1, 0, 1), (2, 0, 1), (3, 0, 1)]
+
+
+def test_boilerplate_gives_no_candidates(spark):
+    words = [f"soz{i}" for i in range(21)]
+    rows = [(1, n, " ".join([*words[:18], f"farq{n}", *words[19:]])) for n in range(300)]
+    rows += [(1, 900, " ".join(["oldin", *words[:18], "farq7", *words[19:], "keyin"])), (2, 0, "a"), (2, 1, "a b"), (3, 0, "boshqa")]
+    found = candidate_pairs(spark.createDataFrame(rows, "doc_id int, ord long, text string")).collect()
+    assert {(1, 7, 900), (2, 0, 1)} <= {tuple(r) for r in found} and len(found) < 10
+
+
+def test_document_without_chunks_is_rejected(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id int, text string")
+    parsed = spark.createDataFrame([], "doc_id int, chunk_idx int, chunk_count int, summary string, contradictions array<string>, "
+                                       "key_claims array<string>, parse_failed boolean, ungrounded boolean")
+    found = report(docs, parsed, spark.createDataFrame([], "doc_id int, ord long")).collect()
+    assert {(r["doc_id"], r["analysis_failed"], r["finding_count"], r["chunk_count"]) for r in found} == {(1, True, 0, 0), (2, True, 0, 0)}

@@ -140,3 +140,12 @@ def test_blocks_and_template(spark):
                     chat_prompt(F.lit("S"), F.lit("U")).alias("p")).head()
     assert row["c"] == "1. a\n2. b" and row["f"] == "1. A: x || B: y || why: z" and row["none"] == "(no pairs so far)"
     assert row["p"].startswith("<|im_start|>system\nS<|im_end|>") and row["p"].endswith("<|im_start|>assistant\n")
+
+
+def test_references_of_any_length_and_name(spark):
+    assert one(spark, "&#00000233;&#x00000E9;&eacute;&euro; &nope; &#1114112; a&b", tx.decode_html("t")) == "éé\u00e9€ &nope; &#1114112; a&b"
+
+
+def test_sentence_end_with_many_quotes(spark):
+    text = "Bir." + '"' * 90 + " Ikki. uch"
+    assert one(spark, text, tx.sentences("t")) == ["Bir." + '"' * 90, "Ikki. uch"]
