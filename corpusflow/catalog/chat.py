@@ -8,7 +8,8 @@ from corpusflow.catalog.base import any_of, intent_norm, q, query, table
 from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.model_json import decode_references, encode_references
 from corpusflow.operators.chatlog import (
-    assign_sessions, latest_sources, list_sessions, role_counts, session_messages, session_rollup)
+    append_messages, assign_sessions, exchange_messages, latest_sources, list_sessions, messages_of, role_counts,
+    session_messages, session_rollup)
 from corpusflow.operators.intent import ABOUT, LEGAL, OFF_TOPIC, OUT_OF_SCOPE, SOFT_ABOUT, Assistant, route, static_answers
 from corpusflow.streaming.sessions import session_activity
 from corpusflow.streaming.tokens import fold_tokens
@@ -88,6 +89,40 @@ def history_rows(spark, sf_dir):
     return rows.withColumn("first_excerpt", F.get("references", F.lit(0))["excerpt"]).withColumn("references", F.size("references"))
 
 
+@query("session_transcripts", f"""
+    WITH {_SESSIONS}
+    SELECT session_id, title, conv_id || '-' || turn AS id, role, text AS content, {_AT} AS created_at
+    FROM conversations JOIN sessions ON session_id = conv_id""")
+def session_transcripts(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return messages_of(session_rollup(log), log).select("session_id", "title", "id", "role", "content", "created_at")
+
+
+# Every turn is asked again a day later; each fifth one stays without an answer.
+_DAY = f"({_AT} + INTERVAL 1 DAY)"
+
+
+@query("appended_messages", f"""
+    WITH said AS (SELECT conv_id, turn, role, text AS content, {_AT} AS created_at, conv_id || '-' || turn AS id FROM conversations
+                  UNION ALL SELECT conv_id, turn, 'user', text, {_DAY}, 'm-' || left(sha256('user|' || conv_id || '-' || turn), 32)
+                  FROM conversations
+                  UNION ALL SELECT conv_id, turn, 'assistant', 'Javob: ' || text, {_DAY} + INTERVAL 1 MICROSECOND,
+                                   'm-' || left(sha256('assistant|' || conv_id || '-' || turn), 32)
+                  FROM conversations WHERE turn % 5 <> 4)
+    SELECT id, conv_id AS session_id, role, content, created_at, count(*) OVER w AS messages, max(created_at) OVER w AS updated_at
+    FROM said WINDOW w AS (PARTITION BY conv_id)""")
+def appended_messages(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    answer = F.when(F.col("turn") % 5 != 4, F.concat(F.lit("Javob: "), "content"))
+    answered = log.select(F.col("id").alias("message_id"), "session_id", F.col("content").alias("question"), answer.alias("answer"),
+                          decode_references(F.col("references_json")).alias("references"),
+                          (F.col("created_at") + F.expr("interval 1 day")).alias("created_at"))
+    new = exchange_messages(answered)
+    log = append_messages(append_messages(log.drop("turn"), new), new)
+    state = session_rollup(log).select("session_id", "messages", "updated_at")
+    return log.join(state, "session_id").drop("references_json")
+
+
 @query("role_counts", """
     SELECT conv_id AS session_id, count(*) FILTER (role = 'system') AS system_messages, count(*) FILTER (role = 'user') AS user_messages,
            count(*) FILTER (role = 'assistant') AS assistant_messages FROM conversations GROUP BY conv_id""")

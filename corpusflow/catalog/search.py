@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.articles import CHUNKS_SQL, DIM, document_articles, embedded_sql
@@ -13,8 +15,10 @@ from corpusflow.operators.answers import build_prompts, citations, retrieval_rep
 from corpusflow.operators.chunks import chunk_articles
 from corpusflow.operators.embed import add_hash_vector, mean_pool
 from corpusflow.operators.knn import (
-    knn_exact, knn_ivf, recall_at_k, retrieval_metrics, train_cells)
+    knn_exact, knn_ivf, recall_at_k, retrieval_metrics, retrieval_summary, train_cells)
 from corpusflow.plans.answering import retrieve
+from corpusflow.settings import shared_folder
+from corpusflow.sources.vectors import read_vectors, write_vectors
 
 
 def _corpus(spark, sf_dir):
@@ -68,6 +72,29 @@ def retrieval_metric_rows(spark, sf_dir):
     return retrieval_metrics(hits, questions.select("qid", F.col("qid").alias("label")), corpus.select("id", "label"))
 
 
+@query("retrieval_summary", f"""
+    WITH {_HITS},
+    per AS (SELECT qid, count(*) FILTER (label = qid) AS good, coalesce(1.0 / min(rank) FILTER (label = qid), 0) AS rr FROM hits GROUP BY qid),
+    n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT count(*) AS questions, round(avg(good / 5.0), 6) AS mean_precision, round(avg(good / n.n), 6) AS mean_recall,
+           round(avg(round(rr, 6)), 6) AS mean_reciprocal_rank FROM per JOIN n ON n.label = qid""")
+def retrieval_summary_row(spark, sf_dir):
+    corpus, questions = _corpus(spark, sf_dir), _questions(spark, sf_dir)
+    labels = questions.select("qid", F.col("qid").alias("label"))
+    return retrieval_summary(knn_exact(questions, corpus), labels, corpus.select("id", "label"))
+
+
+@query("knn_exact_all", """
+    WITH scored AS (SELECT a.vec_id AS qid, b.vec_id AS id,
+                           round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
+                    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, distance,
+           round(1 - distance, 9) AS score FROM scored QUALIFY rank <= 5""")
+def knn_exact_all(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir).select("id", "vector")
+    return knn_exact(corpus.withColumnRenamed("id", "qid"), corpus, skip_same=True)
+
+
 @query("knn_ivf", f"""
     WITH {_MEANS},
     near AS (SELECT vec_id, embedding, m.qid AS cell,
@@ -98,6 +125,19 @@ def _chunk_corpus(spark, sf_dir):
     return add_hash_vector(chunks, "text", DIM).drop("id").withColumnRenamed("chunk_key", "id")
 
 
+# The table is written with older texts first; then the English sources are written again, and all others stay.
+@query("vector_table", f"""
+    WITH {CHUNKS_SQL}
+    SELECT id, CASE WHEN chapter = 'en' THEN text ELSE 'eski ' || text END AS text, law_name, article_number, chapter,
+           section_title, source_id, {DIM} AS dim FROM chunks""")
+def vector_table(spark, sf_dir):
+    rows = add_hash_vector(chunk_articles(document_articles(spark, sf_dir)), "text", DIM).withColumnRenamed("vector", "embedding_vector")
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    write_vectors(rows.withColumn("text", F.concat(F.lit("eski "), "text")), path, dim=DIM)
+    write_vectors(rows.where(F.col("chapter") == "en"), path, overwrite=True, dim=DIM)
+    return read_vectors(spark, path).withColumn("dim", F.size("embedding_vector")).drop("embedding_vector")
+
+
 def _items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 

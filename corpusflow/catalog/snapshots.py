@@ -6,12 +6,17 @@ was another one, where toxic is 1 its file is gone.  The Spanish feed was not de
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import query, table
 from corpusflow.operators.snapshots import (
     archive_rows, attach_targets, change_log, diff_snapshots, fingerprint, missing_ids, run_counts, select_ids,
     upsert_manifest)
+from corpusflow.operators.markup import WEB_PAGE
+from corpusflow.settings import shared_folder
+from corpusflow.streaming.ingest import IngestTables, apply_batch, current_chunks
 
 _AS_OF = "2026-01-02 03:04:05"
 
@@ -110,3 +115,43 @@ def wanted_documents(spark, sf_dir):
 @query("unlabelled_documents", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels ORDER BY doc_id")
 def unlabelled_documents(spark, sf_dir):
     return missing_ids(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id").orderBy("doc_id")
+
+
+# Two landed batches: first the labelled documents (older texts where the quality is 0), then all documents.
+_FIRST, _SECOND = 1_767_225_600, 1_767_312_000
+
+
+def _page_sql(text):
+    return f"'<html><body><h1>' || source || '</h1><p>' || {text} || '</p></body></html>'"
+
+
+@query("ingest_batches", f"""
+    WITH old AS (SELECT doc_id, sha256({_page_sql("CASE WHEN quality = 0 THEN 'Old. ' || text ELSE text END")}) AS old_hash
+                 FROM documents JOIN labels USING (doc_id)),
+    new AS (SELECT doc_id, sha256({_page_sql('text')}) AS new_hash FROM documents),
+    both_days AS (SELECT * FROM new LEFT JOIN old USING (doc_id))
+    SELECT 'd' || doc_id AS id, 0 AS batch, 'initial' AS status, NULL AS old_hash, old_hash AS new_hash, {_FIRST}000000 AS at FROM old
+    UNION ALL SELECT 'd' || doc_id, 1, CASE WHEN old_hash IS NULL THEN 'initial' ELSE 'changed' END, old_hash, new_hash, {_SECOND}000000
+    FROM both_days WHERE old_hash IS DISTINCT FROM new_hash
+    UNION ALL SELECT 'd' || doc_id, 1, 'archived', old_hash, NULL, {_FIRST}000000 FROM both_days WHERE old_hash <> new_hash
+    UNION ALL SELECT 'd' || doc_id, NULL, 'current', NULL, NULL, NULL FROM documents""")
+def ingest_batches(spark, sf_dir):
+    tables = IngestTables(f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    key = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")
+    targets = docs.select(key, F.col("source").alias("law_name"), F.col("lang").alias("title"), F.col("lang").alias("language"),
+                          F.concat(F.lit("http://x/"), "doc_id").alias("url"))
+
+    def landed(rows, text, at):
+        page = F.concat(F.lit("<html><body><h1>"), "source", F.lit("</h1><p>"), text, F.lit("</p></body></html>"))
+        return rows.select(key, page.alias("content"), F.timestamp_seconds(F.lit(at)).alias("fetched_at"))
+
+    old = F.when(F.col("quality") == 0, F.concat(F.lit("Old. "), "text")).otherwise(F.col("text"))
+    apply_batch(landed(docs.join(table(spark, sf_dir, "labels"), "doc_id"), old, _FIRST), 0, targets, tables, WEB_PAGE)
+    apply_batch(landed(docs, F.col("text"), _SECOND), 1, targets, tables, WEB_PAGE)
+    log = spark.read.parquet(tables.change_log).select(
+        "id", "batch", "status", "old_hash", "new_hash", F.unix_micros("as_of").alias("at"))
+    gone = spark.read.parquet(tables.archive).select(
+        "id", "batch", F.lit("archived").alias("status"), F.col("content_hash").alias("old_hash"), F.unix_micros("fetched_at").alias("at"))
+    now = current_chunks(spark, tables).select(F.col("source_id").alias("id"), F.lit("current").alias("status")).distinct()
+    return log.unionByName(gone, allowMissingColumns=True).unionByName(now, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
-from corpusflow.functions.model_json import decode_references
+from corpusflow.functions.model_json import decode_references, encode_references
 
 NEW_CHAT = "New chat"
 
@@ -71,6 +71,38 @@ def session_messages(messages: DataFrame) -> DataFrame:
             .withColumn("references", decode_references(F.col("references_json"))).drop("references_json"))
 
 
+def messages_of(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """JOIN-5: messages with the title of their session; both sides may be bucketed by session_id."""
+    return messages.join(sessions.select("session_id", "title"), "session_id")
+
+
+def exchange_messages(answered: DataFrame) -> DataFrame:
+    """SNK-8: the log rows of answered(message_id, session_id, question, answer, references, created_at).
+
+    The question is one row, the answer another a microsecond later, with its references encoded; a message
+    without an answer has its first row only.  Ids derive from the message id, so a retried task makes the same.
+    """
+    def row(role: str, content: str, later: int, refs: Column) -> Column:
+        key = F.concat_ws("|", F.lit(role), F.col("message_id").cast("string"))
+        return F.struct(F.concat(F.lit("m-"), F.left(F.sha2(key, 256), F.lit(32))).alias("id"), F.lit(role).alias("role"),
+                        F.col(content).alias("content"), (F.col("created_at") + F.make_dt_interval(
+                            secs=F.lit(later / 1e6).cast("decimal(18,6)"))).alias("created_at"), refs.alias("references_json"))
+
+    rows = F.array(row("user", "question", 0, F.lit("[]")), row("assistant", "answer", 1, encode_references(F.col("references"))))
+    said = F.filter(rows, lambda m: (m["role"] == "user") | m["content"].isNotNull())
+    return answered.select("session_id", F.explode_outer(said).alias("m")).select(
+        "m.id", "session_id", "m.role", "m.content", "m.created_at", "m.references_json")
+
+
+def append_messages(log: DataFrame, new: DataFrame) -> DataFrame:
+    """SNK-8: the log with new rows behind it; session times follow from it (session_rollup).
+
+    A row whose id is in the log already, from a repeated append, is not added again.
+    """
+    fresh = new.join(log.select("id"), "id", "left_anti")
+    return log.unionByName(fresh.select(*log.columns))
+
+
 def ensure_column(df: DataFrame, name: str, default) -> DataFrame:
     """CHAT-4: a column that older files lack gets its default."""
     return df if name in df.columns else df.withColumn(name, F.lit(default))

@@ -209,6 +209,20 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFram
     return hits.join(chunks.select("id", *columns), "id")
 
 
+def retrieval_summary(hits: DataFrame, query_labels: DataFrame, corpus_labels: DataFrame, k: int = TOP_K) -> DataFrame:
+    """RAG-4: one row: questions, mean precision at k, mean recall at k, mean reciprocal rank.
+
+    A question without hits counts with zeros, one whose label no vector has is left out of the recall.
+    """
+    relevant = corpus_labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    per = (query_labels.join(relevant, "label", "left")
+           .join(retrieval_metrics(hits, query_labels, corpus_labels, k), "qid", "left")
+           .na.fill(0.0, ["precision_at_k", "reciprocal_rank"]))
+    return per.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("precision_at_k"), 6).alias("mean_precision"),
+                   F.round(F.avg(F.col("precision_at_k") * k / F.col("_n")), 6).alias("mean_recall"),
+                   F.round(F.avg("reciprocal_rank"), 6).alias("mean_reciprocal_rank"))
+
+
 def retrieval_metrics(hits: DataFrame, query_labels: DataFrame, corpus_labels: DataFrame, k: int = TOP_K) -> DataFrame:
     """RAG-4 with labels: per question the precision at k and the reciprocal rank."""
     judged = (hits.join(query_labels.select("qid", F.col("label").alias("_want")), "qid")

@@ -33,13 +33,12 @@ def recommended_overlap(max_chars: int) -> int:
     return min(max(max_chars // 3, 600), 2500)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names.
 
-    The folder must be shared storage on a cluster; only a local session without
-    one gets a folder of its own.
+    It must be shared storage on a cluster; only a local session without one gets a folder
+    of its own.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +47,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
