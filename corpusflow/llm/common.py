@@ -32,10 +32,13 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a session without one (tests) gets its own."""
+    """Use the shared folder that the session names; a local session without one (tests) gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-"))
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -341,6 +341,31 @@ def test_empty_tables(empty):
         assert frame.count() == 0
 
 
+def test_rows_of_nulls(spark, table):
+    """Each operator gives a row for a row of which nothing is known; the last two stages of the pipeline as well."""
+    nothing = spark.createDataFrame([(None,) * 6] * 3, SCHEMA)
+    items = spark.createDataFrame([(1, None), (None, ""), (2, "one two three four five six")], "item_id long, text string")
+    for frame in (bpe.encode_documents(nothing), budget.token_counts(nothing), simhash.digest(nothing), lattice.scores(nothing),
+                  quality.judged(nothing), langid.languages(nothing), fingerprints.fingerprints(nothing),
+                  shards.shards(nothing), substrings.repeated_words(nothing), substrings.without_repeats(nothing),
+                  decontam.without_passages(nothing, items)):
+        assert frame.count() == 3
+    assert decontam.passages(nothing, items).count() == 0
+    assert {r.lang_pred for r in langid.languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_equal_texts_meet_equal_results(spark):
+    """Ties: rows that repeat in all but their id are one group, and the least id stays."""
+    same = spark.range(40).select((F.col("id") + 5).alias("doc_id"), F.lit("a text of some words that all the rows repeat " * 3).alias("text"),
+                                  F.lit(1).alias("fp"), F.lit("x").alias("first"))
+    assert {r.component_id for r in simhash.digest(same).collect()} == {5}
+    assert [tuple(r) for r in simhash.keep_one(same).select("doc_id", "fp", "first").collect()] == [(5, 1, "x")]
+    left = {r.doc_id: r.text for r in substrings.without_repeats(same).collect()}
+    assert left[5] == same.first().text and all(t == "" for i, t in left.items() if i != 5)
+    found = fingerprints.fingerprints(same).collect()
+    assert len({r.fingerprint for r in found}) == 1 and all(r.near_next == 1 for r in found)
+
+
 def test_pipeline_follows_its_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
