@@ -95,15 +95,18 @@ def knn_exact_all(spark, sf_dir):
     return knn_exact(corpus.withColumnRenamed("id", "qid"), corpus, skip_same=True)
 
 
-@query("knn_ivf", f"""
-    WITH {_MEANS},
+_NEAR = f"""
+    {_MEANS},
     near AS (SELECT vec_id, embedding, m.qid AS cell,
                     row_number() OVER (PARTITION BY vec_id ORDER BY round(1 - list_cosine_similarity(m.v, embedding::DOUBLE[]), 9), m.qid) AS r
              FROM embeddings, means m QUALIFY r <= 2),
     scored AS (SELECT a.vec_id AS qid, b.vec_id AS id,
                       round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
-               FROM near a JOIN near b ON a.cell = b.cell AND b.r = 1 AND a.vec_id <> b.vec_id)
-    SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, distance,
+               FROM near a JOIN near b ON a.cell = b.cell AND b.r = 1 AND a.vec_id <> b.vec_id)"""
+
+
+@query("knn_ivf", f"""
+    WITH {_NEAR} SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, distance,
            round(1 - distance, 9) AS score FROM scored QUALIFY rank <= 5""")
 def knn_ivf_rows(spark, sf_dir):
     # Every vector asks for its neighbours; the label means serve as coarse cells.
@@ -112,6 +115,18 @@ def knn_ivf_rows(spark, sf_dir):
     return knn_ivf(corpus.withColumnRenamed("id", "qid"), corpus, cells, nprobe=2, skip_same=True)
 
 
+@query("ivf_recall_by_label_cells", f"""
+    WITH {_NEAR},
+    found AS (SELECT qid, id FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= 5),
+    every_pair AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
+                   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    exact AS (SELECT qid, id FROM every_pair QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= 5)
+    SELECT count(*) AS exact_hits, count(f.qid) AS found_hits, round(count(f.qid) / count(*), 4) AS recall
+    FROM exact e LEFT JOIN found f ON f.qid = e.qid AND f.id = e.id""")
+def ivf_recall_by_label_cells(spark, sf_dir):
+    return recall_at_k(knn_ivf_rows(spark, sf_dir), knn_exact_all(spark, sf_dir))
+
+
 @query("knn_ivf_recall")
 def knn_ivf_recall(spark, sf_dir):
     corpus, questions = _corpus(spark, sf_dir).select("id", "vector"), _questions(spark, sf_dir)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from corpusflow.settings import TOP_K
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BROADCAST_ROWS = 8_192   # questions sent to all tasks; with more of them both sides are cut into blocks
+MAX_CELLS = 65_536
 BLOCK_ROWS = 65_536
 QUERY_BLOCK_ROWS = 4_096
 
@@ -67,28 +69,30 @@ def rank_hits(partial: DataFrame, k: int) -> DataFrame:
             .select("qid", "id", "rank", "distance", F.round(1.0 - F.col("distance"), 9).alias("score")))
 
 
-def _small(df: DataFrame, max_bytes: int):
-    """Rows of df if their vectors fit max_bytes, else None; never fetches more than that."""
-    first = df.select(F.size("vector").alias("n")).head()
-    if first is None:
-        return []
-    cap = max(1, max_bytes // (8 * max(1, first["n"])))
-    rows = df.limit(cap + 1).collect()
-    return rows if len(rows) <= cap else None
+def _small(df: DataFrame, max_bytes: int, max_rows: int):
+    """Rows of df if there are at most max_rows and their vectors fit max_bytes, else None.
+
+    One pass, so a model behind the vectors runs once, and never more than max_rows + 1 rows are fetched.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows and sum(8 * len(r["vector"]) for r in rows) <= max_bytes else None
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, skip_same: bool = False,
-              max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+              max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+              query_block_rows: int = QUERY_BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """JOIN-6: exact cosine kNN of queries(qid, vector) in corpus(id, vector).
 
-    Questions that fit ``max_broadcast_bytes`` are broadcast and the corpus is scanned once
-    with no shuffle of vectors.  More questions go through equal blocks of both sides.
+    Questions within ``max_broadcast_rows`` and ``max_broadcast_bytes`` are broadcast and the corpus is
+    scanned once with no shuffle of vectors.  More questions go through equal blocks of both sides, of
+    about ``block_rows`` vectors and ``query_block_rows`` questions; each side travels once per block of
+    the other, so wide vectors want smaller and many questions larger blocks.
     """
     k = max(1, k)
-    rows = _small(queries.select("qid", "vector"), max_broadcast_bytes)
+    rows = _small(queries.select("qid", "vector"), max_broadcast_bytes, max_broadcast_rows)
     if rows is None:
         return rank_hits(_blocked(queries.withColumn("cell", F.lit(0)), corpus.withColumn("cell", F.lit(0)),
-                                  k, skip_same), k)
+                                  k, skip_same, block_rows, query_block_rows), k)
     schema = _schema(queries, corpus)
     held = queries.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], [r["vector"] for r in rows]))
     unit, best = _scorer(k, skip_same)
@@ -160,9 +164,9 @@ def train_cells(corpus: DataFrame, n_cells: int, seed: int = 42) -> DataFrame:
 def assign_cells(vectors: DataFrame, cells: DataFrame, nprobe: int = 1) -> DataFrame:
     """Add ``cell``: one row per vector and nearest cell.  The cell table is the coarse
     quantiser, read on the driver with a size check."""
-    rows = _small(cells.select("cell", F.col("centroid").alias("vector")), MAX_BROADCAST_BYTES)
+    rows = _small(cells.select("cell", F.col("centroid").alias("vector")), 8 * MAX_BROADCAST_BYTES, MAX_CELLS)
     if rows is None:
-        raise ValueError("the cell table is larger than MAX_BROADCAST_BYTES; train fewer cells")
+        raise ValueError(f"more than {MAX_CELLS} cells or {8 * MAX_BROADCAST_BYTES} bytes of them; train fewer cells")
     held = vectors.sparkSession.sparkContext.broadcast(([r["cell"] for r in rows], [r["vector"] for r in rows]))
     unit, _ = _scorer(1, False)
     schema = T.StructType(vectors.schema.fields + [T.StructField("_cells", T.ArrayType(cells.schema["cell"].dataType))])
@@ -184,7 +188,8 @@ def assign_cells(vectors: DataFrame, cells: DataFrame, nprobe: int = 1) -> DataF
 
 
 def knn_ivf(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int = TOP_K, nprobe: int = 2,
-            skip_same: bool = False) -> DataFrame:
+            skip_same: bool = False, block_rows: int = BLOCK_ROWS,
+            query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """JOIN-7: kNN among the vectors of the nprobe cells nearest to each question.
 
     ``corpus`` may already carry its ``cell`` (stored partitioned by it, see
@@ -193,7 +198,7 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int = TO
     k = max(1, k)
     placed = corpus if "cell" in corpus.columns else assign_cells(corpus.select("id", "vector"), cells)
     asked = assign_cells(queries.select("qid", "vector"), cells, nprobe)
-    return rank_hits(_blocked(asked, placed, k, skip_same), k)
+    return rank_hits(_blocked(asked, placed, k, skip_same, block_rows, query_block_rows), k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

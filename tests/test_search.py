@@ -25,14 +25,13 @@ def pairs(hits):
     return {(r["qid"], r["id"]) for r in hits.collect()}
 
 
-def test_broadcast_and_block_paths_equal_brute_force(spark, monkeypatch):
+def test_broadcast_and_block_paths_equal_brute_force(spark):
     corpus = vectors(spark)
     asked = corpus.withColumnRenamed("id", "qid")
     want = brute(corpus.collect(), 5)
     assert pairs(knn_exact(asked, corpus, 5, skip_same=True)) == want
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
-    blocked = knn_exact(asked, corpus, 5, skip_same=True, max_broadcast_bytes=1000)
-    assert pairs(blocked) == want
+    for limits in ({"max_broadcast_bytes": 1000}, {"max_broadcast_rows": 10, "query_block_rows": 70}):
+        assert pairs(knn_exact(asked, corpus, 5, skip_same=True, block_rows=100, **limits)) == want
     small = knn._blocked(asked.withColumn("cell", F.lit(0)), corpus.withColumn("cell", F.lit(0)), 5, True, 64, 50)
     assert pairs(knn.rank_hits(small, 5)) == want
 
