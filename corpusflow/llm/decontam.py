@@ -1,38 +1,44 @@
-"""Operator 7: benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Operator 7: benchmark decontamination by character grams counted along diagonals.
 
-The CGK random walk reads a string with a pointer: step j writes the symbol under the pointer and moves it on if a
-random bit of (j, symbol) says so. Two strings at small edit distance get sequences at small Hamming distance, since
-the walks meet again after an edit. Each repetition has its own random bits and samples a few steps of the walk; a
-window and an item that agree in all samples of one repetition are candidates, and the exact edit distance decides.
+A passage within an item's allowed edit distance k lies on k + 1 neighbouring diagonals (place in the text less place in
+the item), and each edit breaks at most q of the item's q-grams. So the grams that text and item share are counted in
+bins of k + 1 diagonals; where two neighbouring bins hold enough of them, the exact edit distance decides. There are
+no anchors, no windows of words and no fixed slack: a stretch put in or cut out only moves the diagonal within k.
 
-Symbols are words (lower case, outer punctuation off). Windows have the item's own size. They begin where the window
-would lie if a word of the document that is the longest among its neighbours were the item's word at that place;
-every stretch of ``AMONG`` words has such a word, so an item is looked for at each of its unedited stretches.
+Enough is, for items under SHORT bytes, what any passage must share (nothing is lost). Longer items use 5-grams, of
+which the similarity leaves no certain number; their bound is what RECALL of all passages share if exactly the allowed
+part of the letters is changed at random places. Grams that many items have are left out, but for the rarest half of
+an item's own; an item's bound follows the number that it keeps, and no other item's length plays a part.
+
+Text is compared as words (lower case, outer punctuation off) with one blank between them, in UTF-8 bytes.
 
 Items are a stated query set: they are sent to the tasks in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES,
 one pass over the documents for each block; nothing of the documents is shuffled.
 
 Defined results: a null or empty text holds no passage; an item without words is in no document; repeated rows give
 repeated hits; of several places the one with the least distance counts, then the first; equal items are all named.
+``at_word`` is the word in which the passage begins (of equal distance, the shortest passage with the first end).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from corpusflow.llm.common import lowered, mix, record, slices
+from corpusflow.llm.common import lowered, record, slices
 
 SIMILARITY = 0.8       # of characters: 1 - distance / item length
-REPETITIONS = 12
-SAMPLES = 3
-AMONG = 8
-SLACK = 8              # words looked at on each side of a candidate window
+RECALL = 0.95          # of passages at the similarity itself, letters changed at random places
+SHORT = 40             # bytes; shorter items lose nothing
+GRAM = 5
+COMMON = 8             # grams with more places in the items than this are left out
+BINS = 1 << 18         # counted at a time
 BLOCK_ITEMS = 2_000
 BLOCK_BYTES = 4 << 20
 OUTER = b".,;:!?()[]{}<>\"'*#$%&|-_/"
@@ -42,66 +48,21 @@ def tokens(text: str | None) -> list[bytes]:
     return [w.strip(OUTER) or w for w in lowered(text)]
 
 
-def hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-
-
-@lru_cache(maxsize=1 << 16)
-def _seed(step: int, repetition: int) -> np.uint64:
-    return mix(np.array([repetition << 32 | step], np.uint64))[0] | np.uint64(1)
-
-
-def moves(symbols: np.ndarray, step: int, repetition: int) -> np.ndarray:
-    """The walk's random bit for each symbol at a step."""
-    return ((symbols ^ _seed(step, repetition)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64)
-
-
-@lru_cache(maxsize=1 << 16)
-def sampled(length: int, repetition: int, samples: int) -> list[int]:
-    """Steps that a repetition looks at, one from each part of the first 3/2 of the length (a walk takes about 2)."""
-    rng = np.random.Generator(np.random.PCG64([repetition, length]))
-    edges = np.linspace(0, max(3 * length // 2, samples), samples + 1)
-    return [int(rng.integers(int(a), max(int(b), int(a) + 1))) for a, b in zip(edges, edges[1:])]
-
+def fit(pattern: bytes, text: bytes, begins: bool = False) -> tuple[int, int]:
+    """(least edit distance in bytes between the pattern and any part of the text, first end of such a part).
 
-def walk(symbols: np.ndarray, starts: np.ndarray, length: int, repetition: int, samples: int,
-         signs: np.ndarray | None = None) -> np.ndarray:
-    """Sampled symbols of the CGK embeddings of ``symbols[start:start + length]``, one row for each start.
-
-    Symbols before or after the text are 0, as are those after a window's end. With ``signs`` (a row for each start)
-    the result is the starts' numbers whose samples all agree with them; a window is left at its first that does not.
+    By bit-parallel columns. With ``begins`` only parts at the text's begin count.
     """
-    steps = sampled(length, repetition, samples)
-    at, left = np.zeros(len(starts), np.int64), np.arange(len(starts))
-    out = np.zeros((len(starts), len(steps)), np.uint64)
-    for step in range(steps[-1] + 1):
-        place = starts + at
-        inside = (at < length) & (place >= 0) & (place < len(symbols))
-        symbol = np.where(inside, symbols[np.minimum(np.maximum(place, 0), len(symbols) - 1)], np.uint64(0))
-        for column in (i for i, s in enumerate(steps) if s == step):
-            if signs is None:
-                out[:, column] = symbol
-            else:
-                agree = np.flatnonzero(symbol == signs[left, column])
-                starts, at, left, symbol = starts[agree], at[agree], left[agree], symbol[agree]
-        if not len(left):
-            break
-        at = at + moves(symbol, step, repetition)
-    return out if signs is None else left
-
-
-def fit_distance(pattern: bytes, text: bytes) -> int:
-    """Least edit distance (bytes) between the pattern and any part of the text, by bit-parallel columns."""
     m = len(pattern)
     if not m:
-        return 0
-    full, top = (1 << m) - 1, 1 << (m - 1)
+        return 0, 0
+    full, top, first = (1 << m) - 1, 1 << (m - 1), int(begins)
     masks: dict[int, int] = {}
     for i, b in enumerate(pattern):
         masks[b] = masks.get(b, 0) | 1 << i
     plus, minus, score = full, 0, m
-    best = score
-    for b in text:
+    best, end = score, 0
+    for at, b in enumerate(text, 1):
         equal = masks.get(b, 0)
         x = equal | minus
         d = (((equal & plus) + plus) ^ plus) | x
@@ -111,69 +72,110 @@ def fit_distance(pattern: bytes, text: bytes) -> int:
             score += 1
         elif down & top:
             score -= 1
-        up, down = (up << 1) & full, (down << 1) & full
+            if score < best:
+                best, end = score, at
+        up, down = (up << 1) & full | first, (down << 1) & full
         plus = down | (full & ~(d | up))
         minus = up & d
-        best = min(best, score)
-    return best
+    return best, end
 
 
-class Items:
-    """A block of items, ready for look-up by word."""
+def fit_distance(pattern: bytes, text: bytes) -> int:
+    """Least edit distance (bytes) between the pattern and any part of the text."""
+    return fit(pattern, text)[0]
+
+
+def grams(text: bytes, q: int, bits: int) -> np.ndarray:
+    """Hashes of ``bits`` bits of all ``q``-grams (at most 8 bytes)."""
+    if len(text) < q:
+        return np.empty(0, np.int64)
+    eight = np.ndarray((len(text) - q + 1,), "<u8", text + bytes(8), 0, (1,))
+    return ((eight << np.uint64(64 - 8 * q)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Seeds:
+    """The grams of one length of some items, and how many of them a passage shares."""
+
+    def __init__(self, which: list[int], items: list[bytes], allowed: list[int], q: int, similarity: float, recall: float):
+        self.q, self.which = q, np.array(which, np.int64)
+        self.length = np.array([len(items[i]) for i in which], np.int64)
+        self.width = np.array([allowed[i] + 1 for i in which], np.int64)
+        places = self.length - q + 1
+        self.bits = int(16 * places.sum()).bit_length()
+        code = np.concatenate([grams(items[i], q, self.bits) for i in which])
+        item = np.repeat(np.arange(len(which)), places)
+        offset = np.arange(len(code)) - np.repeat(np.cumsum(places) - places, places)
+        if q == GRAM:
+            many = np.bincount(code)[code]
+            order = np.lexsort((many, item))  # rarest first within each item
+            rank = np.empty(len(code), np.int64)
+            rank[order] = offset
+            keep = (many <= COMMON) | (2 * rank < places[item])
+            code, item, offset = code[keep], item[keep], offset[keep]
+        own = np.bincount(item, minlength=len(which))
+        self.least = own - q * (self.width - 1)  # what no number of edits takes away
+        if q == GRAM:
+            one = similarity ** q
+            spread = one * (1 + 2 * sum(similarity ** j for j in range(1, q)) - (2 * q - 1) * one)
+            share = own * one - NormalDist().inv_cdf(recall) * np.sqrt(own * max(spread, 0.0))
+            self.least = np.maximum(self.least, np.maximum(np.floor(share + 1e-9).astype(np.int64), 1))
+        order = np.argsort(code, kind="stable")
+        code, self.item, self.offset = code[order], item[order], offset[order]
+        found, self.first, self.many = np.unique(code, return_index=True, return_counts=True)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[found] = np.arange(len(found))
+
+    def regions(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) of the places that share enough; all of a passage lies in one of them."""
+        over = int((self.length + self.width).max()) + self.q
+        step = max(int(BINS / (1 / self.width).sum()), 2 * over, 1 << 12)
+        for at in range(0, max(len(text) - over, 0) + 1, step):
+            yield from self._regions(text[at:at + step + over], at)
+
+    def _regions(self, text: bytes, base: int) -> Iterator[tuple[int, int, int]]:
+        slot = self.table[grams(text, self.q, self.bits)]
+        place = np.flatnonzero(slot >= 0)
+        slot = slot[place]
+        many = self.many[slot]
+        entry = np.repeat(self.first[slot] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item = self.item[entry]
+        # Diagonals from -length on; an empty bin divides the items.
+        bins = (len(text) + self.length) // self.width + 2
+        begin = np.cumsum(bins) - bins
+        diagonal = np.repeat(place, many) - self.offset[entry] + self.length[item]
+        held = np.bincount(begin[item] + diagonal // self.width[item], minlength=int(bins.sum()))
+        two = held[:-1] + held[1:]
+        enough = np.flatnonzero(two >= max(int(self.least.min()), 1))
+        item = np.searchsorted(begin, enough, "right") - 1
+        some = two[enough] >= self.least[item]
+        enough, item = enough[some], item[some]
+        if not len(enough):
+            return
+        # Neighbouring pairs of bins are one region.
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(enough) > 1) | (np.diff(item) > 0)]))
+        last = np.append(new[1:], len(enough)) - 1
+        item = item[new]
+        low = (enough[new] - begin[item]) * self.width[item] - self.length[item]
+        high = (enough[last] - begin[item] + 2) * self.width[item]  # the item's length is in the diagonal
+        for i, a, b in zip(self.which[item].tolist(), (low + base).tolist(), (high + base).tolist()):
+            yield i, max(a, base), b
 
-    def __init__(self, rows: list[tuple[int, str]], repetitions: int, samples: int, similarity: float):
-        self.rows = [(i, t) for i, t in ((i, tokens(text)) for i, text in rows) if t]
-        self.repetitions, self.samples = repetitions, samples
-        self.text = [b" ".join(t) for _, t in self.rows]
+
+class Items:
+    """A block of items, ready for look-up by gram; equal texts are one."""
+
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float = RECALL):
+        named: dict[bytes, list[int]] = {}
+        for i, text in rows:
+            if found := tokens(text):
+                named.setdefault(b" ".join(found), []).append(i)
+        self.text, self.ids = list(named), list(named.values())
         self.allowed = [int((1 - similarity) * len(t) + 1e-9) for t in self.text]
-        self.length = np.array([len(t) for _, t in self.rows], np.int64)
-        symbols = [hashes(t) for _, t in self.rows]
-        word = np.concatenate(symbols) if symbols else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(self.rows)), self.length)
-        offset = np.concatenate([np.arange(n) for n in self.length]) if len(self.rows) else word.astype(np.int64)
-        # Only an item's own anchors: a document's anchor inside an unedited stretch is one of these.
-        self.among = int(min([AMONG, *self.length])) if len(self.rows) else AMONG
-        begin = np.cumsum(self.length) - self.length
-        sizes = [np.minimum([*map(len, t)], 0xFFFF) for _, t in self.rows]
-        own = [anchors(s, z, self.among) + b for s, z, b in zip(symbols, sizes, begin)]
-        own = np.concatenate(own) if own else np.empty(0, np.int64)
-        own = own[np.argsort(word[own], kind="stable")]
-        self.word, self.item, self.offset = word[own], item[own], offset[own]
-        self.signs = np.zeros((repetitions, len(self.rows), samples), np.uint64)
-        for length in np.unique(self.length).tolist():
-            some = np.flatnonzero(self.length == length)
-            for r in range(repetitions):
-                self.signs[r, some] = walk(word, begin[some], length, r, samples)
-
-    def candidates(self, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, window start) pairs that LSH lets through; ``symbols`` are documents end to end."""
-        at = anchors(symbols, sizes, self.among)
-        left = np.searchsorted(self.word, symbols[at], "left")
-        many = np.searchsorted(self.word, symbols[at], "right") - left
-        entry = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, start = self.item[entry], np.repeat(at, many) - self.offset[entry]
-        pair = np.unique(item << 44 | start + (1 << 43))  # starts may lie before the text
-        item, start = pair >> 44, (pair & (1 << 44) - 1) - (1 << 43)
-        for length in np.unique(self.length[item]).tolist():
-            own = np.flatnonzero(self.length[item] == length)
-            for r in range(self.repetitions):
-                met = walk(symbols, start[own], length, r, self.samples, self.signs[r, item[own]])
-                for k in own[met].tolist():
-                    yield int(item[k]), int(start[k])
-                own = np.delete(own, met)
-
-
-def anchors(symbols: np.ndarray, sizes: np.ndarray, among: int) -> np.ndarray:
-    """Places whose word is the longest (by hash among equals, the leftmost) of some ``among`` words in a row."""
-    if len(symbols) < among:
-        return np.arange(len(symbols))
-    key = sizes.astype(np.uint64) << np.uint64(48) | symbols >> np.uint64(16)
-    high, best = key.copy(), np.arange(len(key))
-    for step in range(1, among):
-        more = np.flatnonzero(key[step:] > high[:-step])
-        high[more] = key[more + step]
-        best[more] = more + step
-    return np.unique(best)
+        by: dict[int, list[int]] = {}
+        for i, (t, k) in enumerate(zip(self.text, self.allowed)):
+            q = GRAM if len(t) >= SHORT else next((q for q in (3, 2) if len(t) - q + 1 - q * k > 0), 1)
+            by.setdefault(q, []).append(i)
+        self.seeds = [Seeds(which, self.text, self.allowed, q, similarity, recall) for q, which in sorted(by.items())]
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()),
@@ -183,26 +185,24 @@ DDL = "doc_id long, item_id long, distance long, similarity double, at_word long
 
 def _search(docs: dict[str, list], items: Items) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, distance, first word) of the passages found in a few documents."""
-    split = [tokens(t) for t in docs["text"]]
-    sizes = np.array([*map(len, split)], np.int64)
-    flat = [w for t in split for w in t]
-    if not flat or not len(items.rows):
-        return
-    symbols = hashes(flat)
-    width = np.minimum(np.fromiter(map(len, flat), np.int64, len(flat)), 0xFFFF)
-    ends = np.cumsum(sizes)
+    split = [b" ".join(tokens(t)) for t in docs["text"]]
+    ends = np.cumsum([len(t) + 1 for t in split]).tolist()
+    flat = b"\n".join(split)  # no word has a line end
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for item, start in items.candidates(symbols, width):
-        n = int(items.length[item])
-        # Windows cross into a neighbouring document where they are cut to the one that holds their middle.
-        row = int(np.searchsorted(ends, min(max(start + n // 2, 0), len(flat) - 1), "right"))
-        low, high = int(ends[row] - sizes[row]), int(ends[row])
-        region = flat[max(low, start - SLACK):min(high, start + n + SLACK)]
-        distance = fit_distance(items.text[item], b" ".join(region))
-        if distance <= items.allowed[item]:
-            found = (distance, max(start - low, 0))
-            if found < best.get((row, item), (1 << 60, 0)):
-                best[row, item] = found
+    for seeds in items.seeds:
+        for item, low, high in seeds.regions(flat):
+            pattern, allowed = items.text[item], items.allowed[item]
+            row = bisect_right(ends, low)
+            while row < len(split) and (begin := ends[row] - len(split[row]) - 1) < high:
+                a, b = max(low, begin), min(high, ends[row] - 1)
+                if b - a >= len(pattern) - allowed:
+                    distance, end = fit(pattern, flat[a:b])
+                    if distance <= min(allowed, best.get((row, item), (allowed, 0))[0]):
+                        back = flat[max(a, a + end - len(pattern) - allowed):a + end][::-1]
+                        start = a + end - fit(pattern[::-1], back, begins=True)[1]
+                        found = (distance, flat.count(b" ", begin, start + 1))
+                        best[row, item] = min(found, best.get((row, item), found))
+                row += 1
     for (row, item), (distance, at) in sorted(best.items()):
         yield row, item, distance, at
 
@@ -219,16 +219,15 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, repetitions: int = REPETITIONS,
-             samples: int = SAMPLES) -> DataFrame:
+def passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row for each document and benchmark item whose text it holds within the similarity."""
     def one(block):
-        ready = Items(block, repetitions, samples, similarity)  # as large as the block
+        ready = Items(block, similarity, recall)  # as large as the block
 
         def find(batches):
             for part in slices(batches):
-                out = [(part["doc_id"][row], ready.rows[item][0], distance,
-                        1 - distance / len(ready.text[item]), at) for row, item, distance, at in _search(part, ready)]
+                out = [(part["doc_id"][row], i, distance, 1 - distance / len(ready.text[item]), at)
+                       for row, item, distance, at in _search(part, ready) for i in ready.ids[item]]
                 if out:
                     yield record(SCHEMA, **dict(zip(SCHEMA.names, zip(*out))))
         return docs.select("doc_id", "text").mapInArrow(find, DDL)
@@ -236,10 +235,10 @@ def passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
 
 
 def without_passages(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
-                     repetitions: int = REPETITIONS, samples: int = SAMPLES) -> DataFrame:
+                     recall: float = RECALL) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns, in one pass and without a shuffle."""
     def one(rest, block):
-        ready = Items(block, repetitions, samples, similarity)
+        ready = Items(block, similarity, recall)
 
         def drop(batches):
             for batch in batches:

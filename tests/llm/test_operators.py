@@ -276,6 +276,58 @@ def test_edited_passages_reach_the_recall(table, spark):
     assert len(near & found) >= 0.9 * len(near) and len(near) > 100
 
 
+def letters(text, share, rng):
+    """One letter changed in a share of the words."""
+    w = text.split()
+    for i in range(len(w)):
+        if rng.random() < share:
+            at = rng.randrange(len(w[i]))
+            w[i] = w[i][:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[i][at + 1:]
+    return " ".join(w)
+
+
+def edited(text, share, rng):
+    """Words left out, replaced or doubled."""
+    w = text.split()
+    for _ in range(round(len(w) * share)):
+        at = rng.randrange(len(w))
+        w[at:at + 1] = rng.choice([[], ["edit"], [w[at], "more"]])
+    return " ".join(w)
+
+
+def recall(items, change, filler, rng):
+    """(passages within 0.8 of characters, those found) of edited items between other texts."""
+    ready, docs, near = decontam.Items(list(enumerate(items)), 0.8), [], {}
+    for k, t in enumerate(items):
+        docs.append(" ".join([rng.choice(filler), change(t), rng.choice(filler)]))
+        distance = decontam.fit_distance(ready.text[k], b" ".join(decontam.tokens(docs[k])))
+        if distance <= ready.allowed[k]:
+            near[k] = distance
+    found = {(row, item): distance for row, item, distance, _ in decontam._search({"text": docs}, ready)}
+    return len(near), sum(found.get((k, k)) == distance for k, distance in near.items())
+
+
+@pytest.mark.parametrize("kind,share", [(letters, 0.3), (letters, 0.5), (letters, 0.7), (letters, 1), (edited, 0.1), (edited, 0.2), (edited, 0.25)])
+def test_recall_by_kind_of_edit(table, spark, kind, share):
+    items, rng = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()], random.Random(6)
+    filler = [" ".join(t.split()[:40]) for _, t in texts(table) if t]
+    near, found = recall(items, lambda t: kind(t, share, rng), filler, rng)
+    assert near > 100 and found >= 0.97 * near
+
+
+def test_passages_of_short_items_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6)))
+    docs = [(k, " ".join(word() for _ in range(rng.randint(1, 80)))) for k in range(60)]
+    items = [(100 + k, " ".join(word() for _ in range(rng.randint(1, 7)))) for k in range(60)] + [(99, docs[7][1][:30]), (98, docs[7][1][:30]), (97, "a")]
+    text = {k: b" ".join(decontam.tokens(t)) for k, t in docs + items}
+    want = {(d, i): decontam.fit_distance(text[i], text[d]) for d, _ in docs for i, _ in items}
+    want = {pair: n for pair, n in want.items() if n <= int(0.2 * len(text[pair[1]]) + 1e-9)}
+    got = decontam.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(got) == len(want) and {(7, 98), (7, 99)} <= want.keys()
+    assert {r.at_word for r in got if r.item_id == 99 and r.distance == 0} == {0}
+
+
 def test_edit_distance():
     def plain(p, t):
         row = [0] * (len(t) + 1)
