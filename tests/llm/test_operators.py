@@ -150,6 +150,39 @@ def test_near_duplicates(table, odd):
     assert ids.count(4) == 1 and 5 not in ids and None in ids
 
 
+def jaccard(one, other):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.lower().split(), other.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_drops_planted_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, near = [], 0
+    for k in range(150):
+        w = [word() for _ in range(120)]
+        docs.append((2 * k, " ".join(w)))
+        for _ in range(rng.choice([1, 2, 2, 5])):
+            w[rng.randrange(120)] = word()
+        docs.append((2 * k + 1, " ".join(w)))
+        near += jaccard(docs[-2][1], docs[-1][1]) >= 0.8
+    docs += [(None, docs[0][1]), (1000, "")]
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    ids = {r.doc_id for r in kept}
+    left = [k for k in range(150) if {2 * k, 2 * k + 1} <= ids]
+    assert near > 80 and sum(jaccard(docs[2 * k][1], docs[2 * k + 1][1]) >= 0.8 for k in left) <= 0.01 * near
+    assert len(left) >= 150 - near and {2 * k for k in range(150)} | {None, 1000} <= ids
+
+
+def test_near_copies_that_share_a_band_without_its_least(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda found: [0])
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    w = [f"w{i}" for i in range(300)]
+    docs = [(k, " ".join([*w[100 * (k % 3):100 * (k % 3) + 100], *["x"] * (k > 2)])) for k in range(6)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 901), (None, 4)], "a long, b long")
     got = {r.v: r.component for r in components(chain, "a", "b").collect()}
