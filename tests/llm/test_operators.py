@@ -348,6 +348,21 @@ def test_recall_by_kind_of_edit(table, spark, kind, share):
     assert near > 100 and found >= 0.97 * near
 
 
+@pytest.mark.parametrize("size,put", [(8, 50), (10, 50), (14, 100), (18, 100)])
+def test_recall_with_an_inserted_stretch(table, spark, size, put):
+    one, rng = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()], random.Random(size)
+    filler = [" ".join(t.split()[:40]) for _, t in texts(table) if len(t.split()) >= 40]
+    items = one if put == 50 else [f"{a} {b}" for a, b in zip(one, one[1:])]
+    items = [t for t in items if put <= len(t.split()) < 1.2 * put]
+
+    def insert(text):
+        w = text.split()
+        at = rng.randrange(len(w))
+        return " ".join([*w[:at], *rng.choice(filler).split()[:size], *w[at:]])
+    near, found = recall(items, insert, filler, rng)
+    assert near > 10 and found == near
+
+
 def test_passages_of_short_items_equal_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6)))
