@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import (bpe, budget, decontam, fingerprints, langid, lattice, quality, shards, simhash, substrings)
+from corpusflow.llm import (bpe, budget, decontam, fingerprints, langid, lattice, minhash, negatives, quality, shards,
+                            simhash, spelling, substrings)
+from corpusflow.llm.oracles import HARD_NEGATIVES, NEAR_DUPLICATES, SPELLING
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +76,18 @@ def _substrings(spark, sf_dir):
 @query("op10_token_counts")
 def _counts(spark, sf_dir):
     return budget.token_counts(table(spark, sf_dir))
+
+
+@query("op11_spelling_variants", SPELLING)
+def _spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir))
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES)
+def _negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_minhash_near_dedup", NEAR_DUPLICATES)
+def _minhash(spark, sf_dir):
+    return minhash.digest(table(spark, sf_dir))
