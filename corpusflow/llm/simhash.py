@@ -6,34 +6,21 @@ however many documents share them; a group therefore keeps the flipped bits as o
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; repeated rows give
 repeated results and count as one document; a null doc_id is never a component's name unless all are null.
-
-``drop_near_copies`` is for a stage that is to drop near copies by similarity: five-word Jaccard of 0.8 or more. At
-that similarity 64-bit fingerprints differ in about 10 bits, and balls that reach so far take over 1,000 variants a
-document, so it meets copies by bands of min-hashes (recall at 0.8 itself: 1 - (1 - 0.8^5)^16 = 0.998) instead.
-Whoever meets in a band is compared with the band's least document; those who are not its copies are compared with
-the least of the rest, and so on. So every colliding copy is linked to a smaller document or is the one compared
-with, no two of the kept documents that met are copies, and no pairs of a large group are enumerated.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import lowered, mix, record, slices, stored
+from corpusflow.llm.common import lowered, record, slices, stored
 from corpusflow.llm.components import components
-from corpusflow.llm.substrings import window_hashes
 
 SEED = 42
 BITS = 64
-SIMILARITY = 0.8  # Jaccard of COPY_WIDTH words, for near copies
-COPY_WIDTH = 5
-BANDS, ROWS = 16, 5
 RADIUS = 2  # met by flips of one bit on both sides
 
 
@@ -106,116 +93,11 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     Rows without a doc_id cannot be named and stay.
     """
     found = near_duplicates(docs, width)
-    kept = (found.where("doc_id = component_id").groupBy("doc_id").agg(F.lit(True).alias("__kept"))
-            .withColumnRenamed("doc_id", "__id"))
-    return (docs.join(kept, F.col("doc_id") == F.col("__id"), "left").where("__kept or doc_id is null")
-            .withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct 64-bit hashes of all runs of ``width`` words; a shorter text is one run."""
-    found = lowered(text)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    length = min(width, len(h))
-    return np.unique(window_hashes(h, length)[:len(h) - length + 1]) if length else h
-
-
-def band_keys(found: np.ndarray) -> list[int]:
-    """A key for each band: the hash of its ROWS min-hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1 << 10):
-        least = np.minimum(least, (mix(found[at:at + (1 << 10)])[:, None] * FACTORS).min(0))
-    return [xxhash.xxh3_64_intdigest(least[b * ROWS:(b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
-
-
-FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) without most documents that are not among the ids, so that their texts are not shuffled.
-
-    By a bitmap of 8 bits an id and at most 8 MB; a full one lets more documents through, and the join decides.
-    """
-    bits = 1 << min(max(8 * ids.count(), 1 << 10).bit_length(), 26)
-
-    def places(column):
-        return (mix(column.to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-    def mark(batches):
-        field = np.zeros(bits, bool)
-        for batch in batches:
-            field[places(batch.column("id"))] = True
-        if field.any():
-            yield pa.RecordBatch.from_pydict({"m": [zlib.compress(np.packbits(field).tobytes(), 1)]})
-    field = np.zeros(bits >> 3, np.uint8)
-    for row in ids.mapInArrow(mark, "m binary").collect():
-        field |= np.frombuffer(zlib.decompress(row.m), np.uint8)
-
-    def keep(batches):
-        for batch in batches:
-            at = places(batch.column("doc_id"))
-            yield batch.filter(pa.array((field[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-    return docs.mapInArrow(keep, "doc_id long, text string")
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' Jaccard similarity is enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(batches):
-        last = None
-        for part in slices(batches):
-            out = []
-            for a, b, one, other in zip(part["a"], part["b"], part["text"], part["other"]):
-                if one != last:
-                    last, first = one, shingles(one, width)
-                second = shingles(other, width)
-                shared = len(np.intersect1d(first, second, assume_unique=True))
-                if shared >= similarity * (len(first) + len(second) - shared) - 1e-9:
-                    out.append((a, b))
-            yield record(schema, **dict(zip(schema.names, zip(*out) if out else ([], []))))
-    # The text of b travels with its pair; a's, which a large group shares, is met last.
-    left = _only(docs, pairs.select(F.col("a").alias("id")).distinct()).withColumnRenamed("doc_id", "a")
-    right = _only(docs, pairs.select(F.col("b").alias("id")).distinct()).select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text", "other").mapInArrow(compare, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, width: int = COPY_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b), a < b, of doc_ids that are near copies; their closure joins all that meet in a band."""
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def sketch(batches):
-        for part in slices(batches):
-            found = [(i, s) for i, s in ((i, shingles(t, width)) for i, t in zip(part["doc_id"], part["text"])) if len(s)]
-            yield record(schema, doc_id=[i for i, _ in found], keys=[band_keys(s) for _, s in found],
-                         whole=[xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for _, s in found])
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    sketches = stored(named.mapInArrow(sketch, "doc_id long, whole long, keys array<long>").repartition("doc_id"))
-    # Documents of equal sets of shingles are linked as they are; the least of each set goes on.
-    firsts = stored(sketches.groupBy("whole").agg(F.min("doc_id").alias("a")))
-    edges = (sketches.select("doc_id", "whole").join(firsts, "whole").where("doc_id > a")
-             .select("a", F.col("doc_id").alias("b")))
-    waiting = stored(sketches.join(firsts.withColumnRenamed("a", "doc_id"), ["doc_id", "whole"])
-                     .select("doc_id", F.explode("keys").alias("key")).distinct())
-    while True:
-        least = stored(waiting.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        met = stored(waiting.join(least, "key").where("doc_id > a").select("key", "a", F.col("doc_id").alias("b")))
-        if met.isEmpty():
-            return edges
-        alike = stored(_alike(stored(met.select("a", "b").distinct()), named, width, similarity))
-        edges = edges.unionByName(alike)
-        waiting = stored(met.join(alike, ["a", "b"], "left_anti").select(F.col("b").alias("doc_id"), "key"))
-
-
-def drop_near_copies(docs: DataFrame, width: int = COPY_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that have a near copy of a smaller doc_id; rows without a doc_id stay."""
-    return docs.join(copies(docs, width, similarity), "doc_id", "left_anti")
-
-
-def copies(docs: DataFrame, width: int = COPY_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The doc_ids that have a near copy of a smaller doc_id, over links."""
-    return stored(components(near_copies(docs, width, similarity), "a", "b").where("v <> component")
-                  .select(F.col("v").alias("doc_id")))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # The row travels as one struct, so that no column of it can clash with those of the join.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("mark"))
+    return (rows.join(kept, F.col("of") == F.col("id"), "left").where("id is not null or of is null")
+            .dropDuplicates(["of", "mark"]).select("row.*"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("corpusflow.llm")
 import corpus_pipeline  # noqa: E402
-from corpusflow.llm import bpe, budget, decontam, fingerprints, langid, lattice, quality, shards, simhash, substrings  # noqa: E402
+from corpusflow.llm import bpe, budget, decontam, fingerprints, langid, lattice, minhash, quality, shards, simhash, substrings  # noqa: E402
 from corpusflow.llm.components import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -175,12 +175,12 @@ def test_stage_drops_planted_near_copies(spark):
 
 
 def test_near_copies_that_share_a_band_without_its_least(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "band_keys", lambda found: [0])
-    monkeypatch.setattr(simhash, "BANDS", 1)
+    """All sets meet in one band, whose least set is like one of the others only."""
+    monkeypatch.setattr(minhash, "band_keys", lambda sketch: np.zeros((len(sketch), 1), np.int64))
     w = [f"w{i}" for i in range(300)]
     docs = [(k, " ".join([*w[100 * (k % 3):100 * (k % 3) + 100], *["x"] * (k > 2)])) for k in range(6)]
-    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    copied = minhash.copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in copied.collect()) == [3, 4, 5]
 
 
 def test_components_of_a_long_chain(spark):
