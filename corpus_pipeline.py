@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, decontam, quality, simhash, substrings
+from corpusflow.llm import bpe, decontam, minhash, quality, simhash, substrings
 from corpusflow.llm.common import checkpoint_dir
 
 
@@ -16,8 +16,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: by SimHash, and by five-word Jaccard of 0.8 or more."""
-    return simhash.keep_one(docs).join(simhash.copies(docs), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: by SimHash, and by five-word Jaccard of 0.8 or more.
+
+    Fingerprints of texts that are 0.8 alike differ in about 10 bits, and balls that reach so far take over 1,000
+    variants a document; so these texts meet by the sketches of ``minhash`` and are verified on their whole sets.
+    Rows without a doc_id cannot be named and stay; the smallest doc_id of a group stays.
+    """
+    once = simhash.keep_one(docs)
+    return once.join(minhash.copies(docs, similarity=80), "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
