@@ -13,11 +13,11 @@ from corpusflow.catalog.base import WS, match_norm, q, query, sentences, table
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.prompts import NOTHING_FOUND
+from corpusflow.operators.conflicts import conflict_candidates
 from corpusflow.operators.dedupe import (
     dedupe_claims, dedupe_findings, distinct_findings, near_duplicate_pairs, pair_key)
 from corpusflow.operators.findings import (
-    ANALYSIS_FAILED, CHUNK_NOTE, FINDINGS_PRESENT, MERGED, claim_rows, conflict_candidates, filter_grounded,
-    finding_rows, parse_outputs, report)
+    ANALYSIS_FAILED, CHUNK_NOTE, FINDINGS_PRESENT, MERGED, claim_rows, filter_grounded, finding_rows, parse_outputs, report)
 from corpusflow.settings import checkpointed
 
 _INVENTED = "The document describes ticket prices for a concert venue."
@@ -229,26 +229,52 @@ def document_reports(spark, sf_dir):
     return report(table(spark, sf_dir, "documents").select("doc_id", "text"), parsed, found)
 
 
-# Claims: the first two words of each sentence around the sentence's own length, so wordings
-# repeat inside a document with different numbers.
-_CLAIM = "(regexp_extract(s, '^[^ ]+') || ' ' || length(s) || ' ' || 'belgi')"
-
-
-@query("conflict_candidates", rf"""
-    WITH lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{WS}]')) AS l FROM documents),
+# Claims: every whole sentence, which states its own length after its last word. So sentences of one document that
+# share enough of their words disagree; numbers that stand in the texts take part as they are.
+_SENTENCES = f"""
+    lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{WS}]')) AS l FROM documents),
     s AS (SELECT doc_id, flatten(list_transform(l, lambda p: {sentences('p')})) AS ss FROM lines),
-    c AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS ord FROM s),
-    claims AS (SELECT doc_id, ord, {_CLAIM} AS claim, length(s)::VARCHAR AS value, lower(regexp_extract(s, '^[^ ]+')) AS w FROM c),
-    m AS (SELECT *, regexp_extract(w, '^(\p{{L}}+):?$', 1) AS before FROM claims),
-    v AS (SELECT doc_id, before, value, min(ord) AS ord, min_by(claim, ord) AS claim FROM m WHERE before <> '' GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, before ORDER BY ord) AS n FROM v)
-    SELECT b.doc_id, a.ord AS ord_a, b.ord AS ord_b, a.claim AS statement_a, b.claim AS statement_b,
-           a.before || ' ' || a.value || ' / ' || b.value || ' belgi' AS explanation
-    FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.before = b.before AND a.n = 1 AND b.n > 1""")
+    claims AS (SELECT doc_id, ord, s || ' ' || length(s) || ' belgi' AS claim
+               FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS ord FROM s))"""
+_NUMBER = r"([0-9]{1,3}(?: [0-9]{3})+\b|[0-9](?:[0-9.,:]*[0-9])?)(?:[ -]?(\p{L}[\p{L}'']*))?"
+_CONFLICTS = rf"""
+    {_SENTENCES},
+    plain AS (SELECT *, regexp_replace({match_norm('claim')}, '^[0-9]+[.)] ', '') AS t FROM claims),
+    read AS (SELECT doc_id, ord, claim, list_sort(list_distinct(regexp_extract_all(t, '\p{{L}}[\p{{L}}'']+'))) AS words,
+                    regexp_extract_all(t, '{_NUMBER}', 1) AS vs, regexp_extract_all(t, '{_NUMBER}', 2) AS us FROM plain),
+    listed AS MATERIALIZED (SELECT doc_id, ord, claim, words, list_sort(list_transform(range(1, len(vs) + 1), lambda i:
+                    struct_pack(unit := us[i], pos := i, value := replace(vs[i], ' ', '')))) AS nums FROM read WHERE len(vs) > 0 AND len(words) > 0),
+    keyed AS (SELECT *, list_transform(nums, lambda n: n.unit) AS us, list_transform(nums, lambda n: n.value) AS vs FROM listed),
+    said AS MATERIALIZED (SELECT doc_id, words, us, vs, min(ord) AS ord, min_by(claim, ord) AS claim FROM keyed GROUP BY doc_id, words, us, vs),
+    first AS MATERIALIZED (SELECT doc_id, words, us, min(ord) AS ord, min_by(claim, ord) AS claim, min_by(vs, ord) AS vs FROM said GROUP BY doc_id, words, us),
+    each_word AS (SELECT doc_id, ord, unnest(words) AS word FROM first),
+    weights AS MATERIALIZED (SELECT doc_id, word, length(bin((n + 16) // df)) AS weight
+        FROM (SELECT doc_id, word, count(*) AS df FROM each_word GROUP BY ALL) JOIN (SELECT doc_id, count(*) AS n FROM first GROUP BY ALL) USING (doc_id)),
+    heavy AS MATERIALIZED (SELECT doc_id, ord, sum(weight) AS total FROM each_word JOIN weights USING (doc_id, word) GROUP BY ALL),
+    shared AS (SELECT a.doc_id, a.ord AS o1, b.ord AS o2, sum(weight) AS w FROM each_word a
+               JOIN each_word b ON a.doc_id = b.doc_id AND a.word = b.word AND a.ord < b.ord
+               JOIN weights x ON x.doc_id = a.doc_id AND x.word = a.word GROUP BY ALL),
+    alike AS (SELECT s.doc_id, o1, o2 FROM shared s JOIN heavy p ON p.doc_id = s.doc_id AND p.ord = o1
+              JOIN heavy r ON r.doc_id = s.doc_id AND r.ord = o2 WHERE 100 * w >= 35 * least(p.total, r.total)),
+    numbers AS (SELECT doc_id, ord, unit, value, row_number() OVER (PARTITION BY doc_id, ord, unit ORDER BY j) AS k
+                FROM (SELECT doc_id, ord, unnest(us) AS unit, unnest(vs) AS value, generate_subscripts(us, 1) AS j FROM first)),
+    between_ AS (SELECT doc_id, o1, o2, arg_min(v, (unit, k)) AS explanation FROM (
+                     SELECT l.doc_id, o1, o2, a.unit, a.k, trim(a.value || ' / ' || b.value || ' ' || a.unit) AS v FROM alike l
+                     JOIN numbers a ON a.doc_id = l.doc_id AND a.ord = o1
+                     JOIN numbers b ON b.doc_id = l.doc_id AND b.ord = o2 AND b.unit = a.unit AND b.k = a.k WHERE a.value <> b.value)
+                 GROUP BY doc_id, o1, o2),
+    within_ AS (SELECT s.doc_id, f.ord AS o1, s.ord AS o2, f.vs AS v1, s.vs AS v2, s.us,
+                       list_filter(range(1, len(s.vs) + 1), lambda i: f.vs[i] <> s.vs[i])[1] AS i
+                FROM said s JOIN first f ON f.doc_id = s.doc_id AND f.words = s.words AND f.us = s.us AND f.ord <> s.ord),
+    found AS (SELECT * FROM between_ UNION ALL SELECT doc_id, o1, o2, trim(v1[i] || ' / ' || v2[i] || ' ' || us[i]) FROM within_)"""
+
+
+@query("conflict_candidates", f"""
+    WITH {_CONFLICTS}
+    SELECT f.doc_id, o1 AS ord_a, o2 AS ord_b, a.claim AS statement_a, b.claim AS statement_b, explanation
+    FROM found f JOIN claims a ON a.doc_id = f.doc_id AND a.ord = o1 JOIN claims b ON b.doc_id = f.doc_id AND b.ord = o2""")
 def conflicts(spark, sf_dir):
     lines = F.filter(F.split("text", "\n", -1), lambda p: p.rlike(r"(?U)\S"))
     sents = explode_rows(table(spark, sf_dir, "documents"), F.flatten(F.transform(lines, tx.sentences)), "ord", "s", "doc_id")
-    claim = F.concat(F.regexp_extract("s", "^[^ ]+", 0), F.lit(" "), F.length("s").cast("string"), F.lit(" belgi"))
-    # Only sentences whose first word consists of letters can be mentions (see the SQL).
-    plain = F.regexp_extract(F.lower("s"), r"^[^ ]+", 0).rlike(r"^\p{L}+:?$")
-    return conflict_candidates(sents.where(plain).select("doc_id", "ord", claim.alias("claim")))
+    claim = F.concat("s", F.lit(" "), F.length("s").cast("string"), F.lit(" belgi"))
+    return conflict_candidates(sents.select("doc_id", "ord", claim.alias("claim")))

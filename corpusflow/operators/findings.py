@@ -1,4 +1,4 @@
-"""REL-10..13, FIND-2/3/8/9, JOIN-9: model findings to grounded, distinct, reported findings."""
+"""REL-10..13, FIND-2/3/8/9: model findings to grounded, distinct, reported findings."""
 
 from __future__ import annotations
 
@@ -115,39 +115,6 @@ def filter_grounded(findings: DataFrame, sources: DataFrame) -> DataFrame:
                         ).drop("_src", "_a", "_b")
 
 
-# A number with its immediate neighbours: the word before, the value, the word after (empty if none follows).
-# The value is one possessive run, so a table of any length is read without recursion; the word after is only
-# looked at, so it may be the word before the next number.
-_MENTION = (r"(?U)(?<!\S)(\p{L}[\p{L}'’‘-]*+):?\s++(\d[\d.,:\s]*+)"
-            r"(?:(?<=\s)(?=(\p{L}[\p{L}'’‘-]*+))|(?!\p{L}))")
-
-
-def conflict_candidates(claims: DataFrame) -> DataFrame:
-    """JOIN-9: claims(doc_id, ord, claim) that give different numbers for the same wording.
-
-    Two mentions are about the same thing when document, word before and word after the
-    number agree.  Every other value is reported once, against the first one stated; the
-    first statement of each value is found by aggregation, so a wording that fills a third
-    of the rows is combined before the shuffle and never paired with itself.
-    """
-    norm = tx.normalize_for_match("claim")
-    parts = F.arrays_zip(*[F.regexp_extract_all(norm, F.lit(_MENTION), F.lit(i)).alias(name)
-                           for i, name in ((1, "before"), (2, "number"), (3, "after"))])
-    rows = explode_rows(claims, parts, "_at", "m", "doc_id", "ord", "claim")
-    value = F.regexp_replace(F.regexp_replace(F.col("m.number"), r"\s", ""), r"[.,:]+$", "")
-    rows = rows.select("doc_id", "ord", "claim", F.col("m.before").alias("before"), value.alias("value"),
-                       F.col("m.after").alias("after"))
-    topic = ["doc_id", "before", "after"]
-    by_value = rows.groupBy(*topic, "value").agg(F.min(F.struct("ord", "claim")).alias("said"))
-    first = by_value.groupBy(*topic).agg(F.min(F.struct("said", "value")).alias("f"))
-    return (by_value.join(first, topic).where(F.col("value") != F.col("f.value"))
-            .select("doc_id", F.col("f.said.ord").alias("ord_a"), F.col("said.ord").alias("ord_b"),
-                    F.col("f.said.claim").alias("statement_a"), F.col("said.claim").alias("statement_b"),
-                    F.concat_ws(" ", F.col("before"), F.col("f.value"), F.lit("/"), F.col("value"), F.col("after"))
-                    .alias("explanation"))
-            .where(F.col("ord_a") != F.col("ord_b")))
-
-
 def report(docs: DataFrame, parsed: DataFrame, findings: DataFrame) -> DataFrame:
     """FIND-9, AGG-9, AGG-10: one row per document.
 

@@ -12,9 +12,10 @@ from corpusflow.functions import prompts as pr
 from corpusflow.functions.model_json import parse_analysis
 from corpusflow.functions.rows import explode_rows
 from corpusflow.operators.chunks import analysis_chunks
+from corpusflow.operators.conflicts import conflict_candidates
 from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
-    claim_rows, conflict_candidates, filter_grounded, finding_rows, parse_outputs, parse_rows, report)
+    claim_rows, filter_grounded, finding_rows, parse_outputs, parse_rows, report)
 from corpusflow.plans.answering import generated
 from corpusflow.settings import CLAIMS_A_PROMPT, CONTEXT_TOKENS, checkpointed
 

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.model_json import decode_references, encode_references, parse_analysis
+from corpusflow.operators.conflicts import alike_wordings, conflict_candidates
 from corpusflow.operators.dedupe import candidate_pairs, dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
-    conflict_candidates, filter_grounded, parse_outputs, report, summary_grounded)
+    filter_grounded, parse_outputs, report, summary_grounded)
 
 SCHEMA = "doc_id int, ord long, statement_a string, statement_b string, explanation string"
 
@@ -117,16 +118,48 @@ def test_parse_outputs_flags(spark):
 
 def test_conflicts(spark):
     rows = [(1, 0, "Ish haqi: oyiga 8 000 000 so‘m."), (1, 1, "Xodimga oyiga 5 000 000 so‘m to‘lanadi."), (1, 2, "Sinov muddati: 3 oy."),
-            (1, 3, "Unga oyiga 8 000 000 so‘m beriladi"), (2, 0, "oyiga 1 so‘m")]
+            (1, 3, "Unga oyiga 8 000 000 so‘m beriladi"), (2, 0, "oyiga 1 so‘m"),
+            (3, 0, "oylik ish haqi 8 000 000 som etib belgilanadi"), (3, 1, "xodimga har oyda 4 000 000 som ish haqi to'lanadi"),
+            (4, 0, "narx 5 79"), (4, 1, "narx 57 9"), (5, 0, "narx 5 790 som"), (5, 1, "narx 5790 som"), (6, 0, "5. muddat 3 kun"), (6, 1, "6. muddat 3 kun")]
     got = conflict_candidates(spark.createDataFrame(rows, "doc_id int, ord long, claim string")).collect()
-    assert [(r["doc_id"], r["ord_a"], r["ord_b"]) for r in got] == [(1, 0, 1)]
+    assert sorted((r["doc_id"], r["ord_a"], r["ord_b"]) for r in got) == [(1, 0, 1), (1, 1, 3), (3, 0, 1), (4, 0, 1)]
+    assert {r["doc_id"]: r["explanation"] for r in got if r["doc_id"] > 2} == {3: "8000000 / 4000000 som", 4: "5 / 57"}
 
 
-def test_conflicts_of_shared_words_and_number_tables(spark):
+def test_conflicts_of_units_and_number_tables(spark):
     rows = [(1, 0, "alfa 5 beta 6 gamma"), (1, 1, "beta 7 gamma"), (2, 0, "muddat 3"), (2, 1, "muddat: 4"),
-            (3, 0, "jadval " + "12 " * 50_000 + "oxiri"), (3, 1, "jadval 5 oxiri"), (4, 0, "og‘irlik 5kg"), (4, 1, "og‘irlik 6kg")]
+            (3, 0, "jadval " + "12 " * 50_000 + "oxiri"), (3, 1, "jadval 5 oxiri"), (4, 0, "og‘irlik 5kg"), (4, 1, "og‘irlik 6kg"),
+            (5, 0, "haftada 5 kun, kuniga 8 soat"), (5, 1, "kuniga 8 soat"), (5, 2, "haftada kuniga 9 soat"),
+            (6, 0, "2024-yil 1-mart kuni"), (6, 1, "2025-yil 1-mart kuni"), (7, 0, "narx " + "1.2." * 20_000), (7, 1, "12 13"), (7, 2, None)]
     got = conflict_candidates(spark.createDataFrame(rows, "doc_id int, ord long, claim string")).collect()
-    assert sorted((r["doc_id"], r["ord_a"], r["ord_b"]) for r in got) == [(1, 0, 1), (2, 0, 1), (3, 0, 1)]
+    found = {(r["doc_id"], r["ord_a"], r["ord_b"]): r["explanation"] for r in got}
+    assert found == {(1, 0, 1): "6 / 7 gamma", (2, 0, 1): "3 / 4", (3, 0, 1): "12 / 5 oxiri", (4, 0, 1): "5 / 6 kg",
+                     (5, 0, 2): "8 / 9 soat", (5, 1, 2): "8 / 9 soat", (6, 0, 1): "2024 / 2025 yil"}
+
+
+def test_conflicts_do_not_pair_a_price_list(spark):
+    """Lines that share all but a name are about different things; further values of one wording meet its first only."""
+    rows = [(1, n, f"mahsulot nomi{chr(97 + n // 26)}{chr(97 + n % 26)} narxi {n} som") for n in range(400)]
+    rows += [(1, 1000 + n, f"yetkazish muddati {n} kun") for n in range(300)]
+    first = spark.createDataFrame([(1, n, ["mahsulot", f"nomi{n}", "narxi", "som"]) for n in range(400)], "doc_id int, wid long, words array<string>")
+    assert alike_wordings(first).count() == 0
+    got = conflict_candidates(spark.createDataFrame(rows, "doc_id int, ord long, claim string")).collect()
+    assert sorted((r["ord_a"], r["ord_b"]) for r in got) == [(1000, 1000 + n) for n in range(1, 300)]
+
+
+def test_alike_wordings_equal_all_pairs(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(d, w, sorted(set(rng.choices(vocab, weights=range(1, 41), k=rng.randint(1, 7))))) for d in range(4) for w in range(40)]
+    want = set()
+    for d in range(4):
+        sets = {w: set(x) for doc, w, x in rows if doc == d}
+        df = {v: sum(v in s for s in sets.values()) for v in vocab}
+        weigh = lambda s: sum(((40 + 16) // df[v]).bit_length() for v in s)
+        want |= {(d, a, b) for a in sets for b in sets if a < b
+                 and 100 * weigh(sets[a] & sets[b]) >= 35 * min(weigh(sets[a]), weigh(sets[b])) and sets[a] & sets[b]}
+    got = alike_wordings(spark.createDataFrame(rows, "doc_id int, wid long, words array<string>")).collect()
+    assert {(r.doc_id, *sorted((r.one, r.other))) for r in got} == want and len(got) == len(want)
 
 
 def test_boilerplate_gives_no_candidates(spark):
