@@ -132,7 +132,14 @@ def line_articles(spark, sf_dir):
     return article_rows(fallback_articles(docs, "lines", LAW_PAGE)).drop("ord")
 
 
-# --- law pages: the numbered lines in nested markup, inside a container with a menu before and a footer after it ---
+# --- law pages: the numbered lines in nested markup, inside a container with a menu before and a footer after it.
+# Every fifth line has noise three levels deep before it, a rule's element around it and another one after it, and
+# phrases of the interface. ---
+_NOISE_IN_NOISE = ('<div class="ACT_TEXT lx_elem"><div><div class="lx_no_select">bir<div class="lx_no_select">ikki<div '
+                   'class="INDEXES_ON_REF">uch</div> ikki</div><br> bir</div>Audioni TINGLASH <span class=lx_elem>')
+_NESTED = '</span> lexuz sharhi davomi<div class="ACT_TEXT">ichki band</div></div>'
+
+
 def _law_page():
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -140,6 +147,7 @@ def _law_page():
         n = (j + 1).cast("string")
         return (F.when((j + 1) % 7 == 3, F.concat(F.lit('<div class="TEXT_HEADER_DEFAULT lx_elem"><b>'), n, F.lit("-bob.</b> "), line))
                 .when((j + 1) % 2 == 0, F.concat(F.lit('<div class="CLAUSE_DEFAULT lx_elem"><a>'), n, F.lit("-modda. "), line, F.lit("</a>")))
+                .when((j + 1) % 5 == 1, F.concat(F.lit(_NOISE_IN_NOISE), line, F.lit(_NESTED)))
                 .otherwise(F.concat(F.lit('<div class="ACT_TEXT lx_elem"><div><span class="lx_no_select">qator</span>'), line,
                                     F.lit("</div>"))))
 
@@ -152,11 +160,13 @@ def _law_page():
     WITH lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line,
                           generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     kinds AS (SELECT id, i, CASE WHEN i % 7 = 3 THEN 'chapter' WHEN i % 2 = 0 THEN 'clause' ELSE 'text' END AS kind,
-                     {collapse("CASE WHEN i % 7 = 3 THEN i || '-bob. ' || line ELSE line END")} AS l FROM lines),
+                     {collapse("CASE WHEN i % 7 = 3 THEN i || '-bob. ' || line WHEN i % 2 = 1 AND i % 5 = 1 THEN line || ' davomi ichki band' ELSE line END")} AS l,
+                     -- the inner element's text once more, as an element of its own
+                     CASE WHEN i % 7 <> 3 AND i % 2 = 1 AND i % 5 = 1 THEN ' ichki band' ELSE '' END AS again FROM lines),
     events AS (SELECT *, max(CASE WHEN kind <> 'text' THEN i END) OVER w AS opener,
                       max(CASE WHEN kind = 'chapter' THEN i END) OVER w AS chapter_at
                FROM kinds WINDOW w AS (PARTITION BY id ORDER BY i)),
-    bodies AS (SELECT id, opener, coalesce(string_agg(l, ' ' ORDER BY i) FILTER (kind = 'text' AND l <> ''), '') AS body
+    bodies AS (SELECT id, opener, coalesce(string_agg(l || again, ' ' ORDER BY i) FILTER (kind = 'text' AND l <> ''), '') AS body
                FROM events GROUP BY id, opener),
     clauses AS (SELECT k.id, k.i::VARCHAR AS article_number, k.l AS title, coalesce(c.l, '') AS chapter, b.body
                 FROM events k JOIN bodies b ON b.id = k.id AND b.opener = k.i LEFT JOIN kinds c ON c.id = k.id AND c.i = k.chapter_at

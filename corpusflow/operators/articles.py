@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
-from corpusflow.operators.markup import CLAUSE, HEADER, TEXT, MarkupRules, elements_array, line_text
+from corpusflow.operators.markup import CLAUSE, HEADER, TEXT, MarkupRules, with_elements, line_text
 
 _STATE = "struct<chapter:string,section:string>"
 _OPENER = "struct<at:int,role:string,text:string,chapter:string,section:string>"
@@ -142,14 +142,12 @@ def clean_documents(pages: DataFrame, id_col: str, html_col: str, rules: MarkupR
     Pages without elements or without articles go through the text fallback.  Both branches
     read the page's own row, so this is one scan: the branch is chosen by the first result.
     """
-    df = (pages.withColumn("id", F.col(id_col))
-          .withColumn("elements", elements_array(F.col(html_col), rules)))
-    df = with_articles(df, rules)
+    df = with_articles(with_elements(pages.withColumn("id", F.col(id_col)), F.col(html_col), rules), rules)
     missing = F.size("articles") == 0
     # The fallback text is null (and its expressions idle) where the markup gave articles.
     df = (df.withColumn("_parsed", F.col("articles")).withColumn("_lead", F.col("preamble"))
-          .withColumn("_lines", F.when(missing, line_text(F.col(html_col), rules)))
-          .drop("articles", "preamble", "elements"))
+          .withColumn("_lines", F.when(missing, line_text(F.col("_bare"), rules)))
+          .drop("articles", "preamble", "elements", "_bare"))
     df = fallback_articles(df, "_lines", rules)
     use_text = F.size("_parsed") == 0
     return (df.withColumn("articles", F.when(use_text, F.coalesce("articles", F.array().cast(_ARTICLE)))

@@ -1,11 +1,13 @@
 import random
+from dataclasses import replace
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from corpusflow.operators.articles import clean_documents, with_articles
 from corpusflow.operators.carry import carry_last, island_articles, preambles
 from corpusflow.operators.chunks import analysis_chunks, chunk_articles
-from corpusflow.operators.markup import LAW_PAGE
+from corpusflow.operators.markup import LAW_PAGE, html_elements, with_running
 
 PAGE = """<html><body><div>menu</div><div id="divCont"><div class="docContentHeader">top</div>
 <div class="ACT_TITLE lx_elem">KODEKS</div><div class="ACT_TEXT lx_elem"><div>Kirish &laquo;so&#699;z&raquo;</div></div>
@@ -47,7 +49,81 @@ def test_container_ends_at_its_own_tag(spark):
                          "id", "html", LAW_PAGE)
     rows = {r["id"]: r["articles"] for r in df.collect()}
     assert [a["text"] for a in rows["a"]] == ["Bir. é©€ matn"]
-    assert [a["text"] for a in rows["b"]] == ["Bir. é©€ matn footer"] and not rows["c"]
+    # Tags that are never closed hold all that follows.
+    assert [a["text"] for a in rows["b"]] == ["Bir é©€ matn footer. é©€ matn footer footer"] and not rows["c"]
+
+
+VOID = {"br", "img"}
+
+
+class Tree(HTMLParser):
+    """Every element with all text inside it, in the order of the opening tags; noise and its content left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in VOID:
+            kind = dict(attrs).get("class") or ""
+            item = [tag, kind, "lx_no_select" in kind or tag == "nav" or any(o[2] for o in self.open), []]
+            self.open.append(item)
+            self.found.append(item)
+
+    def handle_endtag(self, tag):
+        if tag in [o[0] for o in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(o[2] for o in self.open):
+            for o in self.open:
+                o[3].append(data)
+
+    def elements(self):
+        text = [(k, " ".join("".join(parts).split())) for _, k, noise, parts in self.found if not noise]
+        roles = {"CLAUSE_X": "clause", "ACT_TEXT": "text", "TEXT_HEADER": "header"}
+        return [(roles[k], t) for k, t in text if k in roles and t]
+
+
+def _random_markup(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(0 if depth else 3, 5)):
+        tag, kind = rng.choice(["div", "span", "nav", "p"]), rng.choice(["CLAUSE_X", "ACT_TEXT", "TEXT_HEADER", "lx_no_select", "x", "lx_elem"])
+        inner = _random_markup(rng, depth + 1) if depth < 5 and rng.random() < 0.7 else rng.choice(["", f"w{rng.randrange(99)} ", "<br>z "])
+        out.append(f'<{tag} id=i{depth} class="{kind}">{inner}</{tag}> t{rng.randrange(99)} ')
+    return "".join(out)
+
+
+def test_nested_elements_equal_a_tree(spark):
+    rng = random.Random(11)
+    rules = replace(LAW_PAGE, containers=(), noise_tags=("script", "style", "nav"))
+    pages = [(i, _random_markup(rng)) for i in range(150)] + [(900, ""), (901, None), (902, "no tags at all"), (903, "</div></span> < 3 <div class='ACT_TEXT'>a</div>")]
+    got = {}
+    for r in html_elements(spark.createDataFrame(pages, "i int, h string"), "i", "h", rules).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append((r["role"], r["text"]))
+    want = {}
+    for i, h in pages:
+        tree = Tree()
+        tree.feed(h or "")
+        want[i] = tree.elements()
+    assert got == {i: e for i, e in want.items() if e} and sum(len(e) for e in want.values()) > 300
+
+
+def test_nested_rule_elements_and_deep_noise(spark):
+    text = "Bosh qism <span class=lx_elem>havola</span> oxirgi qism."
+    deep = '<div class="lx_no_select">' * 40 + "yashirin" + "</div>" * 40
+    html = f'<div id="divCont"><div class="CLAUSE_DEFAULT">1-modda. Bir</div><div class="ACT_TEXT">{deep}{text}<div class="ACT_TEXT">ichki</div> son</div></div>'
+    wide = f'<div id="divCont">{"".join(f"<div class=ACT_TEXT><b>q{n}</b><i class=lx_no_select>x</i></div>" for n in range(3000))}</div>'
+    rows = html_elements(spark.createDataFrame([(1, html), (2, wide)], "i int, h string"), "i", "h", LAW_PAGE).orderBy("id", "pos").collect()
+    assert [r["text"] for r in rows if r["id"] == 1] == ["1-modda. Bir", "Bosh qism havola oxirgi qism. ichki son", "ichki"]
+    assert [r["text"] for r in rows if r["id"] == 2] == [f"q{n}" for n in range(3000)]
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([([],), ([5],), (list(range(1, 200)),)], "v array<int>")
+    got = [r.t for r in with_running(df, F.col("v"), "t", lambda a, x: a + x).collect()]
+    assert got == [[], [5], [k * (k + 1) // 2 for k in range(1, 200)]]
 
 
 def test_fallback_keeps_the_order_of_text(spark):
