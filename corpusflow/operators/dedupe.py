@@ -2,8 +2,8 @@
 
 The rule is sequential (an item goes when an earlier *kept* item matches it), but only
 matching pairs interact.  So exact copies are folded first, matching pairs are found by an
-equi-join on text anchors, and the keep-first rule is resolved on that pair graph in
-rounds.  No document's items are gathered in one place.
+equi-join on each text's rarest anchor, and the keep-first rule is one ordered pass over the
+pairs (``graph``).  No document's items are gathered in one place.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
+from corpusflow.operators.graph import dropped_by_first
 from corpusflow.settings import MIN_QUOTE_CHARS, checkpointed
 
 
@@ -39,9 +40,13 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))).cast("int")
 
 
-# How a text is filed: by its inner words, by the longer one of its two words (the second
-# from its start, the first from its end), or by the characters of its only word.
-INNER, SECOND, FIRST, SINGLE = "inner", "second", "first", "single"
+# How a text of one or two words is filed: by the longer one of its two words (the second from its start, the first
+# from its end), or by the characters of its only word.
+SECOND, FIRST, SINGLE = "second", "first", "single"
+
+# A text of three words or more is filed by its rarest inner word, if no more texts of the document have that word.
+FEW = 8
+EDGE = 32  # characters of a word that may be cut off which are looked at
 
 
 def _word(i: Column | int) -> Column:
@@ -49,10 +54,8 @@ def _word(i: Column | int) -> Column:
 
 
 def _key(kind: str, i: Column, n: Column) -> Column:
-    """Hash of n words or characters at position i, with the characters next to them."""
+    """Hash of n characters of the word (or the text) at position i, with the character next to them."""
     before, after, one = F.right(_word(i - 1), F.lit(1)), F.left(_word(i + 1), F.lit(1)), F.lit(1)
-    if kind == INNER:
-        return F.xxhash64(n, before, F.slice("words", i + 1, n), F.left(_word(i + n), one))
     if kind == SECOND:
         return F.when(F.length(_word(i)) >= n, F.xxhash64(n, before, F.left(_word(i), n)))
     if kind == FIRST:
@@ -63,10 +66,10 @@ def _key(kind: str, i: Column, n: Column) -> Column:
 def _keys(kind: str) -> Column:
     """All keys of a text under which a text inside it may be filed, for the ``sizes`` of its document."""
     words, chars = F.size("words"), F.length("text")
-    first = {INNER: 1, SECOND: 1, FIRST: 0, SINGLE: 0}[kind]
+    first = {SECOND: 1, FIRST: 0, SINGLE: 0}[kind]
 
     def of(n: Column) -> Column:
-        last = {INNER: words - n - 1, SECOND: words - 1, FIRST: words - 2, SINGLE: chars - n}[kind]
+        last = {SECOND: words - 1, FIRST: words - 2, SINGLE: chars - n}[kind]
         keys = F.transform(F.sequence(F.lit(first), last), lambda i: _key(kind, i, n))
         return F.when(last >= first, keys).otherwise(F.array().cast("array<bigint>"))
 
@@ -74,7 +77,7 @@ def _keys(kind: str) -> Column:
 
 
 def _own_key(kind: str) -> Column:
-    return _key(kind, F.lit({INNER: 1, SECOND: 1, FIRST: 0, SINGLE: 0}[kind]), F.col("size"))
+    return _key(kind, F.lit({SECOND: 1, FIRST: 0, SINGLE: 0}[kind]), F.col("size"))
 
 
 def _meet(texts: DataFrame, keys: Column, filed: DataFrame, anchor: Column) -> DataFrame:
@@ -85,31 +88,80 @@ def _meet(texts: DataFrame, keys: Column, filed: DataFrame, anchor: Column) -> D
     return met.select("doc_id", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
 
 
+def _edges_of(words: Column) -> Column:
+    """Keys of neighbouring words, of which the first or the second one may be cut off at its outer end."""
+    places = F.sequence(F.lit(0), F.size(words) - 2)
+
+    def both(i: Column) -> Column:
+        one, other = F.get(words, i), F.get(words, i + 1)
+        ends = F.transform(F.sequence(F.lit(1), F.least(F.length(one), F.lit(EDGE))), lambda n: F.xxhash64(F.lit("<"), F.right(one, n), other))
+        starts = F.transform(F.sequence(F.lit(1), F.least(F.length(other), F.lit(EDGE))), lambda n: F.xxhash64(F.lit(">"), one, F.left(other, n)))
+        return F.concat(ends, starts)
+    return F.when(F.size(words) > 1, F.array_distinct(F.flatten(F.transform(places, both)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _own_edges(words: Column) -> Column:
+    """The keys under which a text of three words or more can be met: all its neighbours but for the outer ends."""
+    n = F.size(words)
+    inner = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
+        F.lit("<"), F.right(F.get(words, i), F.least(F.length(F.get(words, i)), F.lit(EDGE))), F.get(words, i + 1)))
+    last = F.get(words, n - 1)
+    return F.array_distinct(F.concat(inner, F.array(F.xxhash64(
+        F.lit(">"), F.get(words, n - 2), F.left(last, F.least(F.length(last), F.lit(EDGE)))))))
+
+
+def _rarest(options: DataFrame, looks: DataFrame) -> DataFrame:
+    """(doc_id, ord, tid, anchor, df): the option of each text that the fewest texts of its document have."""
+    common = looks.groupBy("doc_id", "anchor").agg(F.count("*").alias("df"))
+    best = options.join(common, ["doc_id", "anchor"]).groupBy("doc_id", "ord", "tid").agg(F.min(F.struct("df", "anchor")).alias("b"))
+    return best.select("doc_id", "ord", "tid", "b.anchor", "b.df")
+
+
+def _met(anchors: DataFrame, looks: DataFrame) -> DataFrame:
+    met = anchors.select("doc_id", "anchor", F.col("ord").alias("y")).join(
+        looks.select("doc_id", "anchor", F.col("ord").alias("x")), ["doc_id", "anchor"]).where(F.col("x") != F.col("y"))
+    return met.select("doc_id", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
+
+
+def _by_rarest_words(texts: DataFrame) -> DataFrame:
+    """Pairs of a text of three words or more and the texts that have its rarest anchor.
+
+    Its inner words are whole words of a text that contains it. Where they are all common (lines of one form that differ
+    at an end only), two neighbouring words are the anchor, of which the outer one may be cut off. So a text makes
+    keys in proportion to its length, and meets about as many texts as share its rarest piece.
+    """
+    looks = checkpointed(explode_rows(texts, F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)), "_at", "anchor", "doc_id", "ord"))
+    long = texts.where(F.size("words") > 2).withColumn("tid", F.xxhash64("text"))  # an item may have several texts
+    inner = F.transform(F.array_distinct(F.slice(F.col("words"), F.lit(2), F.size("words") - 2)), lambda w: F.xxhash64(w))
+    filed = checkpointed(_rarest(explode_rows(long, inner, "_at", "anchor", "doc_id", "ord", "tid"), looks))
+    rare, common = filed.where(F.col("df") <= FEW), filed.where(F.col("df") > FEW)
+    options = checkpointed(explode_rows(long.join(common, ["doc_id", "ord", "tid"], "left_semi"), _own_edges(F.col("words")),
+                                        "_at", "anchor", "doc_id", "ord", "tid"))
+    edges = explode_rows(texts.join(options.select("doc_id").distinct(), "doc_id", "left_semi"), _edges_of(F.col("words")),
+                         "_at", "anchor", "doc_id", "ord")
+    seen = checkpointed(edges.join(options.select("doc_id", "anchor").distinct(), ["doc_id", "anchor"], "left_semi"))
+    return _met(rare, looks).unionByName(_met(_rarest(options, seen), seen))
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """(doc_id, first, second): every pair of items with one text inside another, and few more.
 
-    ``texts`` is (doc_id, ord, text), texts normalised.  The inner words of a contained text
-    (all but first and last) are whole words of the containing one.  So a text is filed
-    under all its inner words, with the characters next to them, and looked up under all
-    runs of the lengths that its document uses: candidates share the shorter text's inner
-    words.  Texts of one or two words are filed by half or more of a word, and met only in
-    documents that have them.
+    ``texts`` is (doc_id, ord, text), texts normalised.  Texts of three words or more meet by
+    their rarest anchor; texts of one or two words are filed by half or more of a word, and met
+    only in documents that have them.
     """
     count = F.size("words")
     longer = F.length(_word(1)) >= F.length(_word(0))
-    texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words"))
-    texts = texts.withColumn("kind", F.when(count > 2, INNER).when(count == 1, SINGLE)
-                             .when(longer, SECOND).otherwise(FIRST))
-    length = (F.when(count > 2, count - 2).when(count == 1, F.length("text"))
-              .otherwise(F.greatest(F.length(_word(0)), F.length(_word(1)))))
-    texts = texts.withColumn("size", F.when(count > 2, length).otherwise(_power(length)))
-    pairs = None
-    for kind in (INNER, SECOND, FIRST, SINGLE):
-        filed = texts.where(F.col("kind") == kind)
+    texts = texts.select("doc_id", "ord", "text", F.split("text", " ", -1).alias("words")).where("text is not null")
+    pairs = _by_rarest_words(texts)
+    length = F.when(count == 1, F.length("text")).otherwise(F.greatest(F.length(_word(0)), F.length(_word(1))))
+    short = (texts.withColumn("kind", F.when(count == 1, SINGLE).when((count == 2) & longer, SECOND).when(count == 2, FIRST))
+             .withColumn("size", _power(F.greatest(length, F.lit(1)))))
+    for kind in (SECOND, FIRST, SINGLE):
+        filed = short.where(F.col("kind") == kind)
         # One short array per document: the distinct lengths of its texts of this kind.
-        near = texts.join(filed.groupBy("doc_id").agg(F.collect_set("size").alias("sizes")), "doc_id")
-        met = _meet(near, _keys(kind), filed, _own_key(kind))
-        pairs = met if pairs is None else pairs.unionByName(met)
+        near = short.join(filed.groupBy("doc_id").agg(F.collect_set("size").alias("sizes")), "doc_id")
+        pairs = pairs.unionByName(_meet(near, _keys(kind), filed, _own_key(kind)))
     return pairs.distinct()
 
 
@@ -128,24 +180,8 @@ def containing_pairs(texts: DataFrame) -> DataFrame:
 
 
 def keep_first(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """Items (doc_id, ord, …) that survive the rule; edges are (doc_id, first, second), first < second.
-
-    A node with no earlier partner stays; its later partners go; repeat on what is left.
-    Every round settles all chains by one link, so the loop ends.
-    """
-    node = ["doc_id", "ord"]
-    open_edges = checkpointed(edges)
-    dropped = None
-    while not open_edges.isEmpty():
-        later = open_edges.select("doc_id", F.col("second").alias("first")).distinct()
-        from_kept = open_edges.join(later, ["doc_id", "first"], "left_anti")
-        gone = checkpointed(from_kept.select("doc_id", F.col("second").alias("ord")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        open_edges = checkpointed(
-            open_edges.join(gone.withColumnRenamed("ord", "second"), ["doc_id", "second"], "left_anti")
-            .join(gone.withColumnRenamed("ord", "first"), ["doc_id", "first"], "left_anti")
-            .select("doc_id", "first", "second"))
-    return items if dropped is None else items.join(dropped, node, "left_anti")
+    """ARR-1: items (doc_id, ord, …) that survive the rule; edges are (doc_id, first, second), first < second."""
+    return items.join(dropped_by_first(edges), ["doc_id", "ord"], "left_anti")
 
 
 def _first_of(items: DataFrame, *key: str) -> DataFrame:

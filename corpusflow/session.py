@@ -14,6 +14,8 @@ def local_session(cpus: str = "8", shuffle_partitions: str = "8") -> SparkSessio
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
              .config("corpusflow.input.partitions", cpus)
+             # Stored intermediate rows go when nothing refers to them any more; set this on a cluster as well.
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.functions.model_json import decode_references, encode_references, parse_analysis
 from corpusflow.operators.conflicts import alike_wordings, conflict_candidates
-from corpusflow.operators.dedupe import candidate_pairs, dedupe_claims, dedupe_findings
+from corpusflow.operators import graph
+from corpusflow.operators.dedupe import candidate_pairs, dedupe_claims, dedupe_findings, keep_first
 from corpusflow.operators.findings import (
     filter_grounded, parse_outputs, report, summary_grounded)
 
@@ -163,11 +164,57 @@ def test_alike_wordings_equal_all_pairs(spark):
 
 
 def test_boilerplate_gives_no_candidates(spark):
+    """Lines of one form that differ in the middle, in the first or in the last word; and one long quote."""
     words = [f"soz{i}" for i in range(21)]
     rows = [(1, n, " ".join([*words[:18], f"farq{n}", *words[19:]])) for n in range(300)]
     rows += [(1, 900, " ".join(["oldin", *words[:18], "farq7", *words[19:], "keyin"])), (2, 0, "a"), (2, 1, "a b"), (3, 0, "boshqa")]
-    found = candidate_pairs(spark.createDataFrame(rows, "doc_id int, ord long, text string")).collect()
-    assert {(1, 7, 900), (2, 0, 1)} <= {tuple(r) for r in found} and len(found) < 10
+    rows += [(4, n, " ".join([f"farq{n}", *words])) for n in range(600)] + [(4, 900, " ".join(["bu", "xfarq7", *words, "son"]))]
+    rows += [(5, n, " ".join([*words, f"farq{n}"])) for n in range(600)]
+    rows += [(6, 0, " ".join(f"q{i}" for i in range(3000)))] + [(6, n, f"q{n} q{n + 1} q{n + 2} q{n + 3}") for n in range(1, 40)]
+    found = [tuple(r) for r in candidate_pairs(spark.createDataFrame(rows, "doc_id int, ord long, text string")).collect()]
+    assert {(1, 7, 900), (2, 0, 1), (4, 7, 900), *((6, 0, n) for n in range(1, 40))} <= set(found)
+    assert len([p for p in found if p[0] < 4]) < 10 and len([p for p in found if p[0] in (4, 5)]) < 2000 and len([p for p in found if p[0] == 6]) < 200
+
+
+def test_candidates_hold_every_containment(spark):
+    rng = random.Random(8)
+    rows = []
+    for doc in range(8):
+        vocab = ["a", "ab", "b", "ba", "abc", "c" * 40, "c" * 45][:rng.randint(2, 7)]
+        for o in range(40):
+            t = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 8)))
+            rows.append((doc, o, t[rng.randint(0, 2):len(t) - rng.randint(0, 2)].strip() or "a"))
+    found = {tuple(r) for r in candidate_pairs(spark.createDataFrame(rows, "doc_id int, ord long, text string")).collect()}
+    want = {(d, min(o, p), max(o, p)) for d, o, t in rows for e, p, u in rows if d == e and o != p and t in u}
+    assert want <= found and len(want) > 1000
+
+
+def test_keep_first_of_a_long_chain_is_one_pass(spark):
+    edges = spark.createDataFrame([(1, n, n + 1) for n in range(2000)] + [(2, 5, 9), (2, 5, 9)], "doc_id int, first long, second long")
+    items = spark.range(2001).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"))
+    spark.sparkContext.setJobGroup("chain", "")
+    assert sorted(r.ord for r in keep_first(items, edges).collect()) == list(range(0, 2001, 2))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 12
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_keep_first_of_a_document_of_many_pairs(spark, monkeypatch):
+    """Beyond the limit a document is folded component by component, with the same result."""
+    monkeypatch.setattr(graph, "FOLD_PAIRS", 10)
+    edges = [(1, n, n + 1) for n in range(12)] + [(1, n, n + 2) for n in range(20, 30, 3)] + [(2, 1, 2)]
+    items = spark.createDataFrame([(1, n) for n in range(40)] + [(2, 1), (2, 2)], "doc_id int, ord long")
+    kept = {(r.doc_id, r.ord) for r in keep_first(items, spark.createDataFrame(edges, "doc_id int, first long, second long")).collect()}
+    gone = set()
+    for doc, a, b in sorted(edges, key=lambda e: (e[0], e[2], e[1])):
+        if (doc, a) not in gone:
+            gone.add((doc, b))
+    assert kept == {(r[0], r[1]) for r in items.collect()} - gone
+
+
+def test_components(spark):
+    edges = [(1, 1, 2), (1, 2, 7), (1, 4, 5), (2, 1, 5), (2, 5, 6), *((3, n, n + 1) for n in range(20))]
+    got = {(r.doc_id, r.v): r.component for r in graph.connected(spark.createDataFrame(edges, "doc_id int, first long, second long"), ["doc_id"]).collect()}
+    assert got == {(1, 1): 1, (1, 2): 1, (1, 7): 1, (1, 4): 4, (1, 5): 4, (2, 1): 1, (2, 5): 1, (2, 6): 1, **{(3, n): 0 for n in range(21)}}
 
 
 def test_document_without_chunks_is_rejected(spark):
