@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.settings import TOP_K
+from corpusflow.settings import TOP_K, checkpointed
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_ROWS = 8_192   # questions sent to all tasks; with more of them both sides are cut into blocks
@@ -192,8 +192,7 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int = TO
             query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """JOIN-7: kNN among the vectors of the nprobe cells nearest to each question.
 
-    ``corpus`` may already carry its ``cell`` (stored partitioned by it, see
-    sources.vectors); the join on cell then prunes partitions.
+    ``corpus`` may already carry its ``cell``; for a table stored by cell ``knn_stored`` reads the asked cells only.
     """
     k = max(1, k)
     placed = corpus if "cell" in corpus.columns else assign_cells(corpus.select("id", "vector"), cells)
@@ -201,6 +200,45 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int = TO
     return rank_hits(_blocked(asked, placed, k, skip_same, block_rows, query_block_rows), k)
 
 
+def knn_stored(queries: DataFrame, corpus: DataFrame, cells: DataFrame, k: int = TOP_K, nprobe: int = 2,
+               skip_same: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+               block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+    """JOIN-7 over a table stored by cell: corpus(id, vector, cell), as ``sources.vectors`` reads it.
+
+    The questions are placed and stored once, so a model behind them runs once. Cells that no question asks for are not
+    read (a literal filter on the partition column). Questions within the limits are sent to the cells' rows, which
+    stay where they are read; more of them meet the cells in blocks.
+    """
+    k = max(1, k)
+    asked = checkpointed(assign_cells(queries.select("qid", "vector"), cells, nprobe))
+    counts = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).collect()  # a row a cell
+    near = corpus.select("id", "vector", "cell").where(F.col("cell").isin([r["cell"] for r in counts]))
+    rows = sum(r["n"] for r in counts)
+    if rows > max_broadcast_rows or sum(8 * r["n"] * r["dim"] for r in counts) > max_broadcast_bytes:
+        return rank_hits(_blocked(asked, near, k, skip_same, block_rows, query_block_rows), k)
+    unit, best = _scorer(k, skip_same)
+    sent: dict = {}
+    for r in asked.collect():
+        ids, vecs = sent.setdefault(r["cell"], ([], []))
+        ids.append(r["qid"])
+        vecs.append(r["vector"])
+    held = queries.sparkSession.sparkContext.broadcast(sent)
+
+    def scan(batches):
+        import pandas as pd
+        found = None
+        units = {cell: (ids, unit(vecs)) for cell, (ids, vecs) in held.value.items()}
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                ids, q_unit = units[cell]
+                new = best(ids, q_unit, part["id"].to_numpy(), unit(part["vector"]))
+                both = new if found is None else pd.concat([found, new])
+                found = both.sort_values(["qid", "distance", "id"]).groupby("qid", sort=False).head(k)
+        if found is not None:
+            yield found
+    return rank_hits(near.mapInPandas(scan, _schema(queries, corpus)), k)
+
+
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search returned."""
     hit = found.select("qid", "id", F.lit(1).alias("_hit"))

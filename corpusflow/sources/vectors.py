@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -43,45 +45,80 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_key"
             .drop("_v", "_n", "_chunk"))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")
 
 
-def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int = EMBEDDING_DIM,
-                  cells: DataFrame | None = None) -> None:
-    """SNK-1: store validated rows in SOURCE_BUCKETS folders by a hash of ``source_id``; with ``cells`` each row
-    also has its cell, and files are ordered by it.
+_MANIFEST = "seq long, bucket int, buckets int, folder string"
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame | None:
+    """(bucket, seq, buckets, folder): the newest folder of each bucket; None where there is no table."""
+    try:
+        rows = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = rows.groupBy("bucket").agg(F.max(F.struct("seq", "buckets", "folder")).alias("r"))
+    return newest.select("bucket", "r.*")
+
+
+def _read(spark: SparkSession, path: str, folders: list[str], by_cell: bool) -> DataFrame:
+    extra = [T.StructField("source_id", T.StringType())] + [T.StructField("cell", T.IntegerType())] * by_cell
+    reader = spark.read.schema(T.StructType(VECTORS.fields + extra)).option("basePath", f"{path}/data")
+    return reader.parquet(*folders)
+
 
-    Without ``overwrite`` an existing table is an error.  With it, all rows of the sources in ``df`` are replaced:
-    the folders these sources fall into are rewritten from their other rows and the new ones.
+def write_vectors(df: DataFrame, path: str, overwrite: bool = False, dim: int = EMBEDDING_DIM,
+                  cells: DataFrame | None = None, buckets: int = SOURCE_BUCKETS) -> None:
+    """SNK-1: store validated rows in folders by a hash of ``source_id``; with ``cells`` each of them is
+    divided by the cell of the vector, so that a search reads the cells it asks for (``knn_stored``).
+
+    Without ``overwrite`` an existing table is an error.  With it, all rows of the sources in ``df`` are replaced, and
+    a table that is not there is made: the buckets these sources fall into are written anew, from the new rows and
+    the other sources' rows.  New folders are complete before the manifest names them, so a reader, or a writer that
+    fails, leaves the table as it was.  ``df`` is computed once; without rows it is an error.  Empty ``buckets`` of a
+    table that exists follow the table, not the argument.
     """
-    if df.isEmpty():
-        raise ValueError("no rows to write")
+    spark = df.sparkSession
+    current = _current(spark, path)
+    if current is not None:
+        if not overwrite:
+            raise FileExistsError(f"a vector table at {path} already exists")
+        current = current.collect()  # a row a bucket
+        buckets = current[0]["buckets"]
     rows = validate_dim(to_vector_rows(df, "source_id"), dim=dim)
     if cells is not None:
         placed = assign_cells(rows.withColumnRenamed("embedding_vector", "vector"), cells)
         rows = placed.withColumnRenamed("vector", "embedding_vector").withColumn("cell", F.col("cell").cast("int"))
-    rows = rows.withColumn("bucket", _bucket())
-    if overwrite:
-        sources = df.select("source_id").distinct()
-        stored = df.sparkSession.read.schema(rows.schema).parquet(path)
-        touched = stored.join(sources.select(_bucket().alias("bucket")).distinct(), "bucket", "left_semi")
-        others = touched.join(sources, "source_id", "left_anti").select(*rows.columns)
-        rows = rows.unionByName(checkpointed(others))
-    order = ["bucket", "cell"] if cells is not None else ["bucket"]
-    writer = rows.sortWithinPartitions(*order).write.partitionBy("bucket").option("maxRecordsPerFile", 1_000_000)
-    if overwrite:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("errorifexists").parquet(path)
+    folder, by = f"{path}/data/write={uuid.uuid4().hex}", ["bucket", "cell"][:1 + (cells is not None)]
+    seen = Observation()
+    rows = rows.withColumn("bucket", _bucket(buckets)).observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def add(part: DataFrame, mode: str) -> None:
+        # Partitions of even size, whatever share of the rows a bucket or a cell has.
+        part.hint("rebalance", *by).write.partitionBy(*by).option("maxRecordsPerFile", 1_000_000).mode(mode).parquet(folder)
+    add(rows, "errorifexists")
+    if not seen.get["rows"]:
+        raise ValueError("no rows to write")
+    staged = _read(spark, path, [folder], cells is not None)
+    if current:
+        sources = checkpointed(staged.select(F.col("source_id").alias("_s"), F.col("bucket").alias("_b")).distinct())
+        stored = _read(spark, path, [f"{r['folder']}/bucket={r['bucket']}" for r in current], cells is not None)
+        touched = stored.join(sources.select("_b").distinct(), F.col("bucket") == F.col("_b"), "left_semi")
+        others = touched.join(sources, F.col("source_id").eqNullSafe(F.col("_s")), "left_anti").drop("write")
+        add(others.select(*rows.columns), "append")
+    seq = 1 + max((r["seq"] for r in current or []), default=0)
+    named = staged.select(F.lit(seq).cast("long").alias("seq"), F.col("bucket").cast("int").alias("bucket"),
+                          F.lit(buckets).cast("int").alias("buckets"), F.lit(folder).alias("folder")).distinct()
+    named.coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
 
 
 def read_vectors(spark: SparkSession, path: str, by_cell: bool = False) -> DataFrame:
     """SRC-7: the stored table with its declared schema; a missing table is an error."""
-    extra = [T.StructField("source_id", T.StringType())] + [T.StructField("cell", T.IntegerType())] * by_cell
-    try:
-        return spark.read.schema(T.StructType(VECTORS.fields + extra)).parquet(path).drop("bucket")
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise FileNotFoundError(f"no vector table at {path}") from exc
+    current = _current(spark, path)
+    if current is None:
+        raise FileNotFoundError(f"no vector table at {path}")
+    return _read(spark, path, [f"{r['folder']}/bucket={r['bucket']}" for r in current.collect()], by_cell).drop(
+        "write", "bucket", *([] if by_cell else ["cell"]))

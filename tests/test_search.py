@@ -86,3 +86,25 @@ def test_hash_embed_of_blank_text_is_zero(spark):
     df = spark.createDataFrame([(1, "  "), (2, "So'z so'z SO'Z")], "id int, t string")
     rows = {r["id"]: r["vector"] for r in hash_embed(df, "id", "t", 8).collect()}
     assert rows[1] == [0.0] * 8 and sorted(map(abs, rows[2]))[-1] == 1.0
+
+
+def test_stored_cells_read_what_is_asked(spark, tmp_path, capsys):
+    """A literal filter on the cell folders, no exchange of vectors for few questions, blocks for many."""
+    from corpusflow.sources.vectors import read_vectors, write_vectors
+    cells = spark.createDataFrame([(c, [float(c == i) for i in range(4)]) for c in range(4)], "cell int, centroid array<double>")
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i:03}", "t", "L", "1", "", "", (np.eye(4)[i % 4] + 0.1 * rng.random(4)).tolist(), "s") for i in range(200)]
+    write_vectors(spark.createDataFrame(rows, "id string, text string, law_name string, article_number string, chapter string, "
+                                              "section_title string, embedding_vector array<double>, source_id string"),
+                  str(tmp_path / "t"), dim=4, cells=cells)
+    corpus = read_vectors(spark, str(tmp_path / "t"), by_cell=True).withColumnRenamed("embedding_vector", "vector")
+    asked = spark.createDataFrame([(1, [1.0, 0.1, 0.0, 0.0]), (2, [0.2, 1.0, 0.0, 0.0])], "qid int, vector array<double>")
+    hits = knn.knn_stored(asked, corpus, cells, 5, nprobe=1)
+    want = pairs(knn_ivf(asked, corpus.select("id", "vector"), cells, 5, nprobe=1))
+    assert pairs(hits) == want and len(want) == 10
+    hits.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull", "") and " IN (0,1)" in plan
+    assert plan.count("hashpartitioning") <= plan.count("hashpartitioning(qid")
+    assert pairs(knn.knn_stored(asked, corpus, cells, 5, nprobe=1, max_broadcast_rows=1, block_rows=20)) == want
+    assert knn.knn_stored(asked.limit(0), corpus, cells, 5).count() == 0

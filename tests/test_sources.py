@@ -64,11 +64,34 @@ def test_vector_table(spark, tmp_path):
     rows = read_vectors(spark, path).orderBy("id").collect()
     assert [(r["id"], r["source_id"], r["chapter"]) for r in rows] == [("b", "s2", ""), ("c", "s1", "")]
     with pytest.raises(ValueError):
-        write_vectors(_vectors(spark, ("a", 1, "s1")).limit(0), path, dim=2)
+        write_vectors(_vectors(spark, ("a", 1, "s1")).limit(0), path, overwrite=True, dim=2)
+    write_vectors(_vectors(spark, ("n", 4, None)), path, overwrite=True, dim=2)
+    write_vectors(_vectors(spark, ("m", 5, None)), path, overwrite=True, dim=2)
+    assert {r["id"] for r in read_vectors(spark, path).collect()} == {"b", "c", "m"}
     with pytest.raises(Exception, match="bad vector on a"):
         validate_dim(_vectors(spark, ("a", 1, "s1")), dim=3).collect()
 
 
+def test_vector_table_overwrite_is_staged(spark, tmp_path):
+    """A table that is not there is made; a failed write leaves the table as it was; the rows are computed once."""
+    path = str(tmp_path / "new")
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def model(v):
+        ran.add(1)
+        return v
+    rows = _vectors(spark, *((f"k{i}", i, f"s{i % 7}") for i in range(50)))
+    write_vectors(rows.withColumn("embedding_vector", model.asNondeterministic()("embedding_vector")), path, overwrite=True, dim=2)
+    assert ran.value == 50
+    before = sorted(map(tuple, read_vectors(spark, path).collect()))
+    with pytest.raises(Exception, match="bad vector on x"):
+        write_vectors(_vectors(spark, ("x", 1, "s1")), path, overwrite=True, dim=3)
+    assert sorted(map(tuple, read_vectors(spark, path).collect())) == before and len(before) == 50
+    write_vectors(_vectors(spark, ("y", 1, "s1"), ("z", 1, "s3")), path, overwrite=True, dim=2)
+    assert {r["id"] for r in read_vectors(spark, path).collect()} == {"y", "z", *(f"k{i}" for i in range(50) if i % 7 not in (1, 3))}
+
+
 def test_vector_table_by_cell(spark, tmp_path):
     path = str(tmp_path / "cells")
     cells = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, centroid array<double>")
