@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusflow.functions.prompts import CHAT_TEMPLATE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +91,8 @@ def slug(x: str) -> str:
 
 def any_of(x: str, cues) -> str:
     return "(" + " OR ".join(f"contains({x}, {q(c)})" for c in cues) + ")"
+
+
+def chat_prompt_sql(system, user):
+    before, between, after = CHAT_TEMPLATE.split("%s")
+    return f"{q(before)} || {system} || {q(between)} || {user} || {q(after)}"

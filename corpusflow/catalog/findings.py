@@ -7,17 +7,20 @@ from its own sentences: real, swapped, shortened, altered and invented pairs, in
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from corpusflow.catalog.base import WS, match_norm, q, query, sentences, table
+from corpusflow.catalog.base import WS, chat_prompt_sql, estimate, match_norm, q, query, sentences, table
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
-from corpusflow.functions.prompts import NOTHING_FOUND
+from corpusflow.functions.prompts import NOTHING_FOUND, WORDING, reconcile_system
 from corpusflow.operators.conflicts import conflict_candidates
 from corpusflow.operators.dedupe import (
     dedupe_claims, dedupe_findings, distinct_findings, near_duplicate_pairs, pair_key)
 from corpusflow.operators.findings import (
     ANALYSIS_FAILED, CHUNK_NOTE, FINDINGS_PRESENT, MERGED, claim_rows, filter_grounded, finding_rows, parse_outputs, report)
+from corpusflow.plans.analysis import analyze, prompts_between
 from corpusflow.settings import checkpointed
 
 _INVENTED = "The document describes ticket prices for a concert venue."
@@ -82,8 +85,7 @@ _RAW = f"""
         WHEN 2 THEN '{{"summary":5,"contradictions":[]}}'
         WHEN 3 THEN {_json('statement_a', 'statement_b', 'key_claims', q(_INVENTED))}
         ELSE 'no json here ' || chunk END AS raw FROM pairs)"""
-_PARSED = rf"""
-    {_RAW},
+_AFTER = rf"""
     objects AS (SELECT *, regexp_extract(raw, '(?s)\{{.*\}}') AS o FROM outputs),
     typed AS (SELECT *, CASE WHEN json_valid(o) AND o <> '' AND json_type(o, '$.summary') = 'VARCHAR'
                              AND json_type(o, '$.contradictions') = 'ARRAY' THEN o::JSON END AS j FROM objects),
@@ -111,6 +113,7 @@ _PARSED = rf"""
     finding_rows AS MATERIALIZED (
         SELECT doc_id, chunk_idx * 1000000 + i - 1 AS ord, k.a AS statement_a, k.b AS statement_b, k.e AS explanation, k.na, k.nb
         FROM (SELECT doc_id, chunk_idx, unnest(kept) AS k, generate_subscripts(kept, 1) AS i FROM parsed))"""
+_PARSED = f"{_RAW}, {_AFTER}"
 
 
 @query("parsed_outputs", f"""
@@ -206,8 +209,7 @@ def distinct_claims(spark, sf_dir):
     return dedupe_claims(claim_rows(parsed, finding_rows(parsed)))
 
 
-@query("document_reports", f"""
-    WITH {_PARSED}, {_FOLDED},
+_REPORTS = f"""
     c AS (SELECT doc_id, max(chunk_count) AS chunk_count, count(summary) AS summaries, min_by(summary, chunk_idx) FILTER (summary IS NOT NULL) AS only_summary,
                  sum(coalesce(len(kept_claims), 0))::BIGINT AS claim_count, sum(coalesce(len(kept), 0))::BIGINT AS chunk_findings,
                  bool_or(parse_failed) AS parse_failed, bool_or(ungrounded) AS ungrounded FROM parsed GROUP BY doc_id),
@@ -222,13 +224,81 @@ def distinct_claims(spark, sf_dir):
                   WHEN summaries = 1 THEN only_summary ELSE chunk_count || {q(MERGED)} END
              || CASE WHEN chunk_count > 1 THEN {q(CHUNK_NOTE)} ELSE '' END END AS summary,
            CASE WHEN failed THEN 0 ELSE n END AS finding_count, claim_count, chunk_count, document_length_chars,
-           chunk_count > 1 AS was_chunked, failed AS analysis_failed FROM r""")
+           chunk_count > 1 AS was_chunked, failed AS analysis_failed FROM r"""
+
+
+@query("document_reports", f"WITH {_PARSED}, {_FOLDED}, {_REPORTS}")
 def document_reports(spark, sf_dir):
     parsed = checkpointed(_parsed(spark, sf_dir))
     found = dedupe_findings(finding_rows(parsed).drop("chunk_idx"))
     return report(table(spark, sf_dir, "documents").select("doc_id", "text"), parsed, found)
 
 
+# --- the whole analysis with a generator that reads its prompt: its answer follows the length of the chunk in it ---
+def _reader(prompts):
+    from corpusflow.functions.prompts import WORDING
+    out = []
+    for prompt in prompts:
+        if WORDING.text_from not in prompt:  # the pass between chunks finds nothing new
+            out.append('{"summary":"","contradictions":[],"key_claims":[]}')
+            continue
+        chunk = prompt.rsplit(WORDING.text_from, 1)[1].rsplit(WORDING.text_to, 1)[0]
+        found = {"summary": chunk[:120], "contradictions": [{"statement_a": chunk[:40], "statement_b": chunk[-40:], "explanation": "differs"}],
+                 "key_claims": [chunk[:60]]}
+        if len(chunk) % 3 == 1:
+            found = {"summary": _INVENTED, "contradictions": [], "key_claims": []}
+        out.append("no answer" if len(chunk) % 3 == 0 else json.dumps(found))
+    return out
+
+
+_READ = f"""
+    lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{WS}]')) AS l FROM documents),
+    chunks AS (SELECT doc_id, len(l) AS chunk_count, unnest(l) AS chunk, generate_subscripts(l, 1) - 1 AS chunk_idx FROM lines),
+    outputs AS (SELECT *, CASE length(chunk) % 3 WHEN 0 THEN 'no answer'
+        WHEN 1 THEN json_object('summary', {q(_INVENTED)}, 'contradictions', [], 'key_claims', [])::VARCHAR
+        ELSE json_object('summary', left(chunk, 120), 'contradictions', [json_object('statement_a', left(chunk, 40), 'statement_b', right(chunk, 40),
+             'explanation', 'differs')], 'key_claims', [left(chunk, 60)])::VARCHAR END AS raw FROM chunks)"""
+
+
+@query("analysis_reports", f"WITH {_READ}, {_AFTER}, {_FOLDED}, {_REPORTS}")
+def analysis_reports(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return analyze(docs, generate_fn=_reader, chunks=_chunks(spark, sf_dir), n_ctx=1 << 20).reports
+
+
+# --- prompts between the chunks: every sentence is a claim, in a context of 1,024 tokens ---
+_NO_KNOWN = f"{q(WORDING.known_title)} || {q(WORDING.none_known)}"
+
+
+@query("analysis_prompts", rf"""
+    WITH lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{WS}]')) AS l FROM documents),
+    s AS (SELECT doc_id, flatten(list_transform(l, lambda p: {sentences('p')})) AS ss FROM lines),
+    claims AS (SELECT doc_id, unnest(ss) AS claim, generate_subscripts(ss, 1) - 1 AS ord FROM s),
+    sized AS (SELECT *, {estimate('claim')} + 1 AS tokens, sum({estimate('claim')} + 1) OVER (PARTITION BY doc_id) AS total FROM claims),
+    rest AS MATERIALIZED (SELECT * FROM sized WHERE total > 512 AND tokens <= 256),
+    named AS (SELECT doc_id, ord, unnest(list_distinct(regexp_extract_all({match_norm('claim')}, '\p{{L}}[\p{{L}}'']+'))) AS word FROM rest),
+    common AS (SELECT doc_id, word, count(*) AS df FROM named GROUP BY ALL HAVING count(*) > 1),
+    topics AS (SELECT doc_id, ord, word AS topic FROM named JOIN common USING (doc_id, word)
+               QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY df, word) <= 2),
+    placed AS (SELECT doc_id, ord, claim, topic, coalesce(sum(tokens) OVER (PARTITION BY doc_id, topic ORDER BY ord
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 256 AS pack FROM rest JOIN topics USING (doc_id, ord)
+               UNION ALL SELECT doc_id, ord, claim, '', 0 FROM sized WHERE total <= 512),
+    lined AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic, pack ORDER BY ord) AS i FROM placed),
+    packs AS (SELECT DISTINCT doc_id, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS ords, string_agg(i || '. ' || claim, chr(10) ORDER BY ord) AS block, false AS refused
+              FROM lined GROUP BY doc_id, topic, pack HAVING count(*) > 1),
+    every AS (SELECT * FROM packs UNION ALL SELECT doc_id, ord::VARCHAR, '1. ' || claim, true FROM sized WHERE total > 512 AND tokens > 256),
+    told AS (SELECT *, {q(reconcile_system('corpusflow'))} AS system, {q(WORDING.claims_title)} || block || {_NO_KNOWN} AS u FROM every),
+    counted AS (SELECT *, {estimate("system || ' ' || u")} AS token_estimate FROM told)
+    SELECT doc_id, ords, md5({chat_prompt_sql('system', 'u')}) AS prompt, token_estimate, refused OR token_estimate > 1024 AS over_budget FROM counted""")
+def analysis_prompts(spark, sf_dir):
+    lines = F.filter(F.split("text", "\n", -1), lambda p: p.rlike(r"(?U)\S"))
+    claims = explode_rows(table(spark, sf_dir, "documents"), F.flatten(F.transform(lines, tx.sentences)), "ord", "claim", "doc_id")
+    none = spark.createDataFrame([], "doc_id long, ord long, statement_a string, statement_b string, explanation string")
+    return prompts_between(claims.withColumn("ord", F.col("ord").cast("long")), none, n_ctx=1024).select(
+        "doc_id", F.array_join(F.transform("ords", lambda o: o.cast("string")), ",").alias("ords"), F.md5("prompt").alias("prompt"),
+        "token_estimate", "over_budget")
+
+
 # Claims: every whole sentence, which states its own length after its last word. So sentences of one document that
 # share enough of their words disagree; numbers that stand in the texts take part as they are.
 _SENTENCES = f"""

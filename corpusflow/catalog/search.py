@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.articles import CHUNKS_SQL, DIM, document_articles, embedded_sql
-from corpusflow.catalog.base import estimate, q, query, table, trim_ws
+from corpusflow.catalog.base import any_of, chat_prompt_sql, estimate, intent_norm, q, query, table, trim_ws, words
+from corpusflow.catalog.chat import CUES
 from corpusflow.functions import prompts as pr
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
@@ -16,7 +18,8 @@ from corpusflow.operators.chunks import chunk_articles
 from corpusflow.operators.embed import add_hash_vector, mean_pool
 from corpusflow.operators.knn import (
     knn_exact, knn_ivf, knn_stored, recall_at_k, retrieval_metrics, retrieval_summary, train_cells)
-from corpusflow.plans.answering import retrieve
+from corpusflow.operators.intent import ABOUT, LEGAL, OFF_TOPIC, OUT_OF_SCOPE, SOFT_ABOUT, Assistant
+from corpusflow.plans.answering import answer, retrieve
 from corpusflow.settings import checkpointed, shared_folder
 from corpusflow.sources.vectors import read_vectors, write_vectors
 
@@ -195,15 +198,15 @@ def _found(spark, sf_dir):
     return retrieve(_items(spark, sf_dir), _chunk_corpus(spark, sf_dir), dim=DIM)
 
 
-_RETRIEVED = f"""
+_SEARCHED = f"""
     {CHUNKS_SQL}, passages AS (SELECT chunk_key AS id, text FROM chunks),
-    asked AS (SELECT item_id AS id, text FROM benchmark),
     {embedded_sql('passages', 'pv')}, {embedded_sql('asked', 'qv')},
     scored AS (SELECT a.id AS qid, p.id, round(1 - coalesce(list_cosine_similarity(a.v, p.v), 0), 9) AS distance FROM qv a, pv p),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM scored QUALIFY rank <= 5),
     hits AS (SELECT r.qid, r.id, r.rank, r.distance, round(1 - r.distance, 9) AS score, c.law_name, c.article_number,
                     c.chapter, c.section_title, c.text
              FROM ranked r JOIN chunks c ON c.chunk_key = r.id)"""
+_RETRIEVED = f"asked AS (SELECT item_id AS id, text FROM benchmark), {_SEARCHED}"
 
 
 @query("retrieval_report", f"""
@@ -216,7 +219,9 @@ def retrieval_report_rows(spark, sf_dir):
 
 def _detected(x):
     en = ", ".join(q(c) for c in tx.EN_CUES)
-    return f"""(CASE WHEN len(list_intersect(string_split(lower({x}), ' '), [{en}])) >= 2 THEN 'en' ELSE 'uz' END)"""
+    uz = " + ".join(f"contains(lower({x}), {q(c)})::INT" for c in tx.UZ_CUES)
+    hits = f"len(list_intersect({words(f'lower({x})')}, [{en}]))"
+    return f"(CASE WHEN {hits} >= 2 AND {hits} > {uz} THEN 'en' ELSE 'uz' END)"
 
 
 def _system_prompt_sql():
@@ -242,6 +247,41 @@ def prompt_rows(spark, sf_dir):
     return build_prompts(_items(spark, sf_dir), _found(spark, sf_dir))
 
 
+# --- whole answers: every item as it is, and once more behind an opening that may route it to a fixed reply; the
+# generator answers with the digest of its prompt ---
+def _digests(prompts):
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+@query("answers", f"""
+    WITH messages AS (
+        SELECT item_id AS qid, text AS question FROM benchmark
+        UNION ALL SELECT -1 - item_id, [{', '.join(q(c) for c in CUES)}][(item_id % {len(CUES)})::INT + 1] || ' ' || text FROM benchmark),
+    n AS (SELECT *, {intent_norm('question')} AS n FROM messages),
+    routed AS (SELECT *, CASE WHEN {any_of('n', Assistant().about_cues())} THEN '{ABOUT}' WHEN {any_of('n', LEGAL)} THEN NULL
+                      WHEN {any_of('n', SOFT_ABOUT)} THEN '{ABOUT}' WHEN {any_of('n', OFF_TOPIC)} THEN '{OUT_OF_SCOPE}' END AS intent FROM n),
+    asked AS (SELECT qid AS id, question AS text FROM routed WHERE intent IS NULL),
+    {_SEARCHED},
+    ctx AS (SELECT qid, string_agg('[' || law_name || ' — Art. ' || article_number || ']' || chr(10) || 'Chapter: ' || chapter
+                   || chr(10) || 'Section: ' || section_title || chr(10) || text, {q(pr.BLOCK_SEPARATOR)} ORDER BY rank) AS context,
+                   string_agg(id || '|' || law_name || '|' || left(text, 400) || '|' || round(score, 4)::DECIMAL(9, 4)::VARCHAR, chr(10) ORDER BY rank) AS "references"
+            FROM hits GROUP BY qid),
+    p AS (SELECT a.id AS qid, {_detected('a.text')} AS lang, context, "references", {trim_ws('a.text')} AS u FROM asked a JOIN ctx ON ctx.qid = a.id),
+    s AS (SELECT qid, {_system_prompt_sql()} AS system, u, "references" FROM p),
+    e AS (SELECT *, {estimate('system || chr(32) || u')} > 2048 AS over FROM s)
+    SELECT qid, CASE WHEN NOT over THEN md5({chat_prompt_sql('system', 'u')}) END AS answer, "references",
+           CASE WHEN over THEN 'prompt_too_long' ELSE 'eog' END AS stop_reason FROM e
+    UNION ALL SELECT qid, CASE intent WHEN '{ABOUT}' THEN {q(Assistant().replies()[ABOUT])} ELSE {q(Assistant().replies()[OUT_OF_SCOPE])} END, '', 'static'
+    FROM routed WHERE intent IS NOT NULL""")
+def answers(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    cue = F.get(F.array(*[F.lit(c) for c in CUES]), (F.col("qid") % len(CUES)).cast("int"))
+    opened = items.select((-1 - F.col("qid")).alias("qid"), F.concat(cue, F.lit(" "), "question").alias("question"))
+    found = answer(items.unionByName(opened), _chunk_corpus(spark, sf_dir), _digests, n_ctx=2048, dim=DIM)
+    lines = F.transform("references", lambda r: F.concat_ws("|", r["id"], r["code"], r["excerpt"], F.round(r["score"], 4).cast("decimal(9,4)").cast("string")))
+    return found.select("qid", "answer", F.array_join(lines, "\n").alias("references"), "stop_reason")
+
+
 @query("citations", f"""
     WITH {_RETRIEVED}
     SELECT qid, string_agg(id || '|' || law_name || '|' || article_number || '|' || section_title || '|' || left(text, 400)

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import prompts as pr
+from corpusflow.functions import text as tx
 from corpusflow.functions.model_json import parse_analysis
 from corpusflow.functions.rows import explode_rows
+from corpusflow.operators.answers import over_budget
 from corpusflow.operators.chunks import analysis_chunks
 from corpusflow.operators.conflicts import conflict_candidates
 from corpusflow.operators.dedupe import dedupe_claims, dedupe_findings
 from corpusflow.operators.findings import (
     claim_rows, filter_grounded, finding_rows, parse_outputs, parse_rows, report)
+from corpusflow.operators.topics import claim_packs, known_findings
 from corpusflow.plans.answering import generated
-from corpusflow.settings import CLAIMS_A_PROMPT, CONTEXT_TOKENS, checkpointed
+from corpusflow.settings import CONTEXT_TOKENS, checkpointed
 
 _COLUMNS = ("doc_id", "ord", "statement_a", "statement_b", "explanation")
 _LATE = 1 << 61   # reconciliation findings come after all chunk findings
@@ -36,14 +39,26 @@ def chunk_prompt(assistant: str = "corpusflow") -> Column:
     return pr.chat_prompt(pr.check_system_prompt(idx, n, assistant), pr.check_user_prompt(F.col("chunk"), idx, n))
 
 
+def prompts_between(claims: DataFrame, findings: DataFrame, n_ctx: int = CONTEXT_TOKENS, assistant: str = "corpusflow") -> DataFrame:
+    """FIND-7, STR-18, REL-14: (doc_id, ords, prompt, token_estimate, over_budget): the prompts of the cross-chunk pass.
+
+    Half of the context is for claims, a quarter for known findings. A prompt that is over the budget all the same, or
+    a claim that leaves no room for another, is a row that says so and is not sent.
+    """
+    packs = known_findings(claim_packs(claims, n_ctx // 2), findings, n_ctx // 4)
+    system, user = pr.reconcile_prompts(F.col("claims"), F.col("known"), assistant)
+    estimate = tx.estimate_tokens(F.concat_ws(" ", system, user))
+    return packs.select("doc_id", "ords", pr.chat_prompt(system, user).alias("prompt"), estimate.alias("token_estimate"),
+                        (F.col("refused") | over_budget(estimate, n_ctx)).alias("over_budget"))
+
+
 def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked: DataFrame,
               generate_fn: Callable[[list[str]], list[str]] | None = None,
-              assistant: str = "corpusflow") -> DataFrame:
+              assistant: str = "corpusflow", n_ctx: int = CONTEXT_TOKENS) -> DataFrame:
     """FIND-7: extra findings between chunks of chunked documents with two or more claims.
 
-    With a generator a document's claims are cut into blocks of half a prompt, and any two blocks
-    of a document meet in one prompt; without one, conflict_candidates looks at the claims directly.
-    Rows of a document are numbered after all chunk findings.
+    With a generator the claims meet in prompts of bounded size; without one, conflict_candidates looks at the claims
+    directly. Findings are numbered after all chunk findings, by the places of what they were found in.
     """
     multi = claims.join(chunked, "doc_id", "left_semi")
     if generate_fn is None:
@@ -51,28 +66,23 @@ def reconcile(claims: DataFrame, findings: DataFrame, docs: DataFrame, chunked:
         late = Window.partitionBy("doc_id").orderBy("ord_b", "ord_a", "explanation")
         ordered = found.withColumn("ord", F.lit(_LATE) + F.row_number().over(late))
         return filter_grounded(ordered.select(*_COLUMNS), docs)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
-    blocks = (multi.withColumn("block", F.floor(place / (CLAIMS_A_PROMPT // 2)))
-              .groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "claim"))).alias("c")))
-    other = blocks.select("doc_id", F.col("block").alias("block_b"), F.col("c").alias("c_b"))
-    alone = blocks.groupBy("doc_id").agg(F.max("block").alias("last"))
-    met = (blocks.join(alone, "doc_id").join(other, "doc_id")
-           .where((F.col("block") < F.col("block_b")) | ((F.col("last") == 0) & (F.col("block_b") == 0))))
-    both = F.when(F.col("block") < F.col("block_b"), F.concat("c", "c_b")).otherwise(F.col("c"))
-    listed = met.select("doc_id", "block", "block_b", both.alias("c"))
-    known = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "ord", "statement_a", "statement_b", "explanation"))).alias("f"))
-    ready = (listed.where(F.size("c") >= 2).join(known, "doc_id", "left")
-             .withColumn("c", F.transform("c", lambda x: x["claim"])))
-    system, user = pr.reconcile_prompts(F.col("c"), F.col("f"), assistant)
-    said = ready.select("doc_id", "block", "block_b", generated(pr.chat_prompt(system, user), generate_fn).alias("answer"))
-    parsed = said.select("doc_id", "block", "block_b", parse_analysis(F.col("answer")).alias("p"))
-    late = Window.partitionBy("doc_id").orderBy("block", "block_b", "item")
-    rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id", "block", "block_b")
+    sent = prompts_between(multi, findings, n_ctx, assistant).where(~F.col("over_budget"))
+    said = sent.select("doc_id", "ords", generated(F.col("prompt"), generate_fn).alias("answer"))
+    parsed = said.select("doc_id", "ords", parse_analysis(F.col("answer")).alias("p"))
+    late = Window.partitionBy("doc_id").orderBy("ords", "item")
+    rows = (explode_rows(parsed, "p.contradictions", "item", "c", "doc_id", "ords")
             .select("doc_id", (F.lit(_LATE) + F.row_number().over(late)).alias("ord"), "c.*"))
     return filter_grounded(rows.select(*_COLUMNS), docs)
 
 
+def answered(generate_fn: Callable[[list[str]], list[str]]) -> Callable[[list[str | None]], list[str | None]]:
+    """The generator on the prompts that are not null."""
+    def run(prompts: list[str | None]) -> list[str | None]:
+        said = iter(generate_fn([p for p in prompts if p is not None]))
+        return [None if p is None else next(said) for p in prompts]
+    return run
+
+
 def analyze(docs: DataFrame, outputs: DataFrame | None = None,
             generate_fn: Callable[[list[str]], list[str]] | None = None, chunks: DataFrame | None = None,
             n_ctx: int = CONTEXT_TOKENS, assistant: str = "corpusflow") -> Analysis:
@@ -85,7 +95,10 @@ def analyze(docs: DataFrame, outputs: DataFrame | None = None,
         chunks = analysis_chunks(docs, "doc_id", "text", n_ctx)
     if outputs is None:
         # The answer is made in the chunk's own row: nothing to join.
-        said = chunks.withColumn("raw", generated(chunk_prompt(assistant), generate_fn))
+        prompt = chunk_prompt(assistant)
+        # A prompt over the budget is refused, not cut: its chunk counts as not parsed.
+        fits = ~over_budget(tx.estimate_tokens(prompt), n_ctx)
+        said = chunks.withColumn("raw", generated(F.when(fits, prompt), answered(generate_fn)))
         parsed = checkpointed(parse_rows(said))
     else:
         parsed = checkpointed(parse_outputs(outputs, chunks))
@@ -93,7 +106,7 @@ def analyze(docs: DataFrame, outputs: DataFrame | None = None,
     claims = dedupe_claims(claim_rows(parsed, rows))
     first = dedupe_findings(rows)
     chunked = parsed.where(F.col("chunk_count") > 1).select("doc_id").distinct()
-    extra = reconcile(claims, first, docs, chunked, generate_fn, assistant)
+    extra = reconcile(claims, first, docs, chunked, generate_fn, assistant, n_ctx)
     whole = dedupe_findings(first.unionByName(extra))
     # Chunked documents are grounded once more against their full text.
     again = filter_grounded(whole.join(chunked, "doc_id", "left_semi"), docs)

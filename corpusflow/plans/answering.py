@@ -12,9 +12,9 @@ from corpusflow.functions import prompts as pr
 from corpusflow.operators.answers import build_prompts, citations
 from corpusflow.operators.embed import embed, hash_embed
 from corpusflow.operators.intent import Assistant, route, static_answers
-from corpusflow.operators.knn import attach_chunks, knn_exact, knn_ivf
+from corpusflow.operators.knn import attach_chunks, knn_exact, knn_ivf, knn_stored
 from corpusflow.schemas import REFERENCES
-from corpusflow.settings import CONTEXT_TOKENS, EMBEDDING_DIM, QUERY_PREFIX, TOP_K
+from corpusflow.settings import CONTEXT_TOKENS, EMBEDDING_DIM, QUERY_PREFIX, TOP_K, checkpointed
 
 CHUNK_COLUMNS = ("law_name", "article_number", "chapter", "section_title", "text")
 
@@ -29,8 +29,13 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = TOP_K, make_predi
         asked = hash_embed(questions, "qid", "question", dim).withColumnRenamed("id", "qid")
     else:
         asked = embed(questions, "question", make_predict_fn, dim, prefix=QUERY_PREFIX, out="vector")
-    asked, searched = asked.select("qid", "vector"), corpus.select("id", "vector")
-    hits = knn_exact(asked, searched, k) if cells is None else knn_ivf(asked, searched, cells, k)
+    asked, searched = checkpointed(asked.select("qid", "vector")), corpus.select("id", "vector")  # the model runs once
+    if cells is None:
+        hits = knn_exact(asked, searched, k)
+    elif "cell" in corpus.columns:
+        hits = knn_stored(asked, corpus.select("id", "vector", "cell"), cells, k)
+    else:
+        hits = knn_ivf(asked, searched, cells, k)
     return attach_chunks(hits, corpus, *CHUNK_COLUMNS)
 
 

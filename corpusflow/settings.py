@@ -16,7 +16,6 @@ OVERLAP_TOKENS = 50
 TOKENS_PER_WORD = 1.3
 TOP_K = 5
 CONTEXT_TOKENS = 4096
-CLAIMS_A_PROMPT = 48
 MIN_QUOTE_CHARS = 12
 MIN_CLAIM_CHARS = 8
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024

@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from corpusflow.plans.analysis import analyze
+from corpusflow.plans.analysis import analyze, prompts_between
 from corpusflow.plans.answering import answer
 from corpusflow.plans.corpus_build import build_corpus, embed_chunks
 from corpusflow.operators.chunks import analysis_chunks
@@ -68,3 +69,38 @@ def test_analyze_without_reconciling_model(spark):
     found = result.findings.where("doc_id = 1").collect()
     assert not reports[1]["analysis_failed"]
     assert [("8 000 000" in r["statement_a"], "4 000 000" in r["statement_b"]) for r in found] == [(True, True)]
+
+
+def _claims(n, words=12):
+    rng = random.Random(n)
+    return [(1, i, " ".join(f"w{rng.randrange(n)}" for _ in range(words))) for i in range(n)]
+
+
+def test_prompts_between_chunks_stay_in_budget(spark):
+    """Every prompt fits, their number grows with the claims, claims that share a rare word meet, known findings ride along."""
+    counts = {}
+    for n in (100, 400):
+        claims = spark.createDataFrame(_claims(n) + [(2, 0, "birinchi band"), (2, 1, "ikkinchi band"), (3, 0, "yolg‘iz")],
+                                       "doc_id int, ord long, claim string")
+        known = spark.createDataFrame([(2, 5, "birinchi band", "boshqa", "e"), (1, 6, "yo‘q", "bunday", "e")],
+                                      "doc_id int, ord long, statement_a string, statement_b string, explanation string")
+        rows = prompts_between(claims, known, n_ctx=512).collect()
+        assert all(r.token_estimate <= 512 and not r.over_budget for r in rows)
+        two = [r for r in rows if r.doc_id == 2]
+        assert len(two) == 1 and "1. birinchi band\n2. ikkinchi band" in two[0].prompt and "A: birinchi band || B: boshqa" in two[0].prompt
+        assert not any(r.doc_id == 3 for r in rows)
+        counts[n] = sum(r.doc_id == 1 for r in rows)
+    assert counts[400] < 6 * counts[100]
+
+
+def test_overlong_prompts_are_refused(spark):
+    claims = spark.createDataFrame([(1, 0, "uzun " * 300), (1, 1, "qisqa band"), (1, 2, "qisqa gap")], "doc_id int, ord long, claim string")
+    none = spark.createDataFrame([], "doc_id int, ord long, statement_a string, statement_b string, explanation string")
+    rows = {tuple(r.ords): r.over_budget for r in prompts_between(claims, none, n_ctx=512).collect()}
+    assert rows == {(0,): True, (1, 2): False}
+    asked = []
+    docs = spark.createDataFrame([(1, "soz " * 900), (2, "Qisqa matn. Yana bir gap.")], "doc_id int, text string")
+    chunks = docs.select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("chunk"), F.lit(1).alias("chunk_count"))
+    answer = '{"summary":"Qisqa matn. Yana bir gap","contradictions":[],"key_claims":[]}'
+    reports = {r.doc_id: r for r in analyze(docs, generate_fn=lambda p: asked.extend(p) or [answer] * len(p), chunks=chunks, n_ctx=1024).reports.collect()}
+    assert reports[1].analysis_failed and not reports[2].analysis_failed and reports[2].summary.startswith("Qisqa matn")
