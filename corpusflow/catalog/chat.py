@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import any_of, intent_norm, q, query, table
 from corpusflow.functions.rows import explode_rows
 from corpusflow.functions.model_json import decode_references, encode_references
 from corpusflow.operators.chatlog import (
-    append_messages, assign_sessions, exchange_messages, latest_sources, list_sessions, messages_of, role_counts,
-    session_messages, session_rollup)
+    append_messages, assign_sessions, exchange_messages, histories, history, latest_sources, list_sessions, messages_of,
+    role_counts, session_messages, session_rollup, store_log)
 from corpusflow.operators.intent import ABOUT, LEGAL, OFF_TOPIC, OUT_OF_SCOPE, SOFT_ABOUT, Assistant, route, static_answers
+from corpusflow.settings import shared_folder
 from corpusflow.streaming.sessions import session_activity
 from corpusflow.streaming.tokens import fold_tokens
 
@@ -98,6 +101,38 @@ def session_transcripts(spark, sf_dir):
     return messages_of(session_rollup(log), log).select("session_id", "title", "id", "role", "content", "created_at")
 
 
+# The log stored by session: both tables join and are ordered as they lie; every reference field is compared.
+_REFERENCE = "'[' || conv_id || '|' || role || '|' || turn || '|t|' || left(text, 20) || '|]'"
+
+
+@query("stored_histories", f"""
+    WITH {_SESSIONS}
+    SELECT session_id, title, (row_number() OVER (PARTITION BY conv_id ORDER BY {_AT}, conv_id || '-' || turn) - 1)::INT AS seq,
+           conv_id || '-' || turn AS id, role, text AS content, {_AT} AS created_at,
+           CASE WHEN role = 'assistant' AND turn % 4 < 2 THEN {_REFERENCE} ELSE '' END AS "references"
+    FROM conversations JOIN sessions ON session_id = conv_id""")
+def stored_histories(spark, sf_dir):
+    log, mark = _log(spark, sf_dir).drop("turn"), uuid.uuid4().hex
+    kept = store_log(log, f"log_{mark}", f"{shared_folder(spark)}/log-{mark}", buckets=8)
+    listed = store_log(session_rollup(log), f"sessions_{mark}", f"{shared_folder(spark)}/sessions-{mark}", buckets=8)
+    shown = F.transform("references", lambda r: F.concat(F.lit("["), F.concat_ws(
+        "|", r["id"], r["code"], r["article"], r["title"], r["excerpt"], F.coalesce(r["score"].cast("string"), F.lit(""))), F.lit("]")))
+    rows = messages_of(listed, histories(kept))
+    return rows.select("session_id", "title", "seq", "id", "role", "content", "created_at", F.array_join(shown, "").alias("references"))
+
+
+@query("longest_history", f"""
+    WITH n AS (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 1)
+    SELECT conv_id || '-' || turn AS id, conv_id AS session_id, role, text AS content, {_AT} AS created_at,
+           CASE WHEN role = 'assistant' AND turn % 4 < 2 THEN 1 ELSE 0 END AS "references"
+    FROM conversations JOIN n USING (conv_id) ORDER BY created_at, id""")
+def longest_history(spark, sf_dir):
+    log = _log(spark, sf_dir).drop("turn")
+    first = log.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()
+    rows = history(log, first["session_id"] if first else None)
+    return rows.withColumn("references", F.size("references"))
+
+
 # Every turn is asked again a day later; each fifth one stays without an answer.
 _DAY = f"({_AT} + INTERVAL 1 DAY)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
@@ -71,6 +71,30 @@ def session_messages(messages: DataFrame) -> DataFrame:
             .withColumn("references", decode_references(F.col("references_json"))).drop("references_json"))
 
 
+LOG_BUCKETS = 64
+
+
+def store_log(rows: DataFrame, name: str, path: str, key: str = "session_id", order: tuple[str, ...] = ("created_at", "id"),
+              buckets: int = LOG_BUCKETS) -> DataFrame:
+    """JOIN-5, SORT-3: a log or its sessions as a table in buckets by session, each in one file sorted by session and time.
+
+    Tables of as many buckets join, and order a session's messages, without an exchange. A bucket is read by one task,
+    also if one session fills it; for such a log join the plain tables.
+    """
+    if buckets < 1:
+        raise ValueError("a log needs a bucket")
+    columns = [key, *[c for c in order if c in rows.columns and c != key]]
+    (rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*columns).option("path", path)
+     .mode("errorifexists").saveAsTable(name))
+    return rows.sparkSession.table(name)
+
+
+def histories(messages: DataFrame) -> DataFrame:
+    """CHAT-3, SORT-3 for all sessions: ``history`` of each, its messages numbered from 0 in time order."""
+    place = Window.partitionBy("session_id").orderBy("created_at", "id")
+    return session_messages(messages).withColumn("seq", F.row_number().over(place) - 1)
+
+
 def messages_of(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """JOIN-5: messages with the title of their session; both sides may be bucketed by session_id."""
     return messages.join(sessions.select("session_id", "title"), "session_id")

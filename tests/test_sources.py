@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import cosine_distance, l2_normalize, similarity
-from corpusflow.operators.chatlog import ensure_column, history
+from corpusflow.operators.chatlog import ensure_column, histories, history, messages_of, store_log
 from corpusflow.operators.snapshots import diff_snapshots
 from corpusflow.schemas import ARTICLES
 from corpusflow.sources.files import extract_text, read_snapshots, read_uploads
@@ -140,3 +140,20 @@ def test_vector_expressions(spark):
         l2_normalize("a").alias("n"), l2_normalize("z").alias("z"), cosine_distance("a", "b").alias("d"),
         similarity(F.lit(None).cast("double")).alias("s")).head()
     assert row["n"] == [0.6, 0.8] and row["z"] == [0.0, 0.0] and abs(row["d"] - 0.04) < 1e-12 and row["s"] == 0.0
+
+
+def test_stored_log_joins_without_an_exchange(spark, tmp_path, capsys):
+    rows = spark.range(300).select((F.col("id") % 20).alias("session_id"), F.concat(F.lit("m"), F.lpad("id", 4, "0")).alias("id"), F.lit("user").alias("role"),
+                                   F.lit("x").alias("content"), F.timestamp_seconds(1000 - F.col("id")).alias("created_at"))
+    log = store_log(rows, "kept_log", str(tmp_path / "log"), buckets=4)
+    listed = store_log(rows.groupBy("session_id").agg(F.min("id").alias("title")), "kept_sessions", str(tmp_path / "sessions"), buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = messages_of(listed, histories(log))
+        joined.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        got = [(r.session_id, r.seq, r.id) for r in joined.orderBy("session_id", "seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [(s, k, f"m{i:04}") for s in range(20) for k, i in enumerate(sorted(range(s, 300, 20), reverse=True))]
