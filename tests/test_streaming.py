@@ -1,8 +1,10 @@
+import time
+
 from pyspark.sql import functions as F
 
 from corpusflow.streaming.ingest import IngestTables, current_chunks, current_manifest, ingest_stream
 from corpusflow.streaming.sessions import session_activity
-from corpusflow.streaming.tokens import fold_closed, fold_tokens
+from corpusflow.streaming.tokens import close_early, fold_closed, fold_tokens
 
 EVENTS = "session_id string, seq long, token string, stop_reason string, ts timestamp"
 
@@ -35,6 +37,31 @@ def test_closed_messages_drop_state(spark, tmp_path):
     assert got == [("a", "Salom", "eog")]
 
 
+def test_messages_close_at_their_end_event(spark, tmp_path):
+    """Out of order, repeated and late events; the message leaves with the batch that completes it, silent sessions at a timeout."""
+    start = 1_700_000_000
+    batches = [[("a", 1, "Sa", None, 0), ("a", 3, "!", None, 1), ("b", 1, "X", None, 1), ("c", 1, "yarim", None, 2)],
+               [("a", 4, None, "eog", 3), ("b", 2, "Y", None, 3), ("b", 2, "Z", None, 3), ("a", 3, "?", None, 4)],
+               [("a", 2, "lom", None, 5), ("b", 3, None, "max", 5), ("b", 1, "X", None, 6)],
+               [("a", 2, "kech", None, 7), ("a", 4, None, "eog", 7), ("b", 4, "kech", None, 8)],
+               [("z", 1, None, "eog", 9000)], [("z", 1, None, "eog", 9001)]]
+    for n, part in enumerate(batches):
+        rows = spark.createDataFrame(part, "session_id string, seq long, token string, stop_reason string, s int")
+        rows.select("session_id", "seq", "token", "stop_reason", F.timestamp_seconds(F.lit(start) + F.col("s")).alias("ts")
+                    ).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        time.sleep(0.05)  # files are taken in the order of their times
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    seen = []
+    q = (close_early(stream, "1 second", 60).writeStream.outputMode("append").trigger(availableNow=True)
+         .foreachBatch(lambda df, n: seen.append((n, sorted(map(tuple, df.collect()))))).start())
+    q.awaitTermination(200)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = [(n, *r) for n, found in seen for r in found]
+    assert (2, "a", "Salom!", "eog") in rows and (2, "b", "XY", "max") in rows
+    assert sorted(r[1:] for r in rows) == [("a", "Salom!", "eog"), ("b", "XY", "max"), ("c", "yarim", "idle"), ("z", "", "eog")]
+
+
 def test_activity_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "ev"))
