@@ -49,21 +49,36 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
 
 
+_STATE = T.StructType([*MANIFEST.fields, T.StructField("batch", T.LongType())])
+_POINTER = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("written", T.LongType()), T.StructField("batch", T.LongType())])
+
+
+def _pointers(spark: SparkSession, tables: IngestTables, before: int | None = None) -> dict[int, int]:
+    """Bucket -> the batch whose folder holds its current state: the newest pointer set, a row a bucket."""
+    rows = _read_or_empty(spark, tables.current_versions, _POINTER)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    newest = rows.agg(F.max("batch").alias("b")).first()["b"]  # of partition values
+    return {r["bucket"]: r["written"] for r in rows.where(F.col("batch") == newest).collect()} if newest is not None else {}
+
+
+def _state(spark: SparkSession, tables: IngestTables, pointers: dict[int, int]) -> DataFrame:
+    """The state rows in the folders that the pointers name; batch is the one that wrote a document's newest version."""
+    folders = [f"{tables.current}/written={w}/bucket={b}" for b, w in sorted(pointers.items())]
+    if not folders:
+        return spark.createDataFrame([], _STATE)
+    return spark.read.schema(_STATE).option("basePath", tables.current).parquet(*folders).drop("written", "bucket")
+
+
 def current_manifest(spark: SparkSession, tables: IngestTables) -> DataFrame:
-    """Latest state per id of the append-only manifest history."""
-    return latest(_read_or_empty(spark, tables.manifest, MANIFEST), "id", "fetched_at", "content_hash")
+    """SNK-5: the latest state of every id."""
+    return _state(spark, tables, _pointers(spark, tables)).drop("batch")
 
 
 def current_chunks(spark: SparkSession, tables: IngestTables) -> DataFrame:
-    """Chunks of the newest version of each document.
-
-    The newest batch of an id comes from the stored snapshots (ids and partition values only),
-    so a version without any article leaves no older chunks behind.
-    """
-    chunks = spark.read.parquet(tables.chunks)
-    stored = spark.read.schema(_with_batch(SNAPSHOTS)).parquet(tables.raw)
-    newest = stored.groupBy(F.col("id").alias("source_id")).agg(F.max("batch").alias("batch"))
-    return chunks.join(newest, ["source_id", "batch"], "left_semi").drop("batch")
+    """Chunks of the newest version of each document; a version without any article leaves no older chunks behind."""
+    newest = _state(spark, tables, _pointers(spark, tables)).select(F.col("id").alias("source_id"), "batch")
+    return spark.read.parquet(tables.chunks).join(newest, ["source_id", "batch"], "left_semi").drop("batch")
 
 
 def apply_batch(batch: DataFrame, batch_id: int, targets: DataFrame, tables: IngestTables,
@@ -73,8 +88,10 @@ def apply_batch(batch: DataFrame, batch_id: int, targets: DataFrame, tables: Ing
     ``as_of`` stamps log and archive; without it the newest ``fetched_at`` of the batch does, so
     that a repeated batch has the same stamps.
 
-    Every table is partitioned by batch id and a batch overwrites its own partition, so a
-    batch that runs again after a failure leaves the same tables; the manifest goes last.
+    The state lies in buckets of ids. A batch reads the buckets its ids fall into and writes them anew in a folder of
+    its own; pointers to all buckets' folders go last, so what a batch reads follows the batch and not the history.
+    Every table is partitioned by batch id, a batch overwrites its own partition and looks at earlier pointers only, so
+    one that runs again after a failure between any two writes leaves the same tables.
     """
     spark = batch.sparkSession
     # The source is read once; the writes below share what it gave.
@@ -90,8 +107,10 @@ def _apply(spark: SparkSession, stamped: DataFrame, batch_id: int, targets: Data
     if as_of is None:
         newest = stamped.agg(F.unix_micros(F.max("fetched_at")).alias("at")).first()["at"]
         as_of = F.timestamp_micros(F.lit(newest).cast("long"))
-    earlier = _read_or_empty(spark, tables.manifest, _with_batch(MANIFEST)).where(F.col("batch") < batch_id)
-    manifest = latest(earlier.drop("batch"), "id", "fetched_at", "content_hash")
+    pointers = _pointers(spark, tables, batch_id)
+    touched = {r["bucket"] for r in stamped.select(_bucket().alias("bucket")).distinct().collect()}  # ID_BUCKETS at most
+    state = _state(spark, tables, {b: w for b, w in pointers.items() if b in touched}).persist()
+    manifest = state.drop("batch")
     # A stream delivers only what arrived: ids it does not mention are not removed.
     diff = diff_snapshots(stamped, manifest).where(F.col("status") != "removed")
     todo = stamped.join(to_write(diff).select("id"), "id", "left_semi")
@@ -102,17 +121,30 @@ def _apply(spark: SparkSession, stamped: DataFrame, batch_id: int, targets: Data
 
     put(build_corpus(todo.select("id", "content"), targets, rules).chunks, tables.chunks)
     put(change_log(diff, as_of), tables.change_log)
-    # Only the folders that changed ids fall into are read, then only versions of these ids.
-    changed = diff.where(F.col("status") == "changed").select(_bucket().alias("bucket")).distinct().collect()
+    # Only the folders that the changed ids' newest versions lie in are read.
+    changed = (diff.where(F.col("status") == "changed").join(state.select("id", "batch"), "id")
+               .select(_bucket().alias("bucket"), "batch").distinct().collect())
     kept = T.StructType(_with_batch(SNAPSHOTS).fields + [T.StructField("bucket", T.IntegerType())])
     stored = _read_or_empty(spark, tables.raw, kept).where(
-        (F.col("batch") < batch_id) & F.col("bucket").isin([r["bucket"] for r in changed]))
+        F.col("batch").isin(sorted({r["batch"] for r in changed})) & F.col("bucket").isin(sorted({r["bucket"] for r in changed})))
     replaced = archive_rows(stored.drop("batch", "bucket"), diff, as_of)
     put(latest(replaced, "id", "fetched_at", "content_hash"), tables.archive)
     raw = todo.join(targets.select("id", "url"), "id").select("id", "url", "content", "content_hash", "bytes", "fetched_at")
     put(raw.withColumn("bucket", _bucket()), tables.raw, "bucket")
-    state = todo.join(targets.select("id", "law_name", "title", "url"), "id").select(*MANIFEST.names)
-    put(state, tables.manifest)
+    written = todo.join(targets.select("id", "law_name", "title", "url"), "id").select(*MANIFEST.names)
+    put(written, tables.manifest)
+    # The touched buckets anew, then the pointers.
+    now = latest(state.unionByName(written.withColumn("batch", F.lit(batch_id).cast("long"))), "id", "batch", "fetched_at")
+    (now.select(*_STATE.names, _bucket().alias("bucket"), F.lit(batch_id).cast("long").alias("written")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("written", "bucket").parquet(tables.current))
+    held = {r["bucket"] for r in now.select(_bucket().alias("bucket")).distinct().collect()}
+    _point(spark, tables, batch_id, {**pointers, **dict.fromkeys(held, batch_id)})
+    state.unpersist()
+
+
+def _point(spark: SparkSession, tables: IngestTables, batch_id: int, pointers: dict[int, int]) -> None:
+    rows = spark.createDataFrame([(b, w, batch_id) for b, w in sorted(pointers.items())], _POINTER).coalesce(1)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(tables.current_versions)
 
 
 def ingest_stream(spark: SparkSession, landing: str, targets: DataFrame, tables: IngestTables, checkpoint: str,

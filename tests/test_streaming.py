@@ -1,7 +1,10 @@
+import shutil
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.streaming import ingest
 from corpusflow.streaming.ingest import IngestTables, current_chunks, current_manifest, ingest_stream
 from corpusflow.streaming.sessions import session_activity
 from corpusflow.streaming.tokens import close_early, fold_closed, fold_tokens
@@ -94,6 +97,26 @@ def test_incremental_ingest(spark, tmp_path):
     log = {(r["id"], r["status"], r["batch"]) for r in spark.read.parquet(tables.change_log).collect()}
     assert log == {("a", "initial", 0), ("b", "initial", 0), ("b", "changed", 1), ("c", "initial", 1)}
     assert current_manifest(spark, tables).count() == 3
+    # A batch that breaks off before its pointers leaves the state as it was, and does the same when it runs again.
+    before = sorted(map(tuple, current_manifest(spark, tables).collect()))
+    late = spark.createDataFrame([("a", _page(1, "bir keyin"))], "id string, content string").withColumn(
+        "fetched_at", F.lit("2026-01-09").cast("timestamp"))
+    point = ingest._point
+    ingest._point = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest.apply_batch(late, 99, targets, tables)
+    finally:
+        ingest._point = point
+    assert sorted(map(tuple, current_manifest(spark, tables).collect())) == before
+    copy = IngestTables(str(tmp_path / "again"))
+    shutil.copytree(tables.root, copy.root)
+    for _ in range(2):
+        ingest.apply_batch(late, 99, targets, copy)
+        assert {r["source_id"]: r["text"] for r in current_chunks(spark, copy).collect()}["a"] == "Sarlavha. bir keyin"
+        assert spark.read.parquet(copy.archive).where("batch = 99").count() == 1 and current_manifest(spark, copy).count() == 3
+    # Only the folders of the batch's own buckets are read.
+    assert all("written=99" in f for f in ingest._state(spark, copy, {b: w for b, w in ingest._pointers(spark, copy).items() if w == 99}).inputFiles())
     # A version without any text leaves nothing of the older ones.
     spark.createDataFrame([("c", "<body></body>")], "id string, content string").withColumn(
         "fetched_at", F.lit("2026-01-03").cast("timestamp")).coalesce(1).write.mode("append").parquet(landing)
