@@ -10,6 +10,7 @@ from corpusflow.operators.dedupe import candidate_pairs, dedupe_claims, dedupe_f
 from corpusflow.operators.findings import (
     filter_grounded, parse_outputs, report, summary_grounded)
 
+# The sample statements, answers and expected findings below are golden inputs of the data contract.
 SCHEMA = "doc_id int, ord long, statement_a string, statement_b string, explanation string"
 
 

@@ -9,6 +9,8 @@ from corpusflow.operators.intent import ABOUT, OUT_OF_SCOPE, Assistant, route
 from corpusflow.settings import analysis_budget, recommended_overlap
 
 
+# The sample texts and expected results below are golden inputs of the data contract.
+
 def one(spark, text, expr):
     return spark.createDataFrame([(text,)], "t string").select(expr.alias("r")).head()["r"]
 
