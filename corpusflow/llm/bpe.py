@@ -175,6 +175,11 @@ class Vocabulary:
             yield word, states, starts, token, start
             before = word
 
+    def release(self) -> None:
+        """Empty both caches: a worker outlives the stage, and later ones need the memory."""
+        self.fresh()
+        self.pairs.clear()
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the words that are not in the cache."""
         if len(self.codes) > CACHED_WORDS:
@@ -273,6 +278,7 @@ def _encodings(name: str, keep_ids: bool):
                 if keep_ids:
                     out["ids"].append(ids.astype(np.int32))
             yield record(schema, **out)
+        vocab.release()
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return encode, ddl
 

@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import lowered, record, slices, stored
+from corpusflow.llm.common import SLICE_BYTES, lowered, record, slices, stored
 from corpusflow.llm.components import components
+from corpusflow.llm.runs import partitions
 
 SEED = 42
 BITS = 64
@@ -49,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def compute(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE_BYTES // 2):
             found = np.array([fingerprint(lowered(t), width) for t in part["text"]], np.uint64)
             yield record(schema, doc_id=part["doc_id"], fp=found.view(np.int64))
     return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
@@ -62,7 +63,9 @@ def links(distinct: DataFrame) -> DataFrame:
     variant are within RADIUS bits of each other, so a star around their least joins what the single links join;
     every edge is verified by counting its differing bits.
     """
-    sent = (distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bit"))
+    # A few fingerprints make many variants: dealt to all partitions first, so that no task holds a large share of them.
+    dealt = distinct.select("fp").repartition(partitions(distinct), "fp")
+    sent = (dealt.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bit"))
             .selectExpr(f"case when bit = {BITS} then fp else fp ^ shiftleft(1L, bit) end as variant",
                         f"case when bit = {BITS} then 0L else shiftleft(1L, bit) end as mask",
                         f"case when bit = {BITS} then 1 else 0 end as own"))
