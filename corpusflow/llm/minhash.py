@@ -9,8 +9,9 @@ Documents are joined in a fixed number of steps, on distinct sets of shingles on
 
 1. ``BANDS`` keys of ``ROWS`` coordinates a set. Two sets at the threshold itself (0.85) miss each other in all
    bands with probability (1 - 0.85^5)^25 = 4e-7.
-2. Whoever meets in a band is verified against the band's least set. That joins a group of near copies, however
-   large, with one pair a member and band at most.
+2. Each set is verified against one of the least sets of its bands, the one that it meets in most of them. That joins
+   a group of near copies, however large, with one pair a member: the group's least set is the least of every band
+   that it is in.
 3. Bands whose members are not all in one component by then are the rest. Two of their sets can only be similar
    enough if they share a shingle among the rarest n - ceil(n * similarity) + 1 of both; the pairs of different
    components that do, at places that still leave room for the overlap, are verified. So no link between sets that
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import lowered, mix, slices, stored
+from corpusflow.llm.common import SLICE_BYTES, lowered, mix, slices, stored
 from corpusflow.llm.components import components
 
 WIDTH = 5
@@ -42,6 +43,7 @@ T = BANDS * ROWS
 NONE = np.iinfo(np.uint64).max
 SALTS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64))
 AT_ONCE = 1 << 18  # shingles hashed at a time
+TOLD = 32  # rare shingles that a set is known by when pairs are made
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -92,7 +94,7 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         ("whole", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def compute(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE_BYTES // 2):
             sets = [shingles(t, width) for t in part["text"]]
             keys = iter(band_keys(sketches([s for s in sets if len(s)])))
             yield pa.RecordBatch.from_pydict({
@@ -108,7 +110,7 @@ def _hashed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("v", pa.int64()), ("n", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def compute(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE_BYTES // 2):
             sets = [shingles(t, width).view(np.int64) for t in part["text"]]
             yield pa.RecordBatch.from_pydict({"v": part["v"], "n": [len(s) for s in sets], "h": sets}, schema=schema)
     known = F.coalesce("doc_id", F.lit(-1)).alias("i")  # a null doc_id has a mark of its own
@@ -128,17 +130,20 @@ def _alike(pairs: DataFrame, hashed: DataFrame, similarity: int) -> DataFrame:
 
 
 def _rarest(rest: DataFrame, similarity: int) -> DataFrame:
-    """(v, component, n, h, at): the rarest shingles of each set, of which similar sets share one.
+    """(v, component, n, h, at, earlier): the rarest shingles of each set, of which similar sets share one.
 
-    Shingles that no other set has come first in that order and meet nobody, so only their number counts.
+    Shingles that no other set has come first in that order and meet nobody, so only their number counts. ``earlier``
+    are the ones before, of the first ``TOLD``.
     """
     each = rest.select("v", F.explode("h").alias("h"))
     common = stored(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     found = each.join(common, "h").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     sets = (rest.select("v", "component", "n").join(found, "v").withColumn("alone", F.col("n") - F.size("found"))
             .withColumn("places", F.expr(f"cast(n - (n * {similarity} + 99) div 100 + 1 - alone as int)")).where("places > 0"))
-    return (sets.select("v", "component", "n", "alone", F.posexplode(F.expr("slice(found, 1, places)")).alias("at", "e"))
-            .select("v", "component", "n", F.col("e.h").alias("h"), (F.col("at") + F.col("alone")).alias("at")))
+    sets = sets.select("v", "component", "n", "alone", F.expr("slice(found, 1, greatest(places, 0)).h").alias("hs"))
+    return (sets.select("v", "component", "n", "alone", "hs", F.posexplode("hs").alias("i", "h"))
+            .select("v", "component", "n", "h", (F.col("i") + F.col("alone")).alias("at"),
+                    F.slice("hs", F.lit(1), F.least("i", F.lit(TOLD))).alias("earlier")))
 
 
 def _rest_pairs(rest: DataFrame, similarity: int) -> DataFrame:
@@ -146,8 +151,19 @@ def _rest_pairs(rest: DataFrame, similarity: int) -> DataFrame:
     near = stored(_rarest(rest, similarity))
     enough = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
     room = f"{100 + similarity} * least(x.n - x.at, y.n - y.at) >= {similarity} * (x.n + y.n)"
-    return (near.alias("x").join(near.alias("y"), F.expr("x.h = y.h and x.v < y.v and x.component <> y.component"))
-            .where(enough).where(room).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
+    # A pair is made at the first shingle it shares; pairs that share none of the first TOLD may be made more than once.
+    first = "not arrays_overlap(x.earlier, y.earlier)"
+    return (near.alias("x").join(near.alias("y"), F.expr(
+        f"x.h = y.h and x.v < y.v and x.component <> y.component and {enough} and {room} and {first}"))
+        .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
+
+
+def _centres(met: DataFrame) -> DataFrame:
+    """(a, b): for each set b of (a, b) rows the a that it meets in most bands, the least of several."""
+    found = met.groupBy("b").agg(F.collect_list("a").alias("all"))
+    counted = F.transform(F.array_distinct("all"), lambda a: F.struct(
+        F.size(F.filter("all", lambda x: x == a)).alias("bands"), (-a).alias("a")))
+    return found.select((-F.array_max(counted)["a"]).alias("a"), "b")
 
 
 def set_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
@@ -158,8 +174,7 @@ def set_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similar
     met = stored(filed.join(least, "key"))
     hashed = _hashed(docs, met.select("v").distinct().join(sets.select("v", "doc_id", "mark"), "v"), width)
     pairs = met.where("v > a").where(f"100 * least(na, n_shingles) >= {similarity} * greatest(na, n_shingles)")
-    edges = _alike(stored(pairs.select("a", F.col("v").alias("b")).distinct()), hashed, similarity)
-    first = stored(components(edges, "a", "b"))
+    first = stored(components(_alike(_centres(pairs.select("a", F.col("v").alias("b"))), hashed, similarity), "a", "b"))
     named = met.select("key", "v").join(first, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
     mixed = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("key"))
