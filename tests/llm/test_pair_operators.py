@@ -251,6 +251,38 @@ def test_scores_beyond_double_precision(spark):
     assert mined(spark, rows, every=10) == brute_negatives(rows, 10)
 
 
+def test_long_vectors_take_part_where_scores_fit(spark):
+    """Finite rows of any length: a pair is left out only where its own score does not fit 64 bits."""
+    rows = [(i, [x * 4 for x in v], *rest) for i, v, *rest in vectors(5, 120)]
+    for i, far in ((23, 1e9), (31, 1e12), (45, 1e18), (50, 3e9), (67, 1e300), (81, 3e300)):  # 50 is an anchor
+        rows[i] = (i, [x * far for x in rows[i][1]], 0, "", 0, 0)
+        rows[i + 1] = (i + 1, [x / 2 for x in rows[i][1]], 4, "", 0, 0)
+    rows[71] = (71, [0.0] * 5 + [1e16], 1, "", 0, 0)
+    # Its score is within 64 bits with anchors that are zero there, and exact though its components are not.
+    rows[10] = (10, [1.0, 1.0, 0.0, 0.0, 0.0, 0.0], 0, "", 0, 0)
+    rows[73] = (73, [2.0 ** 60 + 2.0 ** 12, -2.0 ** 60, 0.0, 0.0, 0.0, 1e299], 0, "", 0, 0)
+    rows[74] = (74, [2.0 ** 59 + 2.0 ** 11, -2.0 ** 59, 0.0, 0.0, 0.0, 1e299], 4, "", 0, 0)
+    part = [(i, label if i % 7 else (label + 1) % 10, [int(np.floor(256 * x)) for x in v]) for i, v, label, *_ in rows]
+    want = []
+    for i, label, v in part:
+        if i % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j, other) for j, other, w in part)
+            scored = [x for x in scored if -2 ** 63 <= -x[0] < 2 ** 63 and x[1] != i]
+            for s, j, _ in [x for x in scored if x[2] == label][:5]:
+                found = [(n, m) for n, m, other in scored if other != label and 30 * -s <= 100 * -n <= 90 * -s][:10]
+                want += [(i, j, r + 1, m, -s, -n) for r, (n, m) in enumerate(found)]
+    assert {23, 31, 73} <= {j for _, j, *_ in want} and any(i == 50 for i, *_ in want)
+    for blocks in ((8192, 1024), (40, 7)):
+        assert mined(spark, rows, every=10, block_rows=blocks[0], block_anchors=blocks[1]) == sorted(want)
+
+
+def test_windows_of_positives_of_one_id(spark):
+    """Rows that share a vec_id and a score are positives of their own."""
+    rows = [(100, [1.0, 1.0], 0, "", 0, 0), (3, [8.0, 0.0], 0, "", 0, 0), (3, [0.0, 8.0], 0, "", 0, 0)]
+    rows += [(10 + i, [2.0, 2.0 + i / 4], 1, "", 0, 0) for i in range(1, 9) if (10 + i) % 7]
+    assert mined(spark, rows, every=100) == brute_negatives(rows, 100)
+
+
 def test_no_vectors_and_no_anchors(spark):
     assert mined(spark, []) == []
     assert mined(spark, [r for r in vectors(3, 60) if r[0] % 100]) == []
