@@ -116,7 +116,9 @@ def _apply(spark: SparkSession, stamped: DataFrame, batch_id: int, targets: Data
     todo = stamped.join(to_write(diff).select("id"), "id", "left_semi")
 
     def put(df: DataFrame, path: str, *folders: str) -> None:
-        (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        # A folder's rows go to as few tasks as their size asks for; else every task writes a file in every folder.
+        dealt = df.hint("rebalance", *folders) if folders else df
+        (dealt.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch", *folders).parquet(path))
 
     put(build_corpus(todo.select("id", "content"), targets, rules).chunks, tables.chunks)
@@ -135,7 +137,8 @@ def _apply(spark: SparkSession, stamped: DataFrame, batch_id: int, targets: Data
     put(written, tables.manifest)
     # The touched buckets anew, then the pointers.
     now = latest(state.unionByName(written.withColumn("batch", F.lit(batch_id).cast("long"))), "id", "batch", "fetched_at")
-    (now.select(*_STATE.names, _bucket().alias("bucket"), F.lit(batch_id).cast("long").alias("written")).write.mode("overwrite")
+    (now.select(*_STATE.names, _bucket().alias("bucket"), F.lit(batch_id).cast("long").alias("written"))
+     .hint("rebalance", "bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("written", "bucket").parquet(tables.current))
     held = {r["bucket"] for r in now.select(_bucket().alias("bucket")).distinct().collect()}
     _point(spark, tables, batch_id, {**pointers, **dict.fromkeys(held, batch_id)})

@@ -1,9 +1,11 @@
 import shutil
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.operators.markup import WEB_PAGE
 from corpusflow.streaming import ingest
 from corpusflow.streaming.ingest import IngestTables, current_chunks, current_manifest, ingest_stream
 from corpusflow.streaming.sessions import session_activity
@@ -122,3 +124,20 @@ def test_incremental_ingest(spark, tmp_path):
         "fetched_at", F.lit("2026-01-03").cast("timestamp")).coalesce(1).write.mode("append").parquet(landing)
     ingest_stream(spark, landing, targets, tables, str(tmp_path / "cp")).awaitTermination(120)
     assert {r["source_id"] for r in current_chunks(spark, tables).collect()} == {"a", "b"}
+
+
+def test_a_folder_is_written_by_one_task(spark, tmp_path):
+    """Tasks do not each write a file in every folder of ids."""
+    rows = spark.range(600).select(F.concat(F.lit("d"), "id").alias("id"), F.lit("<html><body><h1>a</h1><p>b</p></body></html>").alias("content"),
+                                   F.lit("2026-01-01").cast("timestamp").alias("fetched_at"))
+    targets = rows.select("id", F.lit("n").alias("law_name"), F.lit("t").alias("title"), F.lit("u").alias("url"))
+    tables, merged = IngestTables(str(tmp_path)), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")  # as with tables too large for it
+    try:
+        ingest.apply_batch(rows, 0, targets, tables, WEB_PAGE)
+    finally:
+        spark.conf.unset(merged)
+    for table in (tables.raw, tables.current):
+        files = [f.parent for f in Path(table).rglob("*.parquet")]
+        assert len(files) == len(set(files)) > 200
+    assert current_chunks(spark, tables).count() == 600
