@@ -1,13 +1,16 @@
 """JOIN-8, FIND-4..6, ARR-1: keep-first removal of near-duplicates inside a document.
 
 The rule is sequential (an item goes when an earlier *kept* item matches it), but only
-matching pairs interact.  So exact copies are folded first, matching pairs are found by an
+matching pairs interact.  So exact copies are folded first.  A document of few items is
+compared and folded in a row of its own.  For all others, matching pairs are found by an
 equi-join on each text's rarest anchor, and the keep-first rule is one ordered pass over the
-pairs (``graph``).  No document's items are gathered in one place.
+pairs (``graph``); no such document's items are gathered in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,9 @@ SECOND, FIRST, SINGLE = "second", "first", "single"
 FEW = 8
 EDGE = 32  # characters of a word that may be cut off which are looked at
 
+# Items of a document that are compared in one row, each with each.
+ROW_ITEMS = 100
+
 
 def _word(i: Column | int) -> Column:
     return F.get(F.col("words"), F.lit(i) if isinstance(i, int) else i)
@@ -202,20 +208,57 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
     return _first_of(sided.withColumn("_key", pair_key(F.col("_a"), F.col("_b"))), "doc_id", "_key").drop("_key")
 
 
-def near_duplicate_pairs(sided: DataFrame) -> DataFrame:
-    """JOIN-8: (doc_id, first, second): findings whose sides contain each other, straight or crossed."""
+def _dealt(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of documents that have few, and all others: those of a document without an id or with an ord that repeats as well."""
+    sizes = (items.groupBy("doc_id", "ord").agg(F.count("*").alias("c"))
+             .groupBy("doc_id").agg(F.sum("c").alias("n"), F.max("c").alias("most")))
+    few = checkpointed(sizes.where(F.col("doc_id").isNotNull() & (F.col("n") <= ROW_ITEMS) & (F.col("most") == 1)).select("doc_id"))
+    return items.join(few, "doc_id", "left_semi"), items.join(few, "doc_id", "left_anti")
+
+
+def _rows(items: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, items): the items of a document in their order."""
+    return items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("items"))
+
+
+def _kept(items: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """ARR-1 inside rows: items that are near no earlier kept one of their document."""
+    rest = [c for c in items.columns if c not in ("doc_id", "ord")]
+    kept = F.aggregate("items", F.slice("items", 1, 0), lambda kept, x: F.when(
+        F.exists(kept, lambda k: near(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    return explode_rows(_rows(items, *rest), kept, "_at", "_r", "doc_id").select("doc_id", "_r.*").select(*items.columns)
+
+
+def _near_sides(x: Column, y: Column) -> Column:
+    """JOIN-8: the sides of one contain the sides of the other, straight or crossed."""
+    return ((_either_contains(x["_a"], y["_a"]) & _either_contains(x["_b"], y["_b"]))
+            | (_either_contains(x["_a"], y["_b"]) & _either_contains(x["_b"], y["_a"])))
+
+
+def _near_pairs(sided: DataFrame) -> DataFrame:
     sides = sided.select("doc_id", "ord", F.explode(F.array("_a", "_b")).alias("text"))
     both = _both(candidate_pairs(sides), sided, "_a", "_b")
-    a1, b1, a2, b2 = (F.col(c) for c in ("_a1", "_b1", "_a2", "_b2"))
-    near = ((_either_contains(a1, a2) & _either_contains(b1, b2))
-            | (_either_contains(a1, b2) & _either_contains(b1, a2)))
-    return both.where(near).select("doc_id", "first", "second")
+    one, other = (F.struct(F.col("_a" + tag).alias("_a"), F.col("_b" + tag).alias("_b")) for tag in ("1", "2"))
+    return both.where(_near_sides(one, other)).select("doc_id", "first", "second")
+
+
+def near_duplicate_pairs(sided: DataFrame) -> DataFrame:
+    """JOIN-8: (doc_id, first, second): findings whose sides contain each other, straight or crossed."""
+    few, many = _dealt(sided)
+    pairs = F.flatten(F.transform("items", lambda x: F.transform(
+        F.filter("items", lambda y: (y["ord"] > x["ord"]) & _near_sides(x, y)),
+        lambda y: F.struct(x["ord"].alias("first"), y["ord"].alias("second")))))
+    found = explode_rows(_rows(few, "_a", "_b"), pairs, "_at", "_p", "doc_id").select("doc_id", "_p.*")
+    return found if many.isEmpty() else found.unionByName(_near_pairs(many))
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """FIND-5: (doc_id, ord, statement_a, statement_b, explanation, …) without near-duplicates."""
-    exact = checkpointed(distinct_findings(findings))
-    return keep_first(exact, near_duplicate_pairs(exact)).drop("_a", "_b")
+    few, many = _dealt(checkpointed(distinct_findings(findings)))
+    kept = _kept(few, _near_sides)
+    if not many.isEmpty():
+        kept = kept.unionByName(keep_first(many, _near_pairs(many)))
+    return kept.drop("_a", "_b")
 
 
 def dedupe_claims(claims: DataFrame) -> DataFrame:
@@ -223,6 +266,8 @@ def dedupe_claims(claims: DataFrame) -> DataFrame:
     containing an earlier kept one or contained in it."""
     ready = (claims.withColumn("_n", tx.normalize_for_match("claim"))
              .where(F.length("_n") >= MIN_QUOTE_CHARS))
-    exact = checkpointed(_first_of(ready, "doc_id", "_n"))
-    kept = keep_first(exact, containing_pairs(exact.select("doc_id", "ord", F.col("_n").alias("text"))))
+    few, many = _dealt(checkpointed(_first_of(ready, "doc_id", "_n")))
+    kept = _kept(few, lambda x, y: _either_contains(x["_n"], y["_n"]))
+    if not many.isEmpty():
+        kept = kept.unionByName(keep_first(many, containing_pairs(many.select("doc_id", "ord", F.col("_n").alias("text")))))
     return kept.drop("_n")
