@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -108,3 +110,15 @@ def test_stored_cells_read_what_is_asked(spark, tmp_path, capsys):
     assert plan.count("hashpartitioning") <= plan.count("hashpartitioning(qid")
     assert pairs(knn.knn_stored(asked, corpus, cells, 5, nprobe=1, max_broadcast_rows=1, block_rows=20)) == want
     assert knn.knn_stored(asked.limit(0), corpus, cells, 5).count() == 0
+
+
+def test_search_holds_small_matrices():
+    """The distances of a full Arrow batch and their copies do not grow with the questions."""
+    unit, best = knn._scorer(5, False)
+    rng = np.random.default_rng(3)
+    q, c = unit(rng.normal(size=(400, 8))), unit(rng.normal(size=(10_000, 8)))
+    tracemalloc.start()
+    found = best(np.arange(400), q, np.arange(10_000), c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and peak < 24e6
