@@ -9,13 +9,16 @@ Documents are joined in a fixed number of steps, on distinct sets of shingles on
 
 1. ``BANDS`` keys of ``ROWS`` coordinates a set. Two sets at the threshold itself (0.85) miss each other in all
    bands with probability (1 - 0.85^5)^25 = 4e-7.
-2. Each set is verified against one of the least sets of its bands, the one that it meets in most of them. That joins
-   a group of near copies, however large, with one pair a member: the group's least set is the least of every band
-   that it is in.
+2. A set's weight is the number of sets in all its bands, so among edited copies of a text the least edited ones
+   weigh most. Each set is verified against the heaviest set of its bands, of several the one that it meets in most
+   of them. That joins a group of near copies, however large, with one pair a member: a heavy set is the heaviest of
+   every band that it is in.
 3. Bands whose members are not all in one component by then are the rest. Two of their sets can only be similar
    enough if they share a shingle among the rarest n - ceil(n * similarity) + 1 of both; the pairs of different
-   components that do, at places that still leave room for the overlap, are verified. So no link between sets that
-   met is lost, and sets of one template, which share its common shingles only, cost nothing.
+   components that do, at places that still leave room for the overlap, are verified. Two sets that were verified
+   against the same one also share at most what neither lacks of it and what both have beside it, which leaves few
+   pairs of one group. So no link between sets that met is lost, and sets of one template, which share its common
+   shingles only, cost nothing.
 
 Verification counts the intersection of the full sets (64-bit hashes of the shingles; two of n different ones are
 equal by chance with probability n^2 / 2^65).
@@ -121,29 +124,32 @@ def _hashed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, hashed: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. The set that many pairs share, a, is met last."""
+    """(a, b, na, shared, alike): whether the sets of a pair are similar enough. The set that many pairs share, a, is met last."""
     left = hashed.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
     right = hashed.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
     return (pairs.join(right, "b").join(left, "a")
             .withColumn("shared", F.size(F.array_intersect("ha", "hb")))
-            .where(f"100 * shared >= {similarity} * (na + nb - shared)").select("a", "b"))
+            .select("a", "b", "na", "shared", F.expr(f"100 * shared >= {similarity} * (na + nb - shared)").alias("alike")))
 
 
 def _rarest(rest: DataFrame, similarity: int) -> DataFrame:
-    """(v, component, n, h, at, earlier): the rarest shingles of each set, of which similar sets share one.
+    """(v, component, n, h, at, earlier, centre, nc, lacks, beside): the rarest shingles of each set, of which similar sets share one.
 
     Shingles that no other set has come first in that order and meet nobody, so only their number counts. ``earlier``
-    are the ones before, of the first ``TOLD``.
+    are the ones before, of the first ``TOLD``. A set lacks so many of its centre's ``nc`` shingles, and has so many
+    beside them that other sets have as well: sets of one centre but different components have that centre among the
+    rest, so what no other set has is not the centre's.
     """
     each = rest.select("v", F.explode("h").alias("h"))
     common = stored(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     found = each.join(common, "h").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
-    sets = (rest.select("v", "component", "n").join(found, "v").withColumn("alone", F.col("n") - F.size("found"))
+    sets = (rest.drop("h").join(found, "v").withColumn("alone", F.col("n") - F.size("found"))
             .withColumn("places", F.expr(f"cast(n - (n * {similarity} + 99) div 100 + 1 - alone as int)")).where("places > 0"))
-    sets = sets.select("v", "component", "n", "alone", F.expr("slice(found, 1, greatest(places, 0)).h").alias("hs"))
-    return (sets.select("v", "component", "n", "alone", "hs", F.posexplode("hs").alias("i", "h"))
+    kept = ["v", "component", "n", "centre", "nc", "lacks", F.expr("greatest(beside - alone, 0)").alias("beside")]
+    sets = sets.select(*kept, "alone", F.expr("slice(found, 1, greatest(places, 0)).h").alias("hs"))
+    return (sets.select("*", F.posexplode("hs").alias("i", "h"))
             .select("v", "component", "n", "h", (F.col("i") + F.col("alone")).alias("at"),
-                    F.slice("hs", F.lit(1), F.least("i", F.lit(TOLD))).alias("earlier")))
+                    F.slice("hs", F.lit(1), F.least("i", F.lit(TOLD))).alias("earlier"), "centre", "nc", "lacks", "beside"))
 
 
 def _rest_pairs(rest: DataFrame, similarity: int) -> DataFrame:
@@ -151,13 +157,28 @@ def _rest_pairs(rest: DataFrame, similarity: int) -> DataFrame:
     near = stored(_rarest(rest, similarity))
     enough = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
     room = f"{100 + similarity} * least(x.n - x.at, y.n - y.at) >= {similarity} * (x.n + y.n)"
+    most = "x.nc - greatest(x.lacks, y.lacks) + least(x.beside, y.beside)"
+    known = f"(x.centre <> y.centre or {100 + similarity} * ({most}) >= {similarity} * (x.n + y.n))"
     # A pair is made at the first shingle it shares; pairs that share none of the first TOLD may be made more than once.
     first = "not arrays_overlap(x.earlier, y.earlier)"
     return (near.alias("x").join(near.alias("y"), F.expr(
-        f"x.h = y.h and x.v < y.v and x.component <> y.component and {enough} and {room} and {first}"))
+        f"x.h = y.h and x.v < y.v and x.component <> y.component and {enough} and {room} and {known} and {first}"))
         .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
 
 
+def _met(sets: DataFrame) -> DataFrame:
+    """(key, v, n_shingles, a, na): the bands that several sets have, and the heaviest set of each."""
+    filed = sets.select("v", "n_shingles", F.explode("keys").alias("key"))
+    common = stored(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # Sets of one weight have an order as well, the same in all bands.
+    weighed = stored(filed.join(common, "key").groupBy("v").agg(
+        F.any_value("n_shingles").alias("n_shingles"), F.sum("n").alias("n"), F.collect_list("key").alias("keys"))
+        .select("v", "n_shingles", F.expr("shiftleft(n, 20) + (xxhash64(v) & 1048575)").alias("weight"), "keys"))
+    filed = weighed.select("v", "n_shingles", "weight", F.explode("keys").alias("key"))
+    heaviest = stored(filed.groupBy("key").agg(F.max_by("v", "weight").alias("a"), F.max_by("n_shingles", "weight").alias("na")))
+    return filed.select("key", "v", "n_shingles").join(heaviest, "key")
+
+
 def _centres(met: DataFrame) -> DataFrame:
     """(a, b): for each set b of (a, b) rows the a that it meets in most bands, the least of several."""
     found = met.groupBy("b").agg(F.collect_list("a").alias("all"))
@@ -168,18 +189,20 @@ def _centres(met: DataFrame) -> DataFrame:
 
 def set_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """(v, component) for all sets that have a similar one; ``sets`` is (v, n_shingles, doc_id, mark, keys)."""
-    filed = sets.select("v", "n_shingles", F.explode("keys").alias("key"))
-    least = stored(filed.groupBy("key").agg(F.min("v").alias("a"), F.min_by("n_shingles", "v").alias("na"), F.count("*").alias("n"))
-                   .where("n > 1").drop("n"))
-    met = stored(filed.join(least, "key"))
+    met = stored(_met(sets))
     hashed = _hashed(docs, met.select("v").distinct().join(sets.select("v", "doc_id", "mark"), "v"), width)
-    pairs = met.where("v > a").where(f"100 * least(na, n_shingles) >= {similarity} * greatest(na, n_shingles)")
-    first = stored(components(_alike(_centres(pairs.select("a", F.col("v").alias("b"))), hashed, similarity), "a", "b"))
+    pairs = met.where("v <> a").where(f"100 * least(na, n_shingles) >= {similarity} * greatest(na, n_shingles)")
+    tried = stored(_alike(_centres(pairs.select("a", F.col("v").alias("b"))), hashed, similarity))
+    first = stored(components(tried.where("alike"), "a", "b"))
     named = met.select("key", "v").join(first, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
     mixed = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("key"))
-    rest = stored(named.join(mixed, "key", "left_semi").select("v", "component").distinct().join(hashed, "v"))
-    more = _alike(stored(_rest_pairs(rest, similarity)), hashed, similarity)
+    rest = named.join(mixed, "key", "left_semi").select("v", "component").distinct().join(hashed, "v")
+    # A set that was not tried against another one is its own centre.
+    rest = stored(rest.join(tried.select(F.col("b").alias("v"), "a", "na", "shared"), "v", "left").select(
+        "v", "component", "n", "h", F.coalesce("a", "v").alias("centre"), F.coalesce("na", "n").alias("nc"),
+        F.expr("coalesce(na - shared, 0)").alias("lacks"), F.expr("coalesce(n - shared, 0)").alias("beside")))
+    more = _alike(stored(_rest_pairs(rest, similarity)), hashed, similarity).where("alike").select("a", "b")
     # The stars that are there already, and the links between them.
     return components(first.select(F.col("component").alias("a"), F.col("v").alias("b")).unionByName(more), "a", "b")
 

@@ -119,6 +119,28 @@ def test_template_costs_few_pairs(spark, monkeypatch):
     assert len(tried) == 2 and tried[0] <= 60 and tried[1] == 0
 
 
+@pytest.mark.parametrize("similarity", [85, 80])
+def test_near_copies_cost_few_pairs(spark, monkeypatch, similarity):
+    """Most edited copies of one text are like the text and not like each other: few pairs but those with it are tried."""
+    tried = []
+    alike = minhash._alike
+
+    def counted(pairs, hashed, similarity):
+        tried.append(pairs.count())
+        return alike(pairs, hashed, similarity)
+    monkeypatch.setattr(minhash, "_alike", counted)
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        words = [f"w{j}" for j in range(140)]
+        for j in rng.sample(range(140), rng.choice([0, 1, 1, 2, 2, 3, 4, 6]) if i != 120 else 0):
+            words[j] = rng.choice([f"e{rng.randrange(10 ** 6)}", "", words[j] + " and"])
+        rows.append((i, " ".join(words)))
+    rows = doc_rows(*rows)
+    assert near(spark, rows, similarity=similarity) == brute_near(rows, similarity)
+    assert len(tried) == 2 and sum(tried) <= 2 * len(rows)
+
+
 def test_every_coordinate_fills_and_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(1, 1 << 63, 4000).astype(np.uint64)
