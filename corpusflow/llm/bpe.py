@@ -17,17 +17,19 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusflow.llm.common import record, slices, tokenizer_path
+from corpusflow.llm.common import SLICE_BYTES, give_back, record, slices, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 400_000   # encodings a worker keeps; beyond it the cache starts anew
 PIECE_CHARS = 1 << 20    # longer texts are read in runs of about this size, cut before white space
+NEVER = float("inf")     # rank of a piece that no merge consumes
 
 # The vocabulary's end-of-word mark and its split pattern.
 END = "</w>"
@@ -46,11 +48,9 @@ class Vocabulary:
     """Tokens, merges and the words seen so far, for one worker process."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -82,6 +82,13 @@ class Vocabulary:
                                 "\u3000-\u30ff\u4e00-\u9fef\uac00-\ud7a3]")
         self.fresh()
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer; only texts outside the usual blocks need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def fresh(self) -> None:
         self.codes = {t: np.uint32(i).astype("<u4").tobytes() for t, i in self.special.items()}
 
@@ -92,13 +99,16 @@ class Vocabulary:
         return chr(byte) if byte in plain else chr(256 + [b for b in range(256) if b not in plain].index(byte))
 
     @staticmethod
-    def _spine(token: int, made: dict, side: int) -> tuple[tuple[int, float], ...]:
-        """Pieces at one border of a token, smallest first, each with the rank that consumes it."""
-        found = [(token, float("inf"))]
+    def _spine(token: int, made: dict, side: int) -> tuple[float, ...]:
+        """Pieces at one border of a token, smallest first, each followed by the rank that consumes it.
+
+        In one flat tuple: pairs would take several times the memory of their numbers, which are shared.
+        """
+        found = [NEVER, token]
         while token in made:
             rank = made[token][0]
             token = made[token][side]
-            found.append((token, rank))
+            found += rank, token
         return tuple(found[::-1])
 
     def _is_whole(self, token: int, made: dict) -> bool:
@@ -108,7 +118,7 @@ class Vocabulary:
         _, a, b = made[token]
         return self._is_whole(a, made) and self._is_whole(b, made) and self._meets(a, b, stop=made[token][0])
 
-    def _meets(self, a: int, b: int, stop: float = float("inf")) -> bool:
+    def _meets(self, a: int, b: int, stop: float = NEVER) -> bool:
         """Whether the pieces at the border of a and b reach a and b before any merge crosses it.
 
         Merges run in order of rank, of equal ranks from left to right. So a merge across the border comes
@@ -117,16 +127,16 @@ class Vocabulary:
         xs, ys = self.right[a], self.left[b]
         i = j = 0
         while True:
-            (x, ends_x), (y, ends_y) = xs[i], ys[j]
-            across = self.rank.get((x, y))
+            ends_x, ends_y = xs[i + 1], ys[j + 1]
+            across = self.rank.get((xs[i], ys[j]))
             if across is not None and across < min(ends_x, stop) and across <= ends_y:
                 return False
-            if ends_x == ends_y == float("inf"):
+            if ends_x == ends_y == NEVER:
                 return True
             if ends_x <= ends_y:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def compatible(self, a: int, b: int) -> bool:
         """``b in whole and _meets(a, b)``, remembered by the pair."""
@@ -179,6 +189,7 @@ class Vocabulary:
         """Empty both caches: a worker outlives the stage, and later ones need the memory."""
         self.fresh()
         self.pairs.clear()
+        give_back()
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the words that are not in the cache."""
@@ -252,6 +263,7 @@ _loaded: dict[str, Vocabulary] = {}
 def vocabulary(name: str) -> Vocabulary:
     if name not in _loaded:
         _loaded[name] = Vocabulary(tokenizer_path(name))
+        give_back()  # of the parsed file, which is larger than what is kept
     return _loaded[name]
 
 
@@ -264,7 +276,7 @@ def _encodings(name: str, keep_ids: bool):
 
     def encode(batches):
         vocab = vocabulary(name)
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE_BYTES // 2):
             out = {f.name: [] for f in schema}
             split = [[*vocab.pieces(t or "")] for t in part["text"]]
             vocab.learn({p for runs_ in split for run in runs_ for p in run})

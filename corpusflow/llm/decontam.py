@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusflow.llm.common import lowered, record, slices
+from corpusflow.llm.common import lowered, parts, record, slices
 
 SIMILARITY = 0.8       # of characters: 1 - distance / item length
 RECALL = 0.95          # of passages at the similarity itself, letters changed at random places
@@ -241,14 +241,10 @@ def without_passages(docs: DataFrame, items: DataFrame, similarity: float = SIMI
         ready = Items(block, similarity, recall)
 
         def drop(batches):
-            for batch in batches:
-                at = 0
-                texts = batch.select(["text"])
-                keep = np.ones(batch.num_rows, bool)
-                for part in slices([texts]):
-                    for row, *_ in _search(part, ready):
-                        keep[at + row] = False
-                    at += len(part["text"])
-                yield batch.filter(pa.array(keep))
+            for part in parts(batches):
+                keep = np.ones(part.num_rows, bool)
+                for row, *_ in _search(part.select(["text"]).to_pydict(), ready):
+                    keep[row] = False
+                yield part.filter(pa.array(keep))
         return rest.mapInArrow(drop, rest.schema)
     return reduce(one, blocks(items), docs)

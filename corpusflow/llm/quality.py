@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import record, slices
+from corpusflow.llm.common import parts, record, slices
 
 SAMPLE = 6_000      # documents whose posteriors the scorer is fitted to (about; drawn by a hash of the text)
 FEATURES = 2_048    # hashed features
@@ -212,9 +212,7 @@ def good_documents(docs: DataFrame) -> DataFrame:
     _, weights = model(docs)
 
     def keep(batches):
-        for batch in batches:
-            found = []
-            for part in slices([batch.select(["text"])]):
-                found += [_score(Page(t), weights) >= KEEP_FROM for t in part["text"]]
-            yield batch.filter(pa.array(found, pa.bool_()))
+        # Whole rows go back in small batches, which neither side holds long.
+        for part in parts(batches):
+            yield part.filter(pa.array([_score(Page(t), weights) >= KEEP_FROM for t in part.column("text").to_pylist()], pa.bool_()))
     return docs.mapInArrow(keep, docs.schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from zstandard import compress, decompress
 
-from corpusflow.llm.common import RUN_BYTES, slices, stored
+from corpusflow.llm.common import RUN_BYTES, begin_task, slices, stored
 
 BUCKETS_A_PARTITION = 8  # several, so that partitions get even shares
 
@@ -44,6 +44,7 @@ def pack(docs: DataFrame, schema: pa.Schema) -> DataFrame:
 
 
 def unpack(blob: bytes) -> dict[str, list]:
+    begin_task()
     return pa.ipc.open_stream(blob).read_all().to_pydict()
 
 
@@ -92,6 +93,7 @@ def answer(asked: DataFrame, reply: Callable[[list[int], list[np.ndarray], list[
     """Rows of ANSWER. ``reply(runs, keys, facts)`` sees all questions of one bucket, one entry for each run,
     and yields (run, keys, facts)."""
     def one(group: pa.Table) -> pa.Table:
+        begin_task()
         bucket = group["bucket"][0].as_py()
         keys = [np.frombuffer(k.as_py(), np.uint64) for k in group["keys"]]
         found = [(run, bucket, key, compress(fact, 1))

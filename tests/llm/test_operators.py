@@ -5,6 +5,8 @@ import hashlib
 import math
 import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -466,6 +468,63 @@ def test_equal_texts_meet_equal_results(spark):
     assert len({r.fingerprint for r in found}) == 1 and all(r.near_next == 1 for r in found)
 
 
+MEMORY = """
+import re, sys
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from corpusflow.llm import bpe, common, runs
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+"""
+
+
+def _alone(code: str) -> list[float]:
+    """What code prints in a process of its own, as numbers."""
+    done = subprocess.run([sys.executable, "-c", MEMORY + code], cwd=os.path.dirname(corpus_pipeline.__file__),
+                          capture_output=True, text=True, timeout=120, check=True)
+    return [*map(float, done.stdout.split())]
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads Linux memory figures")
+def test_bpe_worker_stays_small():
+    """Pipeline on 0.51 GB: a worker keeps what the vocabulary needs, not the parsed file and the library's copy."""
+    _, kept, after = _alone("""
+before = held()
+v = bpe.vocabulary(bpe.VOCABULARY)
+kept = held() - before
+encode, _ = bpe._encodings(bpe.VOCABULARY, True)
+texts = [" ".join(f"w{i * 7919 % 100003}x{j}" for j in range(60)) for i in range(2000)]
+n = sum(r.num_rows for r in encode(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": texts})])))
+print(n, kept, held() - before)
+""")
+    assert kept < 65  # 89 before
+    assert after < kept + 40
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads Linux memory figures")
+@pytest.mark.parametrize("first", ["next(common.slices(iter([pa.RecordBatch.from_pydict({'text': ['a']})])))",
+                                   "runs.unpack(blob)"])
+def test_task_does_not_carry_what_earlier_ones_freed(first):
+    """A worker goes from task to task and from stage to stage; memory freed in one goes back before the next works."""
+    full, rest = _alone(f"""
+sink = pa.BufferOutputStream()
+with pa.ipc.new_stream(sink, pa.schema([("text", pa.string())])) as out:
+    pass
+blob = sink.getvalue().to_pybytes()
+TaskContext._getOrCreate()._taskAttemptId = 1
+{first}
+blocks = [bytes([i % 256]) * 3000 for i in range(40_000)]
+blocks = blocks[::50]  # what stays lies between what is freed
+full = held()
+TaskContext._getOrCreate()._taskAttemptId = 2
+{first}
+print(full, held())
+""")
+    assert rest < full - 60
+
+
 def test_pipeline_follows_its_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
