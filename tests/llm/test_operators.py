@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import importlib
 import math
 import os
 import random
@@ -191,6 +192,43 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
 
 
+def test_components_take_tasks_by_their_edges(spark, monkeypatch):
+    """Few edges are not dealt to all partitions in every round; however many partitions they get, components are the same."""
+    module = importlib.import_module("corpusflow.llm.components")
+    rng = random.Random(5)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(7, i) for i in range(900, 1300)] + [(2000 + i, 2001 + i) for i in range(60)]
+    root = {v: v for pair in pairs for v in pair}
+    for _ in root:
+        low = {v: min(root[v], root.get(root[v])) for v in root}
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == root:
+            break
+        root = low
+    wanted = {v: c for v, c in root.items() if any(a != b and v in (a, b) for a, b in pairs)}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("40", "false")):
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-edges", "")
+        got = {r.v: r.component for r in components(edges, "a", "b").collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+        assert got == wanted and 0 < tasks < 40 * 8, tasks
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        monkeypatch.setattr(module, "EDGES_A_PARTITION", 300)
+        monkeypatch.setattr(module, "EDGES_SENT", 100)
+        assert {r.v: r.component for r in components(edges, "a", "b").collect()} == wanted
+        monkeypatch.setattr(module, "EDGES_A_PARTITION", 1)
+        assert {r.v: r.component for r in components(edges, "a", "b").collect()} == wanted
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_language_model(table, odd):
     for docs in both(table, odd):
         pairs = texts(docs)
