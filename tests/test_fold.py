@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import conflicts, fold
+from corpusflow.operators import conflicts, fold, topics
 
 
 def exchanges(df):
@@ -53,3 +53,31 @@ def test_documents_are_dealt_by_their_length(spark):
     few, many = fold.dealt(rows, "t", most=10)
     assert bag(few) == ["(2, 0, 'zzzzzzzzzz')"] and many.count() == 3
     assert fold.dealt(rows.where("doc_id = 2"), "t", most=10)[1] is None
+
+
+def packs_bag(df):
+    return bag(df.select("doc_id", "ords", "claims", "refused"))
+
+
+def test_packs_of_documents_equal_the_joins(spark):
+    for seed in range(3):
+        rows = claims(spark, seed)
+        # Document 5 has no word of letters; document 7 has a claim that is too long for a prompt.
+        rows = rows.withColumn("claim", F.when(F.col("doc_id") == 5, F.regexp_replace("claim", r"\p{L}", "7")).when(
+            (F.col("doc_id") == 7) & (F.col("ord") == 0), F.repeat(F.lit("aaa "), 50)).otherwise(F.col("claim")))
+        for room in (30, 100):
+            # Claims of one ord and different texts come in no order of their own.
+            some = rows.where("doc_id is null or doc_id <> 3")
+            want = packs_bag(topics._by_joins(some, room, room // 2))
+            assert packs_bag(topics.claim_packs(some, room)) == want and len(want) > 20
+            sizes = some.select("doc_id", F.when(F.col("doc_id") % 2 == 0, fold.FOLD_CHARS).otherwise(1).alias("chars"))
+            assert packs_bag(topics.claim_packs(some, room, sizes)) == want
+
+
+def test_packs_exchange_claims_once(spark):
+    none = spark.createDataFrame([], "doc_id int, ord long, statement_a string, statement_b string, explanation string")
+    rows = claims(spark, 5).where("doc_id is not null")
+    known = topics.known_findings(topics.claim_packs(rows, 100), none, 50)
+    assert exchanges(known) == 1 and known.where("known is null").count() == known.count() > 0
+    some = spark.createDataFrame([(d, 0, c, "other", "x") for d, c in rows.where("claim is not null").select("doc_id", "claim").limit(5).collect()], none.schema)
+    assert topics.known_findings(topics.claim_packs(rows, 100), some, 50).schema["known"].dataType == known.schema["known"].dataType
