@@ -1,21 +1,25 @@
 """JOIN-8, FIND-4..6, ARR-1: keep-first removal of near-duplicates inside a document.
 
 The rule is sequential (an item goes when an earlier *kept* item matches it), but only
-matching pairs interact.  So exact copies are folded first.  A document of few items is
-compared and folded in a row of its own.  For all others, matching pairs are found by an
+matching pairs interact.  So exact copies are folded first.  A document of few findings is
+compared and folded in a row of its own, and so are the claims of a document that a task can
+hold (``operators/fold.py``).  For all others, matching pairs are found by an
 equi-join on each text's rarest anchor, and the keep-first rule is one ordered pass over the
 pairs (``graph``); no such document's items are gathered in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.rows import explode_rows
+from corpusflow.operators.fold import dealt, folded, together
 from corpusflow.operators.graph import dropped_by_first
 from corpusflow.settings import MIN_QUOTE_CHARS, checkpointed
 
@@ -53,6 +57,8 @@ EDGE = 32  # characters of a word that may be cut off which are looked at
 
 # Items of a document that are compared in one row, each with each.
 ROW_ITEMS = 100
+# Characters of the claims of a document that a task looks through for each of them.
+TASK_CHARS = 1_000_000
 
 
 def _word(i: Column | int) -> Column:
@@ -261,13 +267,64 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     return kept.drop("_a", "_b")
 
 
-def dedupe_claims(claims: DataFrame) -> DataFrame:
-    """FIND-6, SORT-4: (doc_id, ord, claim): claims of 12 or more normalised characters, none
-    containing an earlier kept one or contained in it."""
+def _first_texts(rows: list[tuple]) -> Iterator[tuple]:
+    """ARR-1 in one document: of rows (ord, claim, text) in their order, (ord, claim) of those that no earlier kept one contains
+    and that contain none."""
+    first = {}
+    for ord_, claim, text in rows:
+        if text is not None and len(text) >= MIN_QUOTE_CHARS:
+            first.setdefault(text, (ord_, claim))
+    if len({ord_ for ord_, _ in first.values()}) < len(first):
+        yield from _first_by_pairs(first)
+        return
+    # The kept texts: all of them with a line break between them, as a set, and their lengths by how they begin.
+    whole, kept, lengths = "", set(), defaultdict(set)
+
+    def contains_kept(text: str) -> bool:
+        return any(text[i:i + n] in kept for i in range(len(text) - MIN_QUOTE_CHARS + 1)
+                   for n in lengths.get(text[i:i + MIN_QUOTE_CHARS], ()))
+
+    for text, row in first.items():
+        if text not in whole and not contains_kept(text):
+            whole = f"{whole}\n{text}"
+            kept.add(text)
+            lengths[text[:MIN_QUOTE_CHARS]].add(len(text))
+            yield row
+
+
+def _first_by_pairs(first: dict[str, tuple]) -> Iterator[tuple]:
+    """As _first_texts where several texts have one ord: they stay or go together, as under ``keep_first``."""
+    texts, gone = list(first), set()
+    near = sorted({(max(x, y), min(x, y)) for i, a in enumerate(texts) for b in texts[:i]
+                   if (x := first[a][0]) != (y := first[b][0]) and (a in b or b in a)})
+    for later, earlier in near:
+        if earlier not in gone and later not in gone:
+            gone.add(later)
+    yield from (row for row in first.values() if row[0] not in gone)
+
+
+def _claims_by_documents(claims: DataFrame) -> DataFrame:
+    """Claims that stay, of documents that a task can hold."""
+    rows = together(claims.select("doc_id", "ord", "claim").where("doc_id is not null and ord is not null"), "claim")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in (claims.schema[c] for c in ("doc_id", "ord", "claim"))])
+    rows = rows.select("doc_id", "ord", "claim", tx.normalize_for_match("claim").alias("text"))
+    return folded(rows, _first_texts, schema, lambda row: len(row[1]))
+
+
+def _claims_by_joins(claims: DataFrame) -> DataFrame:
+    """Claims that stay, of documents of any length."""
     ready = (claims.withColumn("_n", tx.normalize_for_match("claim"))
              .where(F.length("_n") >= MIN_QUOTE_CHARS))
-    few, many = _dealt(checkpointed(_first_of(ready, "doc_id", "_n")))
-    kept = _kept(few, lambda x, y: _either_contains(x["_n"], y["_n"]))
-    if not many.isEmpty():
-        kept = kept.unionByName(keep_first(many, containing_pairs(many.select("doc_id", "ord", F.col("_n").alias("text")))))
-    return kept.drop("_n")
+    many = checkpointed(_first_of(ready, "doc_id", "_n"))
+    return keep_first(many, containing_pairs(many.select("doc_id", "ord", F.col("_n").alias("text")))).select("doc_id", "ord", "claim")
+
+
+def dedupe_claims(claims: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """FIND-6, SORT-4: (doc_id, ord, claim): claims of 12 or more normalised characters, none
+    containing an earlier kept one or contained in it.
+
+    Claims are read twice, for their length first, unless ``sizes`` says how long the documents are: (doc_id, chars).
+    """
+    few, many = dealt(claims, "claim", sizes, TASK_CHARS)
+    kept = _claims_by_documents(few)
+    return kept if many is None else kept.unionByName(_claims_by_joins(many))

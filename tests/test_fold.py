@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import conflicts, fold, topics
+from corpusflow.operators import conflicts, dedupe, fold, topics
 
 
 def exchanges(df):
@@ -81,3 +81,38 @@ def test_packs_exchange_claims_once(spark):
     assert exchanges(known) == 1 and known.where("known is null").count() == known.count() > 0
     some = spark.createDataFrame([(d, 0, c, "other", "x") for d, c in rows.where("claim is not null").select("doc_id", "claim").limit(5).collect()], none.schema)
     assert topics.known_findings(topics.claim_packs(rows, 100), some, 50).schema["known"].dataType == known.schema["known"].dataType
+
+
+def quotes(spark, seed):
+    """Cuts of a few texts; documents 1 and 4 have no id or several claims under one ord."""
+    rng = random.Random(seed)
+    rows = []
+    for d in range(8):
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(40))
+        for i in range(rng.randint(1, 60)):
+            at = rng.randint(0, len(text) - 10)
+            cut = text[at:at + rng.randint(8, 40)]
+            rows.append((None if d == 1 else d, i // 2 if d == 4 else i, None if rng.random() < 0.02 else cut.upper() if rng.random() < 0.3 else cut))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id int, ord long, claim string")
+
+
+def test_claims_kept_in_documents_equal_the_joins(spark):
+    for seed in range(3):
+        rows = quotes(spark, seed)
+        want = bag(dedupe._claims_by_joins(rows))
+        assert bag(dedupe.dedupe_claims(rows)) == want and 40 < len(want) < rows.count() - 20
+        sizes = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, dedupe.TASK_CHARS + 1).otherwise(1).alias("chars"))
+        assert bag(dedupe.dedupe_claims(rows, sizes)) == want
+
+
+def test_claims_are_exchanged_once(spark):
+    rows = quotes(spark, 5).where("doc_id is not null")
+    assert exchanges(dedupe.dedupe_claims(rows)) == 1
+
+
+def test_claims_of_a_long_document_are_folded_in_proportion(spark):
+    """Every claim is looked up by its beginnings, not compared with each kept one."""
+    rows = [(i, f"claim number {i} of a long document", f"claim number {i} of a long document") for i in range(20_000)]
+    rows += [(20_000 + i, "", f"number {i} of a long") for i in range(0, 20_000, 100)]
+    assert [r[0] for r in dedupe._first_texts(rows)] == list(range(20_000))
