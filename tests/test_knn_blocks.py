@@ -78,3 +78,17 @@ def test_vectors_without_one_length_are_refused(spark):
         rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, odd)], "id int, vector array<double>")
         with pytest.raises(Exception, match="one length"):
             knn.knn_exact(rows.withColumnRenamed("id", "qid"), rows, 1, max_broadcast_rows=1).collect()
+
+
+def test_cells_are_made_once(spark):
+    """They may be means of all vectors."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            made.add(part.num_rows)
+            yield part
+    cells = spark.createDataFrame([(c, [float(c == i) for i in range(3)]) for c in range(3)], "cell int, centroid array<double>")
+    rows = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1), 0.5 + i / 50]) for i in range(30)], "id int, vector array<double>")
+    hits = knn.knn_ivf(rows.withColumnRenamed("id", "qid"), rows, cells.mapInArrow(count, cells.schema), 2, skip_same=True)
+    assert hits.count() > 30 and made.value == 3
